@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe_codec
+from .jaccard import op6_jaccard_join
 from .packing import op2_packing
 from .sharding import op1_sharding
 from .unigram import op5_token_counts
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
