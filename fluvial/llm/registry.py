@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .bpe import op7_bpe_codec
 from .jaccard import op6_jaccard_join
+from .neighbours import op3_nearest_neighbours
 from .packing import op2_packing
 from .sharding import op1_sharding
+from .topk import OP4_SQL, op4_top_inner_products
 from .unigram import op5_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_top_inner_products": op4_top_inner_products,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
 #: Operators that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_top_inner_products": OP4_SQL}
