@@ -1,22 +1,58 @@
-"""Corpus pipeline: STAGES over the documents table."""
+"""Corpus pipeline: quality, language, near duplicates, packing over the documents table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fluvial.llm.common import materialize, table
+from fluvial.llm.jaccard import jaccard_classes
+from fluvial.llm.langid import keep_determined, train_languages
 from fluvial.llm.packing import pack_documents
+from fluvial.llm.quality import keep_quality, train_quality
 
+#: A document stays if it is of good quality with at least this probability.
+LEAST_QUALITY = 0.4
+#: A document stays if its language is told with at least this probability.
+LEAST_LANGUAGE = 0.3
 #: SQL cannot express the trained stages; they are tested against brute-force versions.
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the whole tables' labelled rows."""
+    model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return keep_quality(docs, model, LEAST_QUALITY)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network can tell."""
+    return keep_determined(docs, train_languages(table(spark, sf_dir, "documents")), LEAST_LANGUAGE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+    The document with the class's least id stays. Rows without id, which link
+    with nothing, stay; of rows that repeat an id one stays.
+    """
+    classes = jaccard_classes(docs)
+    kept = classes.filter("component_id = doc_id").select("doc_id").distinct()
+    with_id = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return with_id.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """The documents' ids in sequences of at most 1024."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
