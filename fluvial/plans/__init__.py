@@ -1,6 +1,6 @@
 """Named query plans and their SQL twins."""
 
-from . import raster_queries  # noqa: F401
+from . import expression_queries, raster_queries, sequence_queries, spatial_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
