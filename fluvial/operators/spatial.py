@@ -234,6 +234,11 @@ def cut_by_polygons(lines: DataFrame, rings: DataFrame, keep: str = "outside") -
     return first.unionByName(kept.select("line_id", "piece", "vid", F.col("x1").alias("x"), F.col("y1").alias("y")))
 
 
+def to_grid(c: Column, snap: float = 1e-9) -> Column:
+    """Coordinate on a grid, so that equal places have equal numbers; a second call changes nothing."""
+    return F.rint(c / snap) * snap
+
+
 def node_lines(lines: DataFrame, snap: float = 1e-9) -> DataFrame:
     """``ax, ay, bx, by``: all segments split at their mutual crossings, each once.
 
@@ -256,9 +261,8 @@ def node_lines(lines: DataFrame, snap: float = 1e-9) -> DataFrame:
     )
     cuts = pairs.union(touch).filter((F.col("t") > 0) & (F.col("t") < 1)).groupBy("line_id", "seg").agg(F.sort_array(F.collect_set("t")).alias("ts"))
     stops = F.concat(F.array(F.lit(0.0)), F.coalesce("ts", F.expr("cast(array() as array<double>)")), F.array(F.lit(1.0)))
-    grid = lambda c: F.rint(c / snap) * snap
     parts = segs.join(cuts, ["line_id", "seg"], "left").withColumn("s", stops).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("s") - 2)))
-    at = lambda c, k: grid(F.col(f"a{c}") + F.col("s")[k] * (F.col(f"b{c}") - F.col(f"a{c}")))
+    at = lambda c, k: to_grid(F.col(f"a{c}") + F.col("s")[k] * (F.col(f"b{c}") - F.col(f"a{c}")), snap)
     ends2 = parts.select(
         F.struct(at("x", F.col("k")).alias("x"), at("y", F.col("k")).alias("y")).alias("p"),
         F.struct(at("x", F.col("k") + 1).alias("x"), at("y", F.col("k") + 1).alias("y")).alias("q"),
