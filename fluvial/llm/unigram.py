@@ -109,7 +109,7 @@ def worker_counts(path: str, cache: int) -> BoundedCache:
     return BoundedCache(lambda word: trie.count(_MARK + word), cache)
 
 
-def count_tokens(docs: DataFrame, pieces: str | None = None, cache: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, pieces: str | None = None, cache: int = 600_000) -> DataFrame:
     """Unigram token counts of whole texts.
 
     Pre-tokens are the runs without white space, each with the word mark in
