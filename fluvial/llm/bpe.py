@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import struct
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, table
+from .common import BoundedCache, calm_collector, table, text_batches, worker_cache
 from .tokens import PATTERN, default_vocabulary, load_vocabulary
 
 _NEVER = 1 << 30
@@ -107,11 +106,14 @@ class ByteBpe:
         return b"".join(map(token, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def worker_codec(path: str) -> ByteBpe:
     """The codec of this Python worker, shared by its tasks."""
-    calm_collector()
-    return ByteBpe(path)
+
+    def build() -> ByteBpe:
+        calm_collector()
+        return ByteBpe(path)
+
+    return worker_cache(("bpe", path), build)
 
 
 def _digest_batches(path: str):
@@ -136,6 +138,7 @@ def _digest_batches(path: str):
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids`` (array of int) of every whole text; a null text has no ids."""
     path = vocabulary or default_vocabulary()
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_codec(path)
@@ -168,6 +171,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
     ``docs`` are ignored. Runs without blanks of any length are merged by a
     heap, so a very long text costs no more per byte. No shuffle.
     """
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _digest_batches(vocabulary or default_vocabulary()),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",

@@ -100,6 +100,25 @@ def calm_collector() -> None:
     gc.set_threshold(500_000, 100, 1000)
 
 
+_held: dict = {}
+
+
+def worker_cache(owner: tuple, build):
+    """What an operator keeps in this Python worker between tasks; the next operator's replaces it."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = build()
+    return _held[owner]
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows``, so that long ones do not add up in a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 class BoundedCache(dict):
     """Dictionary that computes absent entries and keeps at most two generations of ``limit`` of them.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import materialize, table, text_batches
 from .components import connected_components
 from .segments import SegmentScheme
 from .shingles import shingle_set
@@ -171,6 +171,7 @@ def jaccard_classes(
     gives no rows. Other columns of ``docs`` are ignored.
     """
     scheme = scheme or SegmentScheme(num, den)
+    text_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
         {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
     )

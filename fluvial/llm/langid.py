@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table
+from .common import is_held_out, table, text_batches
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -204,6 +204,7 @@ def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     was learned. A very long text is cut into windows of fixed length, all of
     which count.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +220,7 @@ def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
 def keep_determined(docs: DataFrame, net: ByteConvNet, least: float) -> DataFrame:
     """The rows of ``docs``, with their columns, whose language is told with a score of ``least``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, is_held_out, table
+from .common import BoundedCache, calm_collector, is_held_out, table, text_batches, worker_cache
 
 
 @dataclass(frozen=True)
@@ -58,11 +57,14 @@ def _word_code(buckets: int):
     return compute
 
 
-@functools.lru_cache(maxsize=2)
 def word_codes(buckets: int) -> BoundedCache:
     """Codes of words, kept for this Python worker."""
-    calm_collector()
-    return BoundedCache(_word_code(buckets), 300_000)
+
+    def build() -> BoundedCache:
+        calm_collector()
+        return BoundedCache(_word_code(buckets), 200_000)
+
+    return worker_cache(("quality", buckets), build)
 
 
 def codes_of(text: str | None, buckets: int) -> np.ndarray:
@@ -201,6 +203,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
 
     Only the text enters a score; null and empty texts are scored too.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +223,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
 
 def keep_quality(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
     """The rows of ``docs``, with their columns, whose score reaches ``threshold``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

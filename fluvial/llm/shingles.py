@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 
-from .common import BoundedCache, calm_collector
+from .common import BoundedCache, calm_collector, worker_cache
 
 WIDTH = 5
 #: Odd multipliers of the word positions, and those of the finaliser (fixed values).
@@ -24,11 +22,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes(limit: int = 300_000) -> BoundedCache:
+def word_hashes(limit: int = 200_000) -> BoundedCache:
     """Hashes of words, kept for this Python worker."""
-    calm_collector()
-    return BoundedCache(xxhash.xxh3_64_intdigest, limit)
+
+    def build() -> BoundedCache:
+        calm_collector()
+        return BoundedCache(xxhash.xxh3_64_intdigest, limit)
+
+    return worker_cache(("shingles", limit), build)
 
 
 def shingle_set(text: str | None) -> np.ndarray:

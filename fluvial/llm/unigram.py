@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, table
+from .common import BoundedCache, calm_collector, table, text_batches, worker_cache
 
 _MARK = "▁"
 
@@ -101,12 +101,15 @@ class PrefixTrie:
         return ({}, best, tokens, still)
 
 
-@functools.lru_cache(maxsize=2)
 def worker_counts(path: str, cache: int) -> BoundedCache:
     """Counts by pre-token of this Python worker, shared by its tasks."""
-    calm_collector()
-    trie = PrefixTrie(load_pieces(path))
-    return BoundedCache(lambda word: trie.count(_MARK + word), cache)
+
+    def build() -> BoundedCache:
+        calm_collector()
+        trie = PrefixTrie(load_pieces(path))
+        return BoundedCache(lambda word: trie.count(_MARK + word), cache)
+
+    return worker_cache(("unigram", path, cache), build)
 
 
 def count_tokens(docs: DataFrame, pieces: str | None = None, cache: int = 600_000) -> DataFrame:
@@ -120,6 +123,7 @@ def count_tokens(docs: DataFrame, pieces: str | None = None, cache: int = 600_00
     shuffle.
     """
     path = pieces or default_pieces()
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = worker_counts(path, cache)
