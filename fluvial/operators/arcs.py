@@ -298,3 +298,30 @@ def feeder_extensions(heads: DataFrame, rings_test: Callable[[DataFrame], DataFr
     good = pts.select("feeder_id", "ord").distinct().join(bad, ["feeder_id", "ord"], "left_anti")
     best = good.groupBy("feeder_id").agg(F.min("ord").alias("ord"))
     return pts.join(best, ["feeder_id", "ord"]).select("feeder_id", "off", "k", "x", "y")
+
+
+def arc_depths(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Arc vertices with the depth ``dp`` of their nearest mesh node (``node_id, x, y, dp``)."""
+    from .spatial import nearest
+
+    keyed = arcs.withColumn("_q", F.xxhash64("river_id", "arc_pos", "vid"))
+    hit = nearest(keyed, nodes, 1, qid="_q", pid="node_id").select(F.col("qid").alias("_q"), F.col("pid").alias("node_id"))
+    return keyed.join(hit, "_q").join(nodes.select("node_id", "dp"), "node_id").drop("_q", "node_id")
+
+
+def arcs_in_region(arcs: DataFrame, rings: DataFrame) -> DataFrame:
+    """All arcs of rivers with an arc that meets a region."""
+    from .spatial import lines_meeting_polygons
+
+    lines = arcs.withColumn("line_id", F.struct("river_id", "arc_pos")).select("line_id", "vid", "x", "y")
+    hit = lines_meeting_polygons(lines, rings).select(F.col("line_id.river_id").alias("river_id")).distinct()
+    return arcs.join(hit, "river_id", "left_semi")
+
+
+def match_centres(arcs: DataFrame, points: DataFrame) -> DataFrame:
+    """``pid, river_id, vid, x, y``: nearest centreline vertex of each point (``pid, x, y``), which names its transect."""
+    from .spatial import nearest
+
+    centre = centrelines(arcs).withColumn("cid", F.xxhash64("river_id", "vid"))
+    hit = nearest(points, centre, 1, qid="pid", pid="cid").select(F.col("qid").alias("pid"), F.col("pid").alias("cid"))
+    return hit.join(centre, "cid").select("pid", "river_id", "vid", "x", "y")

@@ -177,3 +177,19 @@ def split_at_junctions(lines: DataFrame) -> DataFrame:
     both = marked.unionByName(again)
     pos = F.row_number().over(Window.partitionBy("stem", "section").orderBy("vid")) - 1
     return both.select("river", "stem", F.col("section").cast("long").alias("section"), pos.cast("long").alias("pos"), "sind")
+
+
+def external_inflow(outlets: DataFrame, border: DataFrame, reach: float) -> DataFrame:
+    """``sind, acc``: accumulation that outlets of neighbouring tiles hand to a tile's border cells.
+
+    ``outlets``: ``out_id, x, y, z, acc``; ``border``: ``sind, x, y, z``. An
+    outlet goes to its nearest border cell if that lies within ``reach`` and
+    lower; what a cell gets is summed.
+    """
+    from .spatial import nearest
+
+    hit = nearest(outlets, border, 1, qid="out_id", pid="sind").select(F.col("qid").alias("out_id"), F.col("pid").alias("sind"), "d2")
+    rows = hit.filter(F.col("d2") <= reach * reach).join(outlets.select("out_id", F.col("z").alias("zo"), "acc"), "out_id").join(
+        border.select("sind", "z"), "sind"
+    )
+    return rows.filter("z < zo").groupBy("sind").agg(F.sum("acc").alias("acc"))

@@ -361,3 +361,43 @@ def lift_smallest_width(lines: DataFrame, width: str, factor: float = 10.0, out:
     rows = rows.withColumns({"_second": second, "_other": other})
     swap = (F.col("_r") == F.col("_least")) & (F.col("_second") > factor * F.col("_least"))
     return rows.withColumn(out, F.when(swap, F.col("_other")).otherwise(F.col(width))).drop("_r", "_least", "_second", "_other")
+
+
+def smooth_between_nodes(lines: DataFrame, n: int) -> DataFrame:
+    """Smooth each stretch between vertices that occur more than once; those and the ends stay.
+
+    The window is centred and shrinks towards the ends of a stretch.
+    """
+    w = along()
+    shared = (F.count(F.lit(1)).over(Window.partitionBy("x", "y")) > 1).cast("int")
+    rows = lines.withColumn("_node", shared).withColumn("_s", F.sum("_node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy("line_id", "_s").orderBy("vid")
+    rows = rows.withColumns({"_p": F.row_number().over(part) - 1, "_c": F.count(F.lit(1)).over(Window.partitionBy("line_id", "_s"))})
+    half = n // 2
+    out = {}
+    for c in ("x", "y"):
+        sums = [F.avg(c).over(part.rowsBetween(-k, k)) for k in range(half + 1)]
+        value = sums[half]
+        for k in range(half - 1, -1, -1):
+            value = F.when(F.least(F.col("_p"), F.col("_c") - 1 - F.col("_p")) <= k, sums[k]).otherwise(value)
+        out[f"_{c}"] = F.when(F.col("_node") == 1, F.col(c)).otherwise(value)
+    return rows.withColumns(out).withColumns({"x": F.col("_x"), "y": F.col("_y")}).select(*lines.columns)
+
+
+def combine_networks(parts: list[DataFrame], every: int, n: int) -> DataFrame:
+    """Lines of several tiles in one table, thinned to about one vertex in ``every`` and smoothed over ``n``."""
+    whole_set = parts[0].withColumn("_t", F.lit(0))
+    for i, df in enumerate(parts[1:], 1):
+        whole_set = whole_set.unionByName(df.withColumn("_t", F.lit(i)))
+    keyed = whole_set.withColumn("line_id", F.struct("_t", "line_id")).drop("_t")
+    thinned = subsample(keyed, every)
+    pos = (F.row_number().over(along()) - 1).cast("long")
+    thinned = thinned.withColumn("vid", pos)
+    return moving_average(moving_average(thinned, "x", n), "y", n)
+
+
+def levee_feet(lines: DataFrame, spacing: float = 300.0, offsets: tuple[float, ...] = (-15.0, -5.0, 5.0, 15.0)) -> DataFrame:
+    """``line_id, side, vid, x, y``: evenly spaced lines beside a levee at the given distances along its normal."""
+    even = redistribute(lines, length=spacing).withColumnRenamed("k", "vid")
+    rows = normals(even).withColumn("side", F.explode(F.array(*[F.lit(v) for v in offsets])))
+    return rows.select("line_id", "side", "vid", (F.col("x") + F.cos("perp") * F.col("side")).alias("x"), (F.col("y") + F.sin("perp") * F.col("side")).alias("y"))

@@ -14,13 +14,20 @@ def _bin(v: Column, size: float | Column) -> Column:
     return F.floor(v / size).cast("long")
 
 
+def _bins_around(c: str, side: float, reach: int, low: int, high: int) -> Column:
+    """Bins within ``reach`` of a coordinate's own, between two bounds."""
+    first, last = F.greatest(_bin(F.col(c), side) - reach, F.lit(low)), F.least(_bin(F.col(c), side) + reach, F.lit(high))
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
 def bin_size(points: DataFrame, per_bin: float = 4.0) -> float:
     """Side of square bins that hold about ``per_bin`` points on average."""
     r = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     if not r[4]:
         return 1.0
     w, h = max(r[1] - r[0], 1e-9), max(r[3] - r[2], 1e-9)
-    return max((w * h * per_bin / r[4]) ** 0.5, max(w, h) / 1e6)
+    # The second bound is that of points on a line.
+    return max((w * h * per_bin / r[4]) ** 0.5, max(w, h) * min(1.0, per_bin / r[4]))
 
 
 def nearest(
@@ -43,10 +50,9 @@ def nearest(
         return q.select("qid", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("pid"), F.lit(0.0).alias("d2")).limit(0)
     reach, done, rest = 1, None, cut(q, "knn-queries")
     while True:
-        span = F.sequence(F.lit(-reach), F.lit(reach))
         # Bins outside the points' extent are empty and are not asked for.
-        bx = F.filter(F.transform(span, lambda i: _bin(F.col("qx"), side) + i), lambda b: b.between(int(ext[0] // side), int(ext[1] // side)))
-        by = F.filter(F.transform(span, lambda i: _bin(F.col("qy"), side) + i), lambda b: b.between(int(ext[2] // side), int(ext[3] // side)))
+        bx = _bins_around("qx", side, reach, int(ext[0] // side), int(ext[1] // side))
+        by = _bins_around("qy", side, reach, int(ext[2] // side), int(ext[3] // side))
         asked = rest.withColumn("bx", F.explode(bx)).withColumn("by", F.explode(by))
         pairs = asked.join(binned, ["bx", "by"]).withColumn(
             "d2", (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
@@ -175,7 +181,7 @@ def _seg_bins(segs: DataFrame, side: float, name: str, grow: float = 0.0) -> Dat
 
 def crossing_segments(left: DataFrame, right: DataFrame, lkey: str = "line_id", rkey: str = "line_id", size: float | None = None) -> DataFrame:
     """Pairs of segments that cross strictly, with the crossing's place on the left one (``t``)."""
-    side = size or max(float(left.unionByName(right, allowMissingColumns=True).agg(
+    side = size or max(float(left.select("ax", "ay", "bx", "by").union(right.select("ax", "ay", "bx", "by")).agg(
         F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 1.0) * 2, 1e-9)
     a = _seg_bins(left.withColumnRenamed(lkey, "line"), side, "l")
     b = _seg_bins(right.withColumnRenamed(rkey, "line"), side, "r")

@@ -94,11 +94,13 @@ def h7b(spark, sf_dir):
     return ra.d8_directions(cell(spark, sf_dir), "z_tilt", interior_only=True).select("sind", "dir")
 
 
-@query("h8_close_borders", f"""{T}, {d8_sql()} SELECT sind, CASE WHEN (iy = 0 AND dir IN (32,64,128)) OR (iy = 9 AND dir IN (2,4,8)) OR (ix = 0 AND dir IN (8,16,32)) OR (ix = 49 AND dir IN (1,2,128)) THEN 0 ELSE dir END AS dir
-FROM d8 WHERE iy < 10 AND ix < 50""")
+@query("h8_close_borders", f"""{T}, h AS (SELECT max(iy) AS my FROM cell), d AS (SELECT sind, iy, ix, [1, 2, 4, 8, 16, 32, 64, 128][CAST(z_noise % 8 AS INTEGER) + 1] AS dir FROM cell)
+SELECT sind, CAST(CASE WHEN (iy = 0 AND dir IN (32,64,128)) OR (iy = my AND dir IN (2,4,8)) OR (ix = 0 AND dir IN (8,16,32)) OR (ix = 99 AND dir IN (1,2,128)) THEN 0 ELSE dir END AS INTEGER) AS dir FROM d, h""")
 def h8(spark, sf_dir):
-    window = tilted(spark, sf_dir).filter("iy < 10 and ix < 50")
-    return ra.close_borders(window, 10, 50).select("sind", "dir")
+    codes = F.array(*[F.lit(1 << i) for i in range(8)])
+    d8 = cell(spark, sf_dir).select("sind", "iy", "ix", codes[(F.col("z_noise") % 8).cast("int")].alias("dir"))
+    ny = (d8.agg(F.max("iy")).first()[0] or 0) + 1
+    return ra.close_borders(d8, ny, 100).select("sind", "dir")
 
 
 @query("h9_0_upstream", f"{T}, {d8_sql()} SELECT d.nxt AS sind, d.sind AS up, n.o_search AS slot FROM d8 d JOIN nbr n ON n.code = d.dir JOIN d8 t ON t.sind = d.nxt".replace("n.o_search", "(SELECT k.o_search FROM nbr k WHERE k.inv_code = d.dir)"))
@@ -156,10 +158,10 @@ def h9_8(spark, sf_dir):
     return ra.same_segment_neighbours(d8.join(flow.select("sind", F.col("outlet").alias("seg")), "sind"))
 
 
-@query("h9_9_cells_by_segment", f"""{W}, {d8_sql()}, {PATH} SELECT outlet, array_to_string(list_sort(list(sind)), ',') AS cells FROM flow GROUP BY outlet HAVING count(*) <= 5""")
+@query("h9_9_cells_by_segment", f"""{W}, {d8_sql()}, {PATH} SELECT outlet, array_to_string(list_sort(list(sind)), ',') AS cells FROM flow GROUP BY outlet""")
 def h9_9(spark, sf_dir):
     _, flow = _with_acc(spark, sf_dir)
-    return flow.groupBy("outlet").agg(F.sort_array(F.collect_list("sind")).alias("c")).filter(F.size("c") <= 5).select(
+    return flow.groupBy("outlet").agg(F.sort_array(F.collect_list("sind")).alias("c")).select(
         "outlet", F.array_join("c", ",").alias("cells")
     )
 
@@ -174,11 +176,10 @@ def h10_1(spark, sf_dir):
     return fl.accumulate(tilted(spark, sf_dir)).select("sind", "outlet")
 
 
-@query("h10_2_path", f"{W}, {d8_sql()}, {PATH} SELECT src AS start, step, cur AS sind FROM path WHERE src % 37 = 0")
+@query("h10_2_path", f"{W}, {d8_sql()}, {PATH} SELECT src AS start, step, cur AS sind FROM path")
 def h10_2(spark, sf_dir):
     d8 = cut(tilted(spark, sf_dir), "d8")
-    # The starts are the feature: every 37th cell asks for its path.
-    return fl.downstream_paths(d8, d8.filter("sind % 37 = 0").select("sind"))
+    return fl.downstream_paths(d8, d8.select("sind"))
 
 
 LOOPS = """e AS (SELECT c_custkey AS sind, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 3 THEN c_custkey - 2 WHEN c_custkey % 10 = 7 THEN c_custkey - 5 ELSE c_custkey - 1 END AS nxt0 FROM customer),
@@ -210,10 +211,10 @@ def h11(spark, sf_dir):
     return fl.watersheds(tilted(spark, sf_dir))
 
 
-@query("h11_external_inflow", f"""{W}, {d8_sql()}, {PATH} SELECT p.cur AS sind, CAST(sum(CASE WHEN p.src % 50 = 0 THEN p.src % 7 + 1 ELSE 0 END) AS BIGINT) AS acc_ext FROM path p GROUP BY p.cur""")
+@query("h11_external_inflow", f"""{W}, {d8_sql()}, {PATH} SELECT p.cur AS sind, CAST(sum(p.src % 7 + 1) AS BIGINT) AS acc_ext FROM path p GROUP BY p.cur""")
 def h11x(spark, sf_dir):
     d8 = cut(tilted(spark, sf_dir), "d8")
-    ext = d8.filter("sind % 50 = 0").select("sind", (F.col("sind") % 7 + 1).alias("acc"))
+    ext = d8.select("sind", (F.col("sind") % 7 + 1).alias("acc"))
     return fl.add_external(d8, ext)
 
 

@@ -64,22 +64,22 @@ def ma_sql(n: int, weight: float) -> str:
  row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY line_id) AS n, first_value(y) OVER (PARTITION BY line_id ORDER BY vid) AS ya, first_value(y) OVER (PARTITION BY line_id ORDER BY vid DESC) AS yb FROM vertex {WIN}),
 e AS (SELECT line_id, max(av) FILTER (WHERE p = {m}) AS h, max(av) FILTER (WHERE p = n - {m} - 1) AS t FROM a GROUP BY line_id)
 SELECT a.line_id, a.vid, round(CASE WHEN n <= {n} THEN ya + (yb - ya) * CASE WHEN n > 1 THEN p / (n - 1) ELSE 0 END
- ELSE (CASE WHEN p < {m} THEN h WHEN p >= n - {m} THEN t ELSE av END + {weight}E0 * y) / (1 + {weight}E0) END, 6) + 0.0E0 AS y FROM a JOIN e ON a.line_id = e.line_id"""
+ ELSE (CASE WHEN p < {m} THEN h WHEN p >= n - {m} THEN t ELSE av END + {weight}E0 * y) / (1 + {weight}E0) END, 9) + 0.0E0 AS y FROM a JOIN e ON a.line_id = e.line_id"""
 
 
 @query("w5_moving_average_even", ma_sql(10, 0))
 def w5(spark, sf_dir):
-    return se.moving_average(vertex(spark, sf_dir), "y", 10).select("line_id", "vid", r6("y").alias("y"))
+    return se.moving_average(vertex(spark, sf_dir), "y", 10).select("line_id", "vid", (F.round("y", 9) + 0.0).alias("y"))
 
 
 @query("w5_moving_average_odd", ma_sql(7, 2))
 def w5o(spark, sf_dir):
-    return se.moving_average(vertex(spark, sf_dir), "y", 7, 2.0).select("line_id", "vid", r6("y").alias("y"))
+    return se.moving_average(vertex(spark, sf_dir), "y", 7, 2.0).select("line_id", "vid", (F.round("y", 9) + 0.0).alias("y"))
 
 
 @query("w5_moving_average_short", ma_sql(70, 0))
 def w5s(spark, sf_dir):
-    return se.moving_average(vertex(spark, sf_dir), "y", 70).select("line_id", "vid", r6("y").alias("y"))
+    return se.moving_average(vertex(spark, sf_dir), "y", 70).select("line_id", "vid", (F.round("y", 9) + 0.0).alias("y"))
 
 
 @query("w6_cumulative_length", f"{T}, {LEN} SELECT line_id, vid, round(s_from, 6) + 0.0E0 AS s_from, round(total - s_from, 6) + 0.0E0 AS s_to FROM ln")

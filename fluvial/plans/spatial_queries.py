@@ -51,10 +51,10 @@ def j8(spark, sf_dir):
 
 
 @query("j8_tile_code", f"""{with_tables('pt', 'box')}, h AS (SELECT p.pt_id, b.tile_ord, row_number() OVER (PARTITION BY p.pt_id ORDER BY b.tile_ord) AS i FROM pt p
- JOIN box b ON b.tile_ord < 4 AND p.x > b.x0 AND p.x <= b.x1 AND p.y > b.y0 AND p.y <= b.y1)
-SELECT pt_id, CAST(sum((tile_ord + 1) * pow(1000, i - 1)) AS BIGINT) AS code, array_to_string(list(tile_ord ORDER BY i), ',') AS tiles FROM h GROUP BY pt_id""")
+ JOIN box b ON p.x > b.x0 AND p.x <= b.x1 AND p.y > b.y0 AND p.y <= b.y1)
+SELECT pt_id, CASE WHEN count(*) <= 4 THEN CAST(sum((tile_ord + 1) * pow(1000, i - 1)) FILTER (WHERE i <= 4) AS BIGINT) END AS code, array_to_string(list(tile_ord ORDER BY i), ',') AS tiles FROM h GROUP BY pt_id""")
 def j8c(spark, sf_dir):
-    hits = sp.points_in_boxes(pt(spark, sf_dir), box(spark, sf_dir).filter("tile_ord < 4"))
+    hits = sp.points_in_boxes(pt(spark, sf_dir), box(spark, sf_dir))
     return ti.encode_boxes(hits, 1000).select("pt_id", "code", F.array_join("tiles", ",").alias("tiles"))
 
 
@@ -64,18 +64,18 @@ def j9(spark, sf_dir):
     return sp.overlapping_boxes(b, b, "tile_ord", "tile_ord", margin=1.0)
 
 
-@query("j10_priority_lookup", f"""{with_tables('cell', 'pt')}, tl AS (SELECT s_suppkey AS tile_ord, s_suppkey % 5 * 15 AS x0, s_suppkey % 3 * 3 AS yr FROM supplier WHERE s_suppkey < 12),
+@query("j10_priority_lookup", f"""{with_tables('cell', 'pt')}, tl AS (SELECT s_suppkey AS tile_ord, s_suppkey % 5 * 15 AS x0, s_suppkey % 3 * 3 AS yr FROM supplier),
 tc AS (SELECT t.tile_ord, c.iy - t.yr AS iy, c.ix - t.x0 AS ix, (c.z_tilt + t.tile_ord) * 1.0E0 AS z FROM tl t JOIN cell c ON c.ix BETWEEN t.x0 AND t.x0 + 29 AND c.iy BETWEEN t.yr AND t.yr + 9),
 h AS (SELECT p.pt_id, t.tile_ord, CAST(round_even(p.x - t.x0, 0) AS BIGINT) AS ix, CAST(round_even(p.y / 8 - t.yr, 0) AS BIGINT) AS iy FROM pt p CROSS JOIN tl t),
 b AS (SELECT h.pt_id, arg_min(tc.z, h.tile_ord) AS z FROM h JOIN tc USING (tile_ord, iy, ix) WHERE tc.z BETWEEN 20000 AND 300000 GROUP BY h.pt_id)
 SELECT p.pt_id, b.z FROM pt p LEFT JOIN b USING (pt_id)""")
 def j10(spark, sf_dir):
     k = F.col("s_suppkey")
-    tl = read(spark, sf_dir, "supplier").filter("s_suppkey < 12").select(
+    tl = read(spark, sf_dir, "supplier").select(
         k.alias("tile_ord"), (k % 5 * 15).alias("x0"), (-(k % 3 * 3)).alias("y0"), F.lit(1.0).alias("dx"), F.lit(1.0).alias("dy"), F.lit(30).alias("nx"), F.lit(10).alias("ny")
     )
-    c = cell(spark, sf_dir)
-    tc = tl.join(c, c["ix"].between(tl["x0"], tl["x0"] + 29) & c["iy"].between(-tl["y0"], -tl["y0"] + 9)).select(
+    window = tl.withColumn("ix", F.explode(F.sequence("x0", F.col("x0") + 29))).withColumn("iy", F.explode(F.sequence(-F.col("y0"), -F.col("y0") + 9)))
+    tc = window.join(cell(spark, sf_dir).select("iy", "ix", "z_tilt"), ["iy", "ix"]).select(
         "tile_ord", (F.col("iy") + F.col("y0")).alias("iy"), (F.col("ix") - F.col("x0")).alias("ix"), ((F.col("z_tilt") + F.col("tile_ord")) * 1.0).cast("double").alias("z")
     )
     points = pt(spark, sf_dir).select("pt_id", "x", (-F.col("y") / 8).alias("y"))
@@ -99,6 +99,14 @@ def _poly_lines(spark, sf_dir):
 VL = "vl AS (SELECT line_id, vid, x / 10 AS x, y % 100 AS y FROM vertex), vs AS (SELECT line_id, vid AS seg, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM vl WINDOW w AS (PARTITION BY line_id ORDER BY vid))"
 
 
+def _spread_lines(spark, sf_dir):
+    """Lines beside each other, each crossing only those near it."""
+    return vertex(spark, sf_dir).select("line_id", "vid", "x", (F.col("y") + F.col("line_id") * 97).alias("y"))
+
+
+XL = VL.replace("x / 10 AS x, y % 100 AS y", "x, y + line_id * 97 AS y")
+
+
 def ccw(a, b, c):
     return f"(({c[1]} - {a[1]}) * ({b[0]} - {a[0]}) > ({b[1]} - {a[1]}) * ({c[0]} - {a[0]}))"
 
@@ -116,9 +124,9 @@ def j12(spark, sf_dir):
     return sp.lines_meeting_polygons(_poly_lines(spark, sf_dir), ring(spark, sf_dir))
 
 
-@query("j15_crossing_segments", f"""{with_tables('vertex')}, {VL} SELECT a.line_id AS l_line, a.seg AS l_seg, b.line_id AS r_line, b.seg AS r_seg FROM vs a JOIN vs b ON a.line_id < 6 AND b.line_id < 6 AND a.bx IS NOT NULL AND b.bx IS NOT NULL AND {cross_sql('a', 'b')}""")
+@query("j15_crossing_segments", f"""{with_tables('vertex')}, {XL} SELECT a.line_id AS l_line, a.seg AS l_seg, b.line_id AS r_line, b.seg AS r_seg FROM vs a JOIN vs b ON a.bx IS NOT NULL AND b.bx IS NOT NULL AND {cross_sql('a', 'b')}""")
 def j15(spark, sf_dir):
-    segs = cut(sp.segments(_poly_lines(spark, sf_dir).filter("line_id < 6")), "segs")
+    segs = cut(sp.segments(_spread_lines(spark, sf_dir)), "segs")
     return sp.crossing_segments(segs, segs).select("l_line", "l_seg", "r_line", "r_seg")
 
 
@@ -134,12 +142,12 @@ def j14(spark, sf_dir):
 
 @query("j15_noding")
 def j15n(spark, sf_dir):
-    return sp.node_lines(_poly_lines(spark, sf_dir).filter("line_id < 6"))
+    return sp.node_lines(_spread_lines(spark, sf_dir))
 
 
 @query("s22_clip_to_tiles")
 def s22(spark, sf_dir):
-    return sp.clip_segments_to_boxes(sp.segments(_poly_lines(spark, sf_dir)), box(spark, sf_dir).filter("tile_ord < 20"))
+    return sp.clip_segments_to_boxes(sp.segments(_poly_lines(spark, sf_dir)), box(spark, sf_dir))
 
 
 @query("s20_rasterize", f"""{with_tables('ring')}, {PIP}, c AS (SELECT CAST(floor(i / 50) AS BIGINT) AS iy, i % 50 AS ix, (i % 50) * 2 + 0.3E0 AS x, floor(i / 50) * 2 + 0.7E0 AS y FROM range(2500) t(i)),
@@ -175,7 +183,7 @@ def m17(spark, sf_dir):
 @query("h2_trim_overlaps")
 def h2(spark, sf_dir):
     k = F.col("s_suppkey")
-    tiles = read(spark, sf_dir, "supplier").filter("s_suppkey < 100").select(
+    tiles = read(spark, sf_dir, "supplier").select(
         k.alias("tile_id"), (k % 10 * 90).cast("double").alias("x0"), (-(F.floor(k / 10) * 90)).cast("double").alias("y0"), F.lit(101).alias("nx"), F.lit(101).alias("ny"), F.lit(1.0).alias("dxy")
     )
     return ti.trim_overlaps(tiles).withColumn("neighbours", F.array_join("neighbours", ","))
@@ -232,13 +240,13 @@ def p22(spark, sf_dir):
     return b.select("line_id", "vid", *[(F.round(c, 5) + 0.0).alias(c) for c in ("xr", "yr", "xl", "yl")])
 
 
-@query("p23_nudge_bank", f"""{V}, {ANG}, b AS (SELECT *, x + cos(perp) * (vid % 50) AS bx, y + sin(perp) * (vid % 50) AS bb, CAST(vid % 50 AS DOUBLE) AS d FROM vp)
-SELECT line_id, vid, round(x + cos(perp) * CASE WHEN d < 10 THEN 10 WHEN d > 30 THEN 30 ELSE d END, 4) + 0.0E0 AS bx FROM b WHERE vid % 50 NOT IN (10, 30)""")
+@query("p23_nudge_bank", f"""{V}, {ANG}, b AS (SELECT *, x + cos(perp) * (vid % 50 + 0.5) AS bx, y + sin(perp) * (vid % 50 + 0.5) AS bb, vid % 50 + 0.5E0 AS d FROM vp)
+SELECT line_id, vid, round(x + cos(perp) * CASE WHEN d < 10 THEN 10 WHEN d > 30 THEN 30 ELSE d END, 4) + 0.0E0 AS bx FROM b""")
 def p23(spark, sf_dir):
     rows = se.normals(vertex(spark, sf_dir)).withColumns(
-        {"bx": F.col("x") + F.cos("perp") * (F.col("vid") % 50), "by": F.col("y") + F.sin("perp") * (F.col("vid") % 50)}
+        {"bx": F.col("x") + F.cos("perp") * (F.col("vid") % 50 + 0.5), "by": F.col("y") + F.sin("perp") * (F.col("vid") % 50 + 0.5)}
     )
-    return ar.nudge_bank(rows, "bx", "by", 10.0, 30.0).filter(~(F.col("vid") % 50).isin(10, 30)).select("line_id", "vid", (F.round("bx", 4) + 0.0).alias("bx"))
+    return ar.nudge_bank(rows, "bx", "by", 10.0, 30.0).select("line_id", "vid", (F.round("bx", 4) + 0.0).alias("bx"))
 
 
 @query("r6_drop_sharp_turns")
@@ -334,9 +342,9 @@ def p16(spark, sf_dir):
     return me.element_shapes(elem(spark, sf_dir), node(spark, sf_dir)).select("elem_id", "i34", r6("area").alias("area"))
 
 
-@query("p17_skewness", f"{M}, {SHAPE} SELECT elem_id, round(skew, 5) + 0.0E0 AS skew FROM sh WHERE area > 0.001")
+@query("p17_skewness", f"{M}, {SHAPE} SELECT elem_id, round(skew, 5) + 0.0E0 AS skew FROM sh")
 def p17(spark, sf_dir):
-    return me.element_shapes(elem(spark, sf_dir), node(spark, sf_dir)).filter("area > 0.001").select("elem_id", (F.round("skew", 5) + 0.0).alias("skew"))
+    return me.element_shapes(elem(spark, sf_dir), node(spark, sf_dir)).select("elem_id", (F.round("skew", 5) + 0.0).alias("skew"))
 
 
 @query("m15_centroids", f"{M}, {SHAPE} SELECT elem_id, round(cx, 6) + 0.0E0 AS cx, round(cy, 6) + 0.0E0 AS cy FROM sh WHERE skew >= 3.9")
@@ -355,17 +363,21 @@ def m7(spark, sf_dir):
     return me.node_rings(elem(spark, sf_dir))
 
 
-@query("m7_two_rings", f"{with_tables('elem')}, {EN}, r AS (SELECT DISTINCT a.node_id, b.node_id AS other FROM en a JOIN en b ON a.elem_id = b.elem_id) SELECT DISTINCT a.node_id, b.other FROM r a JOIN r b ON b.node_id = a.other WHERE a.node_id % 50 = 0")
+def _skewed_nodes(spark, sf_dir):
+    e = elem(spark, sf_dir)
+    bad = me.element_shapes(e, node(spark, sf_dir)).filter("skew >= 3.9").select("elem_id")
+    return me.element_nodes(e).join(bad, "elem_id", "left_semi").select("node_id")
+
+
+@query("m7_two_rings", f"{M}, {SHAPE}, bad AS (SELECT DISTINCT e.node_id FROM en e JOIN sh ON sh.elem_id = e.elem_id WHERE sh.skew >= 3.9), r AS (SELECT DISTINCT a.node_id, b.node_id AS other FROM en a JOIN en b ON a.elem_id = b.elem_id) SELECT DISTINCT a.node_id, b.other FROM r a JOIN r b ON b.node_id = a.other WHERE a.node_id IN (SELECT node_id FROM bad)")
 def m7b(spark, sf_dir):
     e = elem(spark, sf_dir)
-    seeds = me.element_nodes(e).filter("node_id % 50 = 0")
-    return me.node_rings(e, seeds, 2)
+    return me.node_rings(e, _skewed_nodes(spark, sf_dir), 2)
 
 
-@query("m8_grow_nodes", f"{with_tables('elem')}, {EN}, r AS (SELECT DISTINCT a.node_id, b.node_id AS other FROM en a JOIN en b ON a.elem_id = b.elem_id) SELECT DISTINCT b.other AS node_id FROM r a JOIN r b ON b.node_id = a.other WHERE a.node_id % 97 = 0")
+@query("m8_grow_nodes", f"{M}, {SHAPE}, bad AS (SELECT DISTINCT e.node_id FROM en e JOIN sh ON sh.elem_id = e.elem_id WHERE sh.skew >= 3.9), r AS (SELECT DISTINCT a.node_id, b.node_id AS other FROM en a JOIN en b ON a.elem_id = b.elem_id) SELECT DISTINCT b.other AS node_id FROM r a JOIN r b ON b.node_id = a.other WHERE a.node_id IN (SELECT node_id FROM bad)")
 def m8(spark, sf_dir):
-    e = elem(spark, sf_dir)
-    return me.grow_nodes(e, me.element_nodes(e).filter("node_id % 97 = 0"), 2)
+    return me.grow_nodes(elem(spark, sf_dir), _skewed_nodes(spark, sf_dir), 2)
 
 
 @query("m9_boundary_nodes", f"""{with_tables('elem')}, {EN}, k AS (SELECT *, count(*) OVER (PARTITION BY elem_id) AS k FROM en), s AS (SELECT least(a.node_id, b.node_id) AS p, greatest(a.node_id, b.node_id) AS q FROM k a JOIN k b ON b.elem_id = a.elem_id AND b.pos = (a.pos + 1) % a.k),
