@@ -191,6 +191,34 @@ def drain_depressions(d8: DataFrame, tile: int = 512, max_rounds: int = 64) -> D
     return state.select("sind", "iy", "ix", "z", "nxt")
 
 
+def carve(flow: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """``flow`` with ``z`` lowered to the lowest elevation of all cells that drain through a cell.
+
+    Elevations then never rise along ``nxt``. Round k takes in the cells within
+    2**k steps upstream, pre-aggregated before the shuffle.
+    """
+    low = cut(flow.filter("z is not null").select("sind", F.col("nxt").alias("to"), F.col("z").alias("low")), "carve")
+    for _ in range(max_rounds):
+        inflow = low.filter("to is not null").groupBy(F.col("to").alias("sind")).agg(F.min("low").alias("above"))
+        if inflow.limit(1).count() == 0:
+            break
+        jump = low.select(F.col("sind").alias("to"), F.col("to").alias("_to"))
+        wide = low.join(inflow, "sind", "left").withColumn("low", F.least("low", "above"))
+        low = cut(wide.join(jump, "to", "left").select("sind", F.col("_to").alias("to"), "low"), "carve")
+    out = flow.join(low.select("sind", "low"), "sind", "left").withColumn("z", F.coalesce("low", "z"))
+    return out.select(flow.columns)
+
+
+def breach_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
+    """``sind, iy, ix, z, nxt``: inner pits opened by carving down the way over their lowest passes.
+
+    Ways are those of :func:`drain_depressions`. Cells off these ways, cells
+    without data, and pits at the grid's edge or beside such cells keep ``z``.
+    """
+    drained = cut(drain_depressions(d8, tile), "breach")
+    return carve(drained)
+
+
 def spread_distance(links: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """``sind, dist``: steps from the nearest seed over ``links`` (``a, b``), seeds at 1."""
     seen = cut(seeds.select("sind").distinct().withColumn("dist", F.lit(1).cast("long")), "spread")

@@ -31,6 +31,12 @@ def h17(spark, sf_dir):
     return fill.drain_depressions(d8).select("sind", "nxt")
 
 
+@query("h20_breach_depressions")
+def h20(spark, sf_dir):
+    d8 = cut(raster.d8_directions(cell(spark, sf_dir), "z_noise"), "d8")
+    return fill.breach_depressions(d8).select("sind", "z", "nxt")
+
+
 @query("h16_resolve_flats")
 def h16(spark, sf_dir):
     return fill.resolve_flats(cut(raster.d8_directions(_bowl(spark, sf_dir)), "d8")).select("sind", "dir")
@@ -227,3 +233,14 @@ def m11(spark, sf_dir):
     e, n = elem(spark, sf_dir), node(spark, sf_dir)
     bad = mesh.quality_report(mesh.element_shapes(e, n), 0.3, 3.9)
     return mesh.swap_long_sides(e, n, bad)
+
+
+@query("m11_collapse")
+def m11_collapse(spark, sf_dir):
+    from ..adapters import elem, node
+    from ..operators import mesh
+
+    e, n = elem(spark, sf_dir), node(spark, sf_dir)
+    bad = mesh.quality_report(mesh.element_shapes(e, n), 0.3, 3.9)
+    nodes, elems = mesh.merge_coincident(cut(mesh.collapse_targets(n, e, bad, fixed=mesh.boundary_nodes(e)), "collapsed"), e)
+    return mesh.element_shapes(elems, nodes).select("elem_id", "i34", r6("area").alias("area"))

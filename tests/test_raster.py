@@ -104,6 +104,23 @@ def test_draining_leaves_no_inner_pit_and_no_loop(spark):
         assert at.iy in (0, 14) or at.ix in (0, 13)
 
 
+def test_breaching_lowers_to_the_lowest_cell_upstream(spark):
+    z = np.random.default_rng(6).permutation(13 * 14).reshape(13, 14).astype(float)
+    z[4, 5] = np.nan
+    d8 = raster.d8_directions(grid(spark, z))
+    drained = {r.sind: r for r in fill.drain_depressions(d8, tile=8).collect()}
+    want = {s: r.z for s, r in drained.items()}
+    for s in drained:
+        at = drained[s]
+        while at.nxt is not None:
+            want[at.nxt] = min(want[at.nxt], drained[s].z)
+            at = drained[at.nxt]
+    got = {r.sind: r for r in fill.breach_depressions(d8, tile=8).collect()}
+    assert {s: r.z for s, r in got.items()} == want and any(want[s] < drained[s].z for s in want)
+    assert all(r.nxt is None or got[r.nxt].z <= r.z for r in got.values())
+    assert fill.breach_depressions(d8.limit(0)).count() == 0
+
+
 def test_flats_drain(spark):
     z = np.array([[9, 9, 9, 9, 9, 9], [9, 5, 5, 5, 5, 4], [9, 5, 5, 5, 5, 9], [9, 9, 9, 9, 9, 9]], float)
     d8 = raster.d8_directions(grid(spark, z))
