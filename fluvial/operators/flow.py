@@ -72,23 +72,28 @@ def loop_flags(edges: DataFrame, key: str = "sind", nxt: str = "nxt") -> DataFra
     )
 
 
-def downstream_paths(edges: DataFrame, starts: DataFrame, max_steps: int = 100_000) -> DataFrame:
+def downstream_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, step, sind``: all cells from each start to its terminal cell.
 
     Paths are built by doubling: from the first 2**k cells of every path and
-    the jump of 2**k steps come the next 2**k.
+    the jump of 2**k steps come the next 2**k. A path has no more steps than
+    there are edges, so a start with a longer one runs into a loop, which
+    raises before any path is built.
     """
     jump = cut(edges.select(F.col("sind").alias("a"), F.col("nxt").alias("b")).filter("b is not null"), "jump")
-    paths = cut(starts.select(F.col("sind").alias("start"), F.lit(0).cast("long").alias("step"), "sind"), "path")
-    span = 1
-    while span <= max_steps:
-        more = paths.join(jump, paths["sind"] == jump["a"]).select("start", (F.col("step") + span).alias("step"), F.col("b").alias("sind"))
-        more = cut(more, "path")
-        if more.limit(1).count() == 0:
+    jumps = []
+    for _ in range(jump.count().bit_length() + 1):
+        if starts.join(jump, starts["sind"] == jump["a"], "left_semi").limit(1).count() == 0:
             break
-        paths = cut(paths.unionByName(more), "path")
+        jumps.append(jump)
         nxt = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        jump, span = cut(nxt, "jump"), span * 2
+        jump = cut(nxt, "jump")
+    else:
+        raise ValueError("a downstream path does not end: it runs into a loop")
+    paths = cut(starts.select(F.col("sind").alias("start"), F.lit(0).cast("long").alias("step"), "sind"), "path")
+    for k, jump in enumerate(jumps):
+        more = paths.join(jump, paths["sind"] == jump["a"]).select("start", (F.col("step") + (1 << k)).alias("step"), F.col("b").alias("sind"))
+        paths = cut(paths.unionByName(more), "path")
     return paths
 
 

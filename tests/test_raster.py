@@ -121,6 +121,21 @@ def test_breaching_lowers_to_the_lowest_cell_upstream(spark):
     assert fill.breach_depressions(d8.limit(0)).count() == 0
 
 
+def test_paths_have_no_longest_length(spark):
+    n = 140_000
+    chain = spark.range(n).select(F.col("id").alias("sind"), F.when(F.col("id") < n - 1, F.col("id") + 1).alias("nxt"))
+    got = flow.downstream_paths(chain, spark.createDataFrame([(0,)], "sind long"))
+    assert got.agg(F.count("*"), F.max("step"), F.count_if(F.col("step") == F.col("sind"))).first() == (n, n - 1, n)
+
+
+def test_path_into_a_loop_is_refused(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (5, None)], "sind long, nxt long")
+    got = flow.downstream_paths(edges, spark.createDataFrame([(4,), (5,)], "sind long"))
+    assert sorted((r.start, r.step, r.sind) for r in got.collect()) == [(4, 0, 4), (4, 1, 5), (5, 0, 5)]
+    with pytest.raises(ValueError, match="loop"):
+        flow.downstream_paths(edges, spark.createDataFrame([(1,)], "sind long"))
+
+
 def test_flats_drain(spark):
     z = np.array([[9, 9, 9, 9, 9, 9], [9, 5, 5, 5, 5, 4], [9, 5, 5, 5, 5, 9], [9, 9, 9, 9, 9, 9]], float)
     d8 = raster.d8_directions(grid(spark, z))
