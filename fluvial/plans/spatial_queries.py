@@ -404,10 +404,10 @@ def m6(spark, sf_dir):
 def m12(spark, sf_dir):
     e, n = elem(spark, sf_dir), node(spark, sf_dir)
     free = me.element_nodes(e).select("node_id").distinct().join(me.boundary_nodes(e), "node_id", "left_anti")
-    return me.relax_nodes(n, e, free, 2).select("node_id", r6("x").alias("x"), r6("y").alias("y"))
+    return me.relax_nodes(n, e, free).select("node_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query("m14_improve_mesh")
 def m14(spark, sf_dir):
-    nodes, elems = me.improve_mesh(node(spark, sf_dir), elem(spark, sf_dir), 0.3, 3.9, rounds=1)
+    nodes, elems = me.improve_mesh(node(spark, sf_dir), elem(spark, sf_dir), 0.3, 3.9)
     return me.quality_report(me.element_shapes(elems, nodes), 0.3, 3.9).select("elem_id", "why")
