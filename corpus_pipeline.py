@@ -11,23 +11,19 @@ from fluvial.llm.langid import keep_determined, train_languages
 from fluvial.llm.packing import pack_documents
 from fluvial.llm.quality import keep_quality, train_quality
 
-#: A document stays if it is of good quality with at least this probability.
-LEAST_QUALITY = 0.4
-#: A document stays if its language is told with at least this probability.
-LEAST_LANGUAGE = 0.3
-#: SQL cannot express the trained stages; they are tested against brute-force versions.
+#: SQL cannot express the trained stages; tests/llm/test_pipeline.py holds them against brute-force versions.
 ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the whole tables' labelled rows."""
+    """Documents for which ``op8_quality`` predicts 1; the classifier learns from the whole tables' labelled rows."""
     model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return keep_quality(docs, model, LEAST_QUALITY)
+    return keep_quality(docs, model)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell."""
-    return keep_determined(docs, train_languages(table(spark, sf_dir, "documents")), LEAST_LANGUAGE)
+    """Documents for which ``op9_language_id`` gives a language, not ``und``."""
+    return keep_determined(docs, train_languages(table(spark, sf_dir, "documents")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,16 +218,16 @@ def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_determined(docs: DataFrame, net: ByteConvNet, least: float) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose language is told with a score of ``least``."""
+def keep_determined(docs: DataFrame, net: ByteConvNet) -> DataFrame:
+    """The rows of ``docs``, with their columns, for which :func:`predict_languages` gives a language, not ``und``."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                names, scores = shared.value.predict(batch.column("text").to_pylist())
-                yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]))
+                names, _ = shared.value.predict(batch.column("text").to_pylist())
+                yield batch.filter(pa.array([n != UNDETERMINED for n in names]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -169,7 +169,7 @@ class QualityModel:
     def __init__(self, texts: list[str | None], labels: list[int], p: QualityParameters) -> None:
         codes = [codes_of(t, p.buckets) for t in texts]
         self.buckets, self.index = p.buckets, RandomIndex(p, codes)
-        self.constant = float(np.mean(labels)) if labels else 0.5
+        self.constant, self.learned = float(np.mean(labels)) if labels else 0.5, bool(labels)
         x = np.stack([self.index.pool(c) for c in codes]).astype(np.float64) if texts else np.zeros((0, 1))
         self.net = TwoLayer(x, np.array(labels, float), p) if len(set(labels)) > 1 else None
 
@@ -198,7 +198,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters
     return QualityModel([r[1] for r in rows], [r[2] for r in rows], p)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
+#: A document is predicted to be of good quality from this score on.
+ACCEPTED = 0.7
+
+
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = ACCEPTED) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted`` for every whole text.
 
     Only the text enters a score; null and empty texts are scored too.
@@ -221,8 +225,13 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
     )
 
 
-def keep_quality(docs: DataFrame, model: QualityModel, threshold: float) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose score reaches ``threshold``."""
+def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = ACCEPTED) -> DataFrame:
+    """The rows of ``docs``, with their columns, for which :func:`score_quality` predicts 1.
+
+    All rows if the model has seen no label at all.
+    """
+    if not model.learned:
+        return docs
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,6 +2,8 @@ import numpy as np
 
 import corpus_pipeline
 from fluvial.llm.common import gapless_index
+from fluvial.llm.langid import ByteConvNet, LanguageParameters, predict_languages, train_languages
+from fluvial.llm.quality import QualityModel, QualityParameters, score_quality, train_quality
 
 
 def test_stages(spark, tmp_path):
@@ -26,6 +28,35 @@ def test_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "language_id", "near_duplicates", "packing"]
 
 
+def test_filters_keep_what_their_operators_accept(spark, documents, monkeypatch):
+    docs = documents([(i, t) for i, t in enumerate(["then with hand", "stone river", "12 34", None])])
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    model, net = QualityModel([], [], QualityParameters()), ByteConvNet(["a", "b", "c", "d"], LanguageParameters())
+    net.weight, net.bias = net.weight * 0, net.bias * 0
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline, "train_quality", lambda *_: model)
+    monkeypatch.setattr(corpus_pipeline, "train_languages", lambda *_: net)
+    assert ids(corpus_pipeline.quality_classifier(spark, docs, "")) == [0, 1, 2, 3]
+    model.learned = True
+    for model.constant, want in ((0.5, []), (0.69, []), (0.7, [0, 1, 2, 3])):
+        assert ids(corpus_pipeline.quality_classifier(spark, docs, "")) == want == ids(score_quality(docs, model).filter("predicted = 1"))
+    assert ids(corpus_pipeline.language_id(spark, docs, "")) == [0, 1] == ids(predict_languages(docs, net).filter("lang_pred != 'und'"))
+
+
+def test_trained_stages_equal_brute_force(spark, documents, prose, tmp_path):
+    texts = [t.upper() + "!!" if i % 3 == 0 else t for i, t in enumerate(prose(150, 3, 5, 30))] + [None, "", "12 34"]
+    docs = documents(list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, model, net = docs.cache(), train_quality(docs, labels), train_languages(docs)
+    good = {i for i, t in enumerate(texts) if model.score([t])[0] >= 0.7}
+    told = {i for i, t in enumerate(texts) if net.predict([t])[0] != ["und"]}
+    assert 0 < len(good) < len(texts) and len(told) == 150
+    assert {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).collect()} == good
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == told
+
+
 def test_gapless_numbers(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(100)] + [(None, 5), (None, 6)], "g int, v long")
     got = gapless_index(df, ["g"], ["v"], "n", 4).toPandas()
