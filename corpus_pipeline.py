@@ -27,15 +27,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word shingle sets with a Jaccard similarity of 0.8 or more.
+    """One row of each class of five-word shingle sets with a Jaccard similarity of 0.8 or more.
 
-    The document with the class's least id stays. Rows without id, which link
-    with nothing, stay; of rows that repeat an id one stays.
+    The row with the class's least id stays. Every row is judged by its own
+    text, also where rows repeat an id. Rows without id, and those without
+    words, link with nothing and stay.
     """
-    classes = jaccard_classes(docs)
-    kept = classes.filter("component_id = doc_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    # Written once, since the numbers depend on how the rows are read.
+    rows = materialize(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "dedup-rows")
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    keys = rows.select("_row", F.struct("doc_id", F.xxhash64("text"), "_row").alias("key"))
+    kept = classes.join(keys, "_row").groupBy("component_id").agg(F.min("key")["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns).union(docs.filter(F.col("doc_id").isNull()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import corpus_pipeline
 from fluvial.llm.common import gapless_index
 from fluvial.llm.langid import ByteConvNet, LanguageParameters, predict_languages, train_languages
 from fluvial.llm.quality import QualityModel, QualityParameters, score_quality, train_quality
+from fluvial.llm.shingles import shingle_set
 
 
 def test_stages(spark, tmp_path):
@@ -57,6 +58,28 @@ def test_trained_stages_equal_brute_force(spark, documents, prose, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()} == told
 
 
+def test_near_duplicates_are_judged_row_by_row(spark, documents, prose):
+    a, b, c, d = prose(4, 5, 30, 40)
+    rows = [(5, a), (5, b), (3, b), (6, c), (6, c), (7, None), (7, None), (None, d), (9, d), (8, d)]
+    got = corpus_pipeline.near_duplicates(spark, documents(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, a), (3, b), (6, c), (7, None), (7, None), (None, d), (8, d)], key=str)
+
+
+def test_near_duplicates_equal_brute_force(spark, documents, prose):
+    rng, base = np.random.default_rng(4), prose(40, 6, 20, 60)
+    near = [" ".join(w for w in t.split() if rng.random() > 0.02) for t in base]
+    rows = [(int(i), t) for i, t in zip(rng.integers(0, 60, 80), base + near)]
+    sets = [set(shingle_set(t).tolist()) for _, t in rows]
+    group = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min(rows[i][0] for i in range(80) if group[i] == g) for g in set(group)}
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, documents(rows), "").collect()]
+    assert len(least) < 80 and sorted(got) == sorted(least.values())
+
+
 def test_gapless_numbers(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(100)] + [(None, 5), (None, 6)], "g int, v long")
     got = gapless_index(df, ["g"], ["v"], "n", 4).toPandas()
