@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,18 +122,19 @@ def adaptive_scan(
 
 def _search_block(p: AnnParameters):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "asked": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             rows = rows.sort_values("vec_id", kind="stable")
             ids, original, rotated = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy()), np.stack(rows["r"].to_numpy())
-            for query_id, q, qr, bound in zip(queries["query_id"], queries["v"], queries["r"], queries["bound"], strict=True):
-                kept = adaptive_scan(qr, rotated, p.k + 1, p.columns, p.epsilon, bound)
+            for query_id, asked, q, qr, bound in zip(queries["query_id"], queries["asked"], queries["v"], queries["r"], queries["bound"], strict=True):
+                # Rows with the query's id are left out first, so that they do not tighten the bound.
+                others = np.flatnonzero(ids != query_id)
+                kept = others[adaptive_scan(qr, rotated if len(others) == len(ids) else rotated[others], p.k, p.columns, p.epsilon, bound)]
                 diff = original[kept] - q
                 score = np.sqrt((diff * diff).sum(1))
-                own = ids[kept] == query_id
-                kept, score = kept[~own], score[~own]
                 top = np.lexsort((ids[kept], score))[: p.k]
                 out["query_id"] += [query_id] * len(top)
+                out["asked"] += [asked] * len(top)
                 out["vec_id"] += ids[kept][top].tolist()
                 out["score"] += score[top].tolist()
         return pd.DataFrame(out)
@@ -157,33 +159,38 @@ def nearest_neighbours(
     candidates that survive the scan are those of the original vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    take no part, nor do null ids. Vectors of a length other than the most
-    common one of the sample take no part. Rows that repeat an id are
-    candidates each, and not of a query with their id. An empty table gives no
-    rows. Other columns are ignored.
+    take no part, nor do null ids. Vectors meet only vectors of their length,
+    each length with an index of its own. Rows that repeat an id are candidates
+    each, and not of a query with their id; different vectors of one query id
+    are queries each, equal ones are one query. An empty table gives no rows.
+    Other columns are ignored.
     """
     p = params or AnnParameters()
-    spark = vectors.sparkSession
     base = usable(vectors, id_col, vector_col)
+    # One row a length.
+    lengths = sorted((r[0], r[1]) for r in base.groupBy(F.size("v")).count().collect())
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search_length(base.filter(F.size("v") == dims), dims, total, query_modulus, p) for dims, total in lengths]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_length(base: DataFrame, dims: int, total: int, query_modulus: int, p: AnnParameters) -> DataFrame:
+    """:func:`nearest_neighbours` among the ``total`` rows ``vec_id, v`` of length ``dims``."""
+    spark = base.sparkSession
     # Bounded by ``sample``.
-    sampled = [np.asarray(r[0]) for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("v").collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sampled:
-        return spark.createDataFrame([], schema)
-    lengths, counts = np.unique([len(v) for v in sampled], return_counts=True)
-    dims = int(lengths[counts.argmax()])
-    x = np.stack([v for v in sampled if len(v) == dims])
-    total = base.count()
+    sampled = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("vec_id", "v").collect()
+    x = np.stack([np.asarray(r[1]) for r in sampled])
     n_lists = int(min(p.max_lists, max(1, total**0.5 / 2), max(1, len(x) // 8)))
     rng = np.random.default_rng(p.seed)
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
     centres = kmeans(x @ rotation, n_lists, p.seed)
     probes = min(n_lists, max(p.min_probes, probes_for(x @ rotation, centres, p.k, p.trials, p.target)))
-    shared = spark.sparkContext.broadcast((rotation, centres, x[: p.anchors] @ rotation))
+    shared = spark.sparkContext.broadcast((rotation, centres, x[: p.anchors] @ rotation, np.array([r[0] for r in sampled[: p.anchors]])))
 
     def place(n: int, asked: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rot, cen, anchors = shared.value
+            rot, cen, anchors, anchor_ids = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -191,10 +198,12 @@ def nearest_neighbours(
                 turned = flat @ rot
                 lists = nearest_lists(turned, cen, n)
                 bound = np.full(len(flat), np.inf)
-                if asked and len(anchors) > p.k:
-                    for i, row in enumerate(turned):
-                        # The k-th besides the query itself, which may be an anchor.
-                        bound[i] = np.partition(((anchors - row) ** 2).sum(1), p.k)[p.k] * (1 + 1e-9)
+                if asked:
+                    for i, (row, own) in enumerate(zip(turned, batch.column(0).to_numpy(), strict=True)):
+                        # The k-th of the anchors with other ids, with room for rounding in the rotation.
+                        d = ((anchors - row) ** 2).sum(1)[anchor_ids != own]
+                        if len(d) >= p.k:
+                            bound[i] = np.partition(d, p.k - 1)[p.k - 1] * (1 + 1e-9) + 1e-24 * (row @ row)
                 ends = pa.array(np.arange(len(flat) + 1) * dims, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -210,17 +219,17 @@ def nearest_neighbours(
         return run
 
     schema_placed = "vec_id long, v array<double>, r array<double>, lists array<int>, bound double"
-    sized = base.filter(F.size("v") == dims)
     indexed = materialize(
-        sized.mapInArrow(place(1), schema_placed).select("vec_id", "v", "r", F.col("lists")[0].alias("list")), "ann-index"
+        base.mapInArrow(place(1), schema_placed).select("vec_id", "v", "r", F.col("lists")[0].alias("list")), "ann-index"
     )
     # One row a list, at most ``max_lists``.
     blocks = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")))
     rows = indexed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = (
-        sized.filter(F.col("vec_id") % query_modulus == 0)
+        base.filter(F.col("vec_id") % query_modulus == 0)
+        .dropDuplicates(["vec_id", "v"])
         .mapInArrow(place(probes, True), schema_placed)
-        .select(F.col("vec_id").alias("query_id"), "v", "r", "bound", F.explode("lists").alias("list"))
+        .select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("asked"), "v", "r", "bound", F.explode("lists").alias("list"))
         .join(blocks, "list")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .drop("blocks")
@@ -228,9 +237,9 @@ def nearest_neighbours(
     found = (
         asked.groupBy("list", "block")
         .cogroup(rows.groupBy("list", "block"))
-        .applyInPandas(_search_block(p), "query_id long, vec_id long, score double")
+        .applyInPandas(_search_block(p), "query_id long, asked long, vec_id long, score double")
     )
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= p.k)

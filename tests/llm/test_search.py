@@ -74,3 +74,16 @@ def test_odd_vectors_and_few_rows(spark, search):
     got = search(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1), (0, 1)]
     assert search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_query_ids_and_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 4)).astype(np.float32).astype(float)
+    rows = [(i + 1, list(map(float, r)), 0) for i, r in enumerate(x)] + [(100, [0.5, 0.0, 0.0, 0.0], 0)] * 25
+    short = [(200, [1.0, 0.0], 0), (201, [0.0, 1.0], 0), (202, [1.0, 0.5], 0)]
+    got = nearest_neighbours(spark.createDataFrame(rows + short, SCHEMA)).collect()
+    d = np.sqrt(((x - [0.5, 0.0, 0.0, 0.0]) ** 2).sum(1))
+    at = {(r.query_id, r.rank): r.vec_id for r in got}
+    assert len(at) == len(got) == 12
+    assert [at[100, k] for k in range(1, 11)] == (np.argsort(d)[:10] + 1).tolist()
+    assert [at[200, k] for k in (1, 2)] == [202, 201]
