@@ -146,6 +146,8 @@ def fill_by_relaxation(cells: DataFrame, z: str = "z", epsilon: float = 0.0, max
         if nxt.filter("w < was").limit(1).count() == 0:
             break
         state = nxt.drop("was")
+    else:
+        raise RuntimeError(f"filling has not settled after {max_rounds} rounds")
     return state.select("sind", "iy", "ix", F.col("w").alias("z"))
 
 

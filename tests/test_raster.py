@@ -92,6 +92,15 @@ def test_relaxation_equals_tiles_without_slope(spark):
     assert all(got[i, j] == want[i, j] for i in range(9) for j in range(8))
 
 
+def test_relaxation_with_slope_settles_or_raises(spark):
+    z = np.full((5, 5), 9.0)
+    z[1:4, 1:4], z[2, 4] = 1.0, 5.0
+    got = {r.sind: r.z for r in fill.fill_by_relaxation(grid(spark, z), epsilon=0.5, tile=4).collect()}
+    assert [got[10 + j] for j in range(5)] == [9.0, 6.5, 6.0, 5.5, 5.0]
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        fill.fill_by_relaxation(grid(spark, z), epsilon=0.5, max_rounds=2, tile=4)
+
+
 def test_draining_leaves_no_inner_pit_and_no_loop(spark):
     z = np.random.default_rng(5).permutation(15 * 14).reshape(15, 14).astype(float)
     out = {r.sind: r for r in fill.drain_depressions(raster.d8_directions(grid(spark, z)), tile=8).collect()}
