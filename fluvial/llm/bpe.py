@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, table, text_batches, worker_cache
+from .common import BoundedCache, calm_collector, table, sliced, worker_cache
 from .tokens import PATTERN, default_vocabulary, load_vocabulary
 
 _NEVER = 1 << 30
@@ -119,7 +119,7 @@ def worker_codec(path: str) -> ByteBpe:
 def _digest_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
                 raw = bpe.encode_bytes(text.as_py() or "")
@@ -138,11 +138,10 @@ def _digest_batches(path: str):
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids`` (array of int) of every whole text; a null text has no ids."""
     path = vocabulary or default_vocabulary()
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = pa.array([bpe.encode(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
@@ -155,7 +154,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             text = pa.array([bpe.decode(i.as_py() or []) for i in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], ["doc_id", "text"])
 
@@ -171,7 +170,6 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFr
     ``docs`` are ignored. Runs without blanks of any length are merged by a
     heap, so a very long text costs no more per byte. No shuffle.
     """
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _digest_batches(vocabulary or default_vocabulary()),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",

@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import Workspace, cut as materialize, scratch_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data directory through Spark (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in a single-machine test, a temporary
-    folder is chosen and set as the checkpoint folder of the context.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if not current:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fluvial-ckpt-"))
-        current = sc.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (cuts lineage, survives lost executors)."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """Configured number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -94,10 +66,13 @@ def gapless_index(
 
 
 def calm_collector() -> None:
-    """Let Python look for cycles rarely; the workers' large caches hold none."""
+    """Let a Python worker look for cycles rarely, since its large caches hold none; other processes are left alone."""
     import gc
 
-    gc.set_threshold(500_000, 100, 1000)
+    from pyspark import TaskContext
+
+    if TaskContext.get() is not None:
+        gc.set_threshold(500_000, 100, 1000)
 
 
 _held: dict = {}
@@ -111,12 +86,14 @@ def worker_cache(owner: tuple, build):
     return _held[owner]
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of at most ``rows``, so that long ones do not add up in a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of at most ``rows``, so that what Python makes of long texts does not add up.
+
+    Spark itself bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class BoundedCache(dict):

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table, text_batches
+from .common import is_held_out, table, sliced
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -182,7 +182,10 @@ def fit_network(texts: list[str], langs: list[str], p: LanguageParameters) -> By
 
 
 def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -> ByteConvNet:
-    """Fit on at most ``params.sample`` documents with text and language that are not held out."""
+    """Fit on at most ``params.sample`` documents with text and language that are not held out.
+
+    Of rows that repeat an id the one with the least language and text counts.
+    """
     p = params or LanguageParameters()
     ids = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -191,10 +194,18 @@ def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -
         .limit(p.sample)
         .distinct()
     )
-    # Bounded by ``sample``: the ids first, so that whole texts are not sorted.
-    rows = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").join(F.broadcast(ids), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))[: 2 * p.sample]
-    return fit_network([r[1] for r in rows], [r[2] for r in rows], p)
+    # The ids first, so that whole texts are not sorted; then one row an id, so ``sample`` bounds what is collected.
+    rows = (
+        docs.select("doc_id", "text", "lang")
+        .filter("lang is not null and text is not null")
+        .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("lang", "text")).alias("row"))
+        .select("doc_id", "row.lang", "row.text")
+        .collect()
+    )
+    rows = sorted(rows, key=lambda r: r[0])
+    return fit_network([r[2] for r in rows], [r[1] for r in rows], p)
 
 
 def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
@@ -204,11 +215,10 @@ def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
     was learned. A very long text is cut into windows of fixed length, all of
     which count.
     """
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 texts = batch.column(1).to_pylist()
                 names, scores = shared.value.predict(texts) if shared.value.languages else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
@@ -219,12 +229,16 @@ def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """The rows of ``docs``, with their columns, for which :func:`predict_languages` gives a language, not ``und``."""
-    text_batches(docs.sparkSession)
+    """The rows of ``docs``, with their columns, for which :func:`predict_languages` gives a language, not ``und``.
+
+    All rows if the network has learned no language.
+    """
+    if not net.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 names, _ = shared.value.predict(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([n != UNDETERMINED for n in names]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_index, materialize, shuffle_width, table, text_batches, worker_cache
+from .common import gapless_index, materialize, shuffle_width, table, sliced, worker_cache
 from .sharding import CapacityTree
 from .tokens import FastEncoder, default_vocabulary
 
@@ -36,7 +36,7 @@ def harmonic_cuts(n: int, capacity: int) -> list[int]:
 def _cut_batches(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, cut_cache = worker_cache(("encoder", path), lambda: FastEncoder(path)), {}
-        for batch in batches:
+        for batch in sliced(batches):
             ids_in = batch.column(0).to_pylist()
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(ids_in, batch.column(1), strict=True):
@@ -59,7 +59,6 @@ def _cut_batches(path: str, capacity: int):
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024) -> DataFrame:
     """Tokenise every whole text, append id 0 and cut it at harmonic ceilings."""
     path = vocabulary or default_vocabulary()
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_cut_batches(path, capacity), _PIECES)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, is_held_out, table, text_batches, worker_cache
+from .common import BoundedCache, calm_collector, is_held_out, table, sliced, worker_cache
 
 
 @dataclass(frozen=True)
@@ -182,8 +182,8 @@ class QualityModel:
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters | None = None) -> QualityModel:
     """Fit on at most ``params.sample`` rows that carry a 0/1 quality and are not held out.
 
-    Null labels, texts' nulls and repeated labels do no harm; without two
-    classes the model scores the share of label 1 (0.5 without any label).
+    Null labels, texts' nulls and repeated labels do no harm; of rows that
+    repeat an id the one with the least text counts. Without two classes the model scores the share of label 1 (0.5 without any label).
     """
     p = params or QualityParameters()
     picked = (
@@ -192,10 +192,16 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(p.sample)
     )
-    # Bounded by ``sample``, in the join and on the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2], r[1] or ""))[: 2 * p.sample]
-    return QualityModel([r[1] for r in rows], [r[2] for r in rows], p)
+    # One row a picked label, so ``sample`` bounds the broadcast and what is collected.
+    rows = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(picked.distinct()), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min("text").alias("text"))
+        .collect()
+    )
+    rows = sorted(rows, key=lambda r: (r[0], r[1]))
+    return QualityModel([r[2] for r in rows], [r[1] for r in rows], p)
 
 
 #: A document is predicted to be of good quality from this score on.
@@ -207,11 +213,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = ACCEP
 
     Only the text enters a score; null and empty texts are scored too.
     """
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 score = shared.value.score(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
@@ -232,11 +237,10 @@ def keep_quality(docs: DataFrame, model: QualityModel, threshold: float = ACCEPT
     """
     if not model.learned:
         return docs
-    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 score = shared.value.score(batch.column("text").to_pylist())
                 yield batch.filter(pa.array(score >= threshold))

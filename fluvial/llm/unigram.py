@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, table, text_batches, worker_cache
+from .common import BoundedCache, calm_collector, table, sliced, worker_cache
 
 _MARK = "▁"
 
@@ -123,11 +123,10 @@ def count_tokens(docs: DataFrame, pieces: str | None = None, cache: int = 600_00
     shuffle.
     """
     path = pieces or default_pieces()
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = worker_counts(path, cache)
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_tokens = [], []
             for text in batch.column(1):
                 words = (text.as_py() or "").split()
