@@ -252,7 +252,7 @@ def resolve_flats(d8: DataFrame, tile: int = 512) -> DataFrame:
     high = spread_distance(links, by_high).withColumnRenamed("dist", "dh")
     top = F.coalesce(F.max("dh").over(Window.partitionBy("flat")), F.lit(0))
     flats = low.join(high, "sind", "left")
-    from .linework import components
+    from .components import components
 
     names = components(links, "a", "b").select(F.col("id").alias("sind"), F.col("component").alias("flat"))
     flats = flats.join(names, "sind", "left").withColumn("flat", F.coalesce("flat", "sind"))

@@ -10,25 +10,10 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import segment_distance
 from ..storage import cut
+from .components import components
 from .spatial import _bin, nearest, node_lines, to_grid
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``id, component`` (least id) of the ids in an edge table, by falling labels and pointer jumps."""
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(pairs.union(pairs.select("v", "u")).distinct(), "components")
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "components")
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        low = labels.join(near, "u").select("u", F.col("label").alias("was"), F.least("label", "near").alias("low"))
-        step = cut(
-            low.join(labels.select(F.col("u").alias("low"), F.col("label").alias("far")), "low").select("u", "was", F.least("low", "far").alias("label")), "components"
-        )
-        labels = step.select("u", "label")
-        if step.filter("label < was").limit(1).count() == 0:
-            return labels.select(F.col("u").alias("id"), F.col("label").alias("component"))
-
-
 def merge_lines(segs: DataFrame) -> DataFrame:
     """``line_id, vid, x, y``: segments (``ax, ay, bx, by``) chained through nodes of degree two.
 
