@@ -5,57 +5,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table, text_batches
-from .components import connected_components
+from ..operators.components import components
+from .common import Workspace, sliced, table
 from .segments import SegmentScheme
-from .shingles import shingle_set
+from .shingles import mix64, shingle_set
 
-_SIGNED = "doc_id long, copy_of long, n long, need_even int, need_odd int, sigs array<long>"
+#: Odd constants of the two sums that name a set (fixed values).
+_NAMES = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_PIVOTS = 4
+
+
+def set_name(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of hashes."""
+    first, second = (int(mix64(tokens ^ c).sum(dtype=np.uint64)) for c in _NAMES)
+    return first - (first >> 63 << 64), second - (second >> 63 << 64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64)))
 
 
 def _sign(scheme: SegmentScheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, even, odd, flat, ends = [], [], [], [], [0]
-            for copy_of, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                sigs = np.empty(0, np.uint64)
-                if copy_of is None:
-                    tokens = shingle_set(text.as_py())
-                    sigs, e, o = scheme.signatures(tokens)
-                    n.append(len(tokens))
-                else:
-                    e = o = 1
-                    n.append(None)
-                even.append(e)
-                odd.append(o)
-                flat.append(sigs)
-                ends.append(ends[-1] + len(sigs))
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.empty(0, np.uint64)]).view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(even, pa.int32()), pa.array(odd, pa.int32()), lists],
-                ["doc_id", "copy_of", "n", "need_even", "need_odd", "sigs"],
-            )
+        for batch in sliced(batches):
+            rows, sigs = [], []
+            for text in batch.column(1):
+                tokens = shingle_set(text.as_py())
+                found, even, odd = scheme.subsets(tokens)
+                rows.append((len(tokens), *set_name(tokens), even, odd))
+                sigs.append(found)
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, _lists(sigs)], ["doc_id", "n", "s1", "s2", "even", "odd", "sigs"])
+
+    return run
+
+
+def _neighbourhoods(scheme: SegmentScheme):
+    """Rows of whole subsets and one-deletion neighbourhoods of the named sets, in the bands asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 100):
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for rid, s1, s2, even, odd, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = shingle_set(text)
+                if set_name(tokens) != (s1, s2):
+                    continue
+                for parity in [k for k, on in enumerate((even, odd)) if on]:
+                    found = scheme.neighbourhood(tokens, parity)
+                    if found:
+                        sigs, segs, whole, wide, need, units = found
+                        k = len(sigs)
+                        parts = sigs.view(np.int64), np.full(k, rid), np.full(k, parity, np.int32), segs, whole, wide, np.full(k, need), np.full(k, units)
+                        for column, part in zip(out, parts, strict=True):
+                            column.append(part)
+            if out[0]:
+                names = ["sig", "rid", "parity", "seg", "whole", "wide", "need", "units"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
     return run
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(3)]
-        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        flat = pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(ends, flat)],
-            ["doc_id", "cluster", "blocks", "tokens"],
-        )
+    for batch in sliced(batches):
+        keep, sets = [], []
+        for s1, s2, text in zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), batch.column("text"), strict=True):
+            tokens = shingle_set(text.as_py())
+            keep.append(set_name(tokens) == (s1, s2))
+            if keep[-1]:
+                sets.append(tokens)
+        kept = batch.select(["rid", "cluster", "blocks", "block", "pivot"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, _lists(sets)], [*kept.schema.names, "tokens"])
 
 
 class _Forest:
@@ -84,16 +109,16 @@ class _Forest:
         return up
 
 
-def link_block(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+def link_block(flat: np.ndarray, size: np.ndarray, num: int, den: int, asked: np.ndarray | None = None) -> np.ndarray:
     """Component label (least position) of each set under exact Jaccard links.
 
-    Intersections come from an inverted index. A few pivots first gather the
-    largest component; as every pair of different components has a member
-    outside it, only the sets outside are then held against all.
+    The sets lie in ``flat`` one after the other. Intersections come from an
+    inverted index. With ``asked``, a mask, only links of these sets with any
+    are looked for. Without, a few pivots first gather the largest component;
+    as every pair of different components has a member outside it, only the
+    sets outside are then held against all.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate([*sets, np.empty(0, sets[0].dtype)])
+    n = len(size)
     owner = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     values, holders = flat[order], owner[order]
@@ -114,37 +139,233 @@ def link_block(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         linked = np.flatnonzero(both * den >= num * (size[i] + size - both))
         forest.join(i, linked)
 
-    for _ in range(min(4, n)):
+    if asked is None:
+        for _ in range(min(_PIVOTS, n)):
+            labels = forest.labels()
+            rest = np.flatnonzero((labels != np.bincount(labels, minlength=n).argmax()) & ~done) if done.any() else np.arange(n)
+            if not len(rest):
+                break
+            compare(int(rest[0]))
         labels = forest.labels()
-        counts = np.bincount(labels, minlength=n)
-        rest = np.flatnonzero((labels != counts.argmax()) & ~done) if done.any() else np.arange(n)
-        if not len(rest):
-            break
-        compare(int(rest[0]))
-    labels = forest.labels()
-    outside = np.flatnonzero((labels != np.bincount(labels, minlength=n).argmax()) & ~done)
-    for i in outside.tolist():
+        asked = (labels != np.bincount(labels, minlength=n).argmax()) & ~done
+    for i in np.flatnonzero(asked).tolist():
         compare(i)
     return forest.labels()
 
 
-def _link_group(num: int, den: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable")
-        ids = group["doc_id"].to_numpy()
-        labels = link_block([np.asarray(t) for t in group["tokens"]], num, den)
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def _link_sorted(num: int, den: int, keys: int):
+    """Links in runs of equal keys (the first ``keys`` columns); rows must come sorted by them.
+
+    The columns after the keys are ``asked, rid, tokens``. A row with
+    ``asked`` null is held against all of its run; else only asked rows are.
+    Memory holds one run.
+    """
+
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        run = pa.Table.from_batches(parts).combine_chunks()
+        ids = run.column("rid").to_numpy()
+        flat, size = _flat(run.column("tokens").chunk(0))
+        some = run.column("asked").chunk(0)
+        labels = link_block(flat, size, num, den, None if some.null_count else some.to_numpy(zero_copy_only=False))
         moved = ids[labels] != ids
-        return pd.DataFrame({"doc_id": ids[moved], "linked": ids[labels][moved]})
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[labels][moved])], ["rid", "linked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, last = [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy() for k in range(keys)] + [batch.column("rid").to_numpy()], 1)
+            again = np.concatenate(([last is not None and bool((at[0] == last).all())], (at[1:] == at[:-1]).all(1)))
+            last = at[-1]
+            # A set that comes again, from a repeated row or as asked and not, counts once.
+            batch, at = batch.filter(pa.array(~again)), at[~again, :keys]
+            if not batch.num_rows:
+                continue
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(at[lo]) != key:
+                    yield solve(held)
+                    held = []
+                key = tuple(at[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield solve(held)
 
     return run
 
 
+def _link(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    dealt = rows.select(*keys, "asked", "rid", "tokens").repartition(*keys).sortWithinPartitions(*keys, "rid", F.desc("asked"))
+    return dealt.mapInArrow(_link_sorted(num, den, len(keys)), "rid long, linked long")
+
+
+def _parity(sig: str):
+    return F.col(sig).bitwiseAND(F.lit(1)).cast("int")
+
+
+def _shared_subsets(spread: DataFrame, total: int, sample: int, ws: Workspace) -> DataFrame:
+    """``sig, rid, freq`` of the whole subsets that two sets hold or more, with the number of their holders.
+
+    Signatures that a bounded sample of the sets shows to be frequent are known
+    to be shared; they are dealt over 64 buckets each and their number is that
+    of the sample, scaled. So no signature gathers more than a small share of
+    all rows in one task.
+    """
+    share = min(1.0, sample / max(1, total))
+    often = max(64, int(share * total) // 200)
+    hot = ws.keep(
+        spread.filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        .groupBy("sig")
+        .count()
+        .filter(F.col("count") >= often)
+        .select("sig", F.ceil(F.col("count") / share).alias("est")),
+        "hot",
+    )
+    # Bounded: by the sample's subsets over ``often``; longest lists first if very long texts make it more.
+    marked = spread.join(F.broadcast(hot.orderBy(F.desc("est"), "sig").limit(50_000)), "sig", "left").withColumn(
+        "salt", F.when(F.col("est").isNotNull(), F.pmod(F.xxhash64("rid"), F.lit(64))).otherwise(0).cast("int")
+    )
+    counted = marked.withColumn("freq", F.coalesce("est", F.count(F.lit(1)).over(Window.partitionBy("sig", "salt"))))
+    return ws.keep(counted.filter("freq > 1").select("sig", "rid", "freq"), "shared")
+
+
+def _allocate_subsets(shared: DataFrame, nodes: DataFrame, list_cost: int) -> DataFrame:
+    """``sig, rid, dear``: the cheapest lists that give a set H + 1 units by whole subsets alone.
+
+    A set whose subsets that nobody shares give H + 1 units is out. ``dear``
+    marks the sets for which whole subsets give too few units or meet more
+    than ``list_cost`` holders a token; these keep all their lists.
+    """
+    per = Window.partitionBy("rid", "parity")
+    slack = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
+    ranked = (
+        shared.withColumn("parity", _parity("sig"))
+        .join(nodes.select("rid", "n", "even", "odd"), "rid")
+        .select("sig", "rid", "freq", "parity", "n", slack.alias("slack"))
+        .withColumn("rank", F.row_number().over(per.orderBy("freq", "sig")))
+        .withColumn("held", F.count(F.lit(1)).over(per))
+        .filter("held >= slack")
+        .withColumn("taken", F.col("rank") <= F.col("held") - F.col("slack") + 1)
+        .withColumn("cost", F.sum(F.when(F.col("taken"), F.col("freq") - 1)).over(per))
+        .withColumn("dear", (F.col("slack") <= 0) | (F.col("cost") > F.col("n") * list_cost))
+    )
+    return ranked.filter("taken or dear").select("sig", "rid", "dear")
+
+
+def _allocate_deletions(emitted: DataFrame, ws: Workspace) -> DataFrame:
+    """``rid, hub`` edges from the cheapest H + 1 units of whole subsets and one-deletion neighbourhoods.
+
+    The costs are counted: a segment's first unit meets the holders of the
+    same subset, its second one those whose subset is one token larger or
+    smaller. Units that meet nobody cost nothing and are taken first.
+    """
+    one = F.col("whole").cast("long")
+    totals = (
+        emitted.groupBy("sig").agg(F.sum(one).alias("w"), F.sum(1 - one).alias("d"), F.min("rid").alias("hub")).filter("w >= 1 and w + d >= 2")
+    )
+    met = ws.keep(emitted.join(totals, "sig"), "met")
+    first = F.sum(F.when(F.col("whole"), F.col("w") - 1).otherwise(0))
+    second = F.sum(F.when(F.col("whole"), F.col("d")).otherwise(F.col("w")))
+    segs = met.filter("seg >= 0").groupBy("rid", "parity", "seg").agg(
+        first.alias("c0"), second.alias("c1"), F.max("wide").alias("wide"), F.max(F.col("need") - F.col("units")).alias("short")
+    )
+    both = F.array(F.struct(F.col("c0").alias("cost"), F.lit(1).alias("unit")), F.struct(F.greatest("c0", "c1").alias("cost"), F.lit(2).alias("unit")))
+    per = Window.partitionBy("rid", "parity")
+    units = (
+        segs.select("rid", "parity", "seg", "wide", "short", F.explode(both).alias("u"))
+        .select("rid", "parity", "seg", "wide", "short", "u.cost", "u.unit")
+        .filter("unit = 1 or wide")
+        .withColumn("rank", F.row_number().over(per.orderBy("cost", "unit", "seg")))
+        # The units not listed meet nobody and are taken before these.
+        .withColumn("listed", F.count(F.lit(1)).over(per))
+        .filter("rank <= short + listed")
+        .select("rid", "parity", "seg", "unit")
+    )
+    asked = met.join(units, ["rid", "parity", "seg"]).filter("(whole and unit = 1 and w > 1) or (whole and unit = 2 and d > 0) or (not whole and unit = 2)")
+    # The signature that sets with too few units have in common is asked for by all of them.
+    lists = asked.select("sig").union(met.filter("seg = -1").select("sig")).distinct()
+    return met.join(lists, "sig", "left_semi").select("rid", "hub")
+
+
+def _candidate_edges(docs: DataFrame, nodes: DataFrame, spread: DataFrame, scheme: SegmentScheme, list_cost: int, sample: int, ws: Workspace) -> DataFrame:
+    """``rid, hub``: for every list that an allocation uses, an edge from each holder to the least one."""
+    shared = _shared_subsets(spread, nodes.count(), sample, ws)
+    taken = ws.keep(_allocate_subsets(shared, nodes, list_cost), "taken")
+    ws.drop(shared)
+    hubs = taken.groupBy("sig").agg(F.min("rid").alias("hub"), F.min("dear").alias("all_dear"), F.count(F.lit(1)).alias("holders"))
+    hubs = hubs.filter("holders > 1 and not all_dear").select("sig", "hub")
+    edges = taken.join(hubs, "sig").select("rid", "hub")
+    dear = taken.filter("dear").select("rid", (_parity("sig") == 0).alias("even"), (_parity("sig") == 1).alias("odd"))
+    dear = dear.union(nodes.filter("even <= 0 or odd <= 0").select("rid", F.col("even") <= 0, F.col("odd") <= 0))
+    dear = ws.keep(dear.groupBy("rid").agg(F.max("even").alias("even"), F.max("odd").alias("odd")), "dear")
+    if dear.limit(1).count():
+        named = dear.join(nodes.select("rid", "doc_id", "s1", "s2"), "rid")
+        texts = named.join(docs, "doc_id").select("rid", "s1", "s2", "even", "odd", "text")
+        schema = "sig long, rid long, parity int, seg int, whole boolean, wide boolean, need long, units long"
+        emitted = ws.keep(texts.mapInArrow(_neighbourhoods(scheme), schema).dropDuplicates(["rid", "sig", "seg", "whole"]), "emitted")
+        edges = edges.union(_allocate_deletions(emitted, ws))
+    return ws.keep(edges.filter("rid != hub").distinct(), "candidates")
+
+
+def _verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, num: int, den: int, block_tokens: int, ws: Workspace) -> DataFrame:
+    """``rid, linked``: exact links that give the same components as all links inside the clusters.
+
+    A cluster of up to ``block_tokens`` tokens is one task. A larger one is cut
+    into blocks: each block is verified by itself together with a few pivots of
+    the cluster, which gathers most of a group of near copies in linear work;
+    the sets outside a cluster's largest component are then held against all
+    blocks. Two sets of different components cannot both be in the largest one,
+    so no link is lost.
+    """
+    rows = clusters.join(nodes.select("rid", "doc_id", "n", "s1", "s2"), "rid")
+    picks = F.array(*[F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in range(_PIVOTS)])
+    heads = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks"), picks.alias("pivots"))
+    members = rows.join(heads, "cluster").select(
+        "rid", "doc_id", "s1", "s2", "cluster", "blocks",
+        F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"),
+        ((F.col("blocks") > 1) & F.array_contains("pivots", F.col("rid"))).alias("pivot"),
+    )
+    members = ws.keep(members, "members")
+    texts = docs.join(members, "doc_id").select("rid", "s1", "s2", "cluster", "blocks", "block", "pivot", "text")
+    schema = "rid long, cluster long, blocks int, block int, pivot boolean, tokens array<long>"
+    sets = ws.keep(texts.mapInArrow(_tokens, schema), "tokens")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = sets.select(
+        "cluster", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("block"))).alias("block"), F.lit(None).cast("boolean").alias("asked"), "rid", "tokens"
+    )
+    links = ws.keep(_link(own, ["cluster", "block"], num, den), "links")
+    large = sets.filter("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    named = components(links, "rid", "linked").select(F.col("id").alias("rid"), "component")
+    placed = large.select("rid", "cluster").join(named, "rid", "left").select("rid", "cluster", F.coalesce("component", "rid").alias("label"))
+    placed = ws.keep(placed, "placed")
+    most = placed.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    outside = placed.join(most, "cluster").filter("label != main").select("rid")
+    outside = ws.keep(large.join(outside, "rid", "left_semi"), "outside")
+    parts = outside.groupBy("cluster").agg(F.ceil(F.sum(F.size("tokens")) / F.lit(block_tokens)).cast("int").alias("parts"))
+    asked = outside.join(parts, "cluster").select(
+        "cluster", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(every).alias("block"), F.lit(True).alias("asked"), "rid", "tokens"
+    )
+    rest = large.join(parts, "cluster").select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("asked"), "rid", "tokens"
+    )
+    more = ws.keep(_link(asked.union(rest), ["cluster", "part", "block"], num, den), "more-links")
+    return links.union(more)
+
+
 def jaccard_classes(
     docs: DataFrame,
     num: int = 80,
     den: int = 100,
-    block_tokens: int = 500_000,
-    hot_share: int = 20_000,
+    block_tokens: int = 100_000,
+    list_cost: int = 64,
+    sample: int = 20_000,
     scheme: SegmentScheme | None = None,
 ) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of their five-word shingle sets.
@@ -153,96 +374,63 @@ def jaccard_classes(
     ``doc_id, n_shingles, component_id``, a row for each input row; the
     component is the least id reachable by links.
 
-    1. Texts with more than ``max(64, rows / hot_share)`` copies, at most
-       ``hot_share`` of them, are known by a bounded broadcast; only their
-       least id goes on, and its copies take its class.
-    2. Every set signs (:class:`SegmentScheme`); a shuffle by signature leaves
-       the signatures that two sets share, and then the sets that share enough.
-    3. Sets that share signatures form candidate clusters (connected
-       components, which emit one edge a member of a bucket, never pairs). A
-       cluster with more than ``block_tokens`` tokens is cut into blocks and
-       every two of its blocks meet in a task of their own.
-    4. Tasks verify exactly on the hashes of whole texts and emit one edge for
-       a document that links; components of these edges are the classes.
-
-    Null, empty and blank texts have no shingles and link with nothing. Rows
-    that repeat an id count as one document with the links of any of them. A
-    row without id links with nothing and its component is null. An empty table
-    gives no rows. Other columns of ``docs`` are ignored.
+    1. Every text becomes a set, a 128-bit name of it and the signatures of its
+       segments' whole subsets (:class:`SegmentScheme`). Equal sets are one
+       from here on; membership comes back at the end by a join.
+    2. Subset signatures are counted. Subsets that nobody else holds are units
+       at no cost, and sets to which they give H + 1 units have no partner.
+    3. The others take the cheapest lists by these counts. Where whole subsets
+       give too few units, or more than ``list_cost`` holders a token would be
+       met, one-deletion neighbourhoods are emitted and counted as well and the
+       cheapest units of both kinds are taken. It is enough that one set of a
+       pair looks the other up, so only pairs of such sets need them.
+    4. Holders of a list in use form candidate clusters by one edge each to
+       the list's least holder, never by pairs.
+    5. Clusters are verified exactly in tasks of a bounded number of tokens
+       (:func:`_verified_links`); components of the links are the classes.
+
+    The check is exact on 64-bit hashes of shingles: two different shingles of
+    a pair of documents are taken for one with a chance of 2**-64 each; two
+    different sets share a name with a chance of 2**-128.
+
+    Null, empty and blank texts have no shingles and link with nothing. A very
+    long text is one set like any other. Rows that repeat an id count as one
+    document with the links of any of them. A row without id links with nothing
+    and its component is null. An empty table gives no rows. Other columns of
+    ``docs`` are ignored.
     """
     scheme = scheme or SegmentScheme(num, den)
-    text_batches(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
-        {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
-    )
-    rows = docs.count()
-    hot = base.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    hot = hot.filter(F.col("copies") > max(64, rows // hot_share)).select("h1", "h2", "least")
-    marked = base.join(F.broadcast(hot), ["h1", "h2"], "left").select(
-        "doc_id", F.when(F.col("doc_id") != F.col("least"), F.col("least")).alias("copy_of"), "text"
-    )
-    signed = materialize(marked.mapInArrow(_sign(scheme), _SIGNED), "jaccard-signed")
-    sizes = signed.select("doc_id", "copy_of", "n", "need_even", "need_odd")
-
-    in_bucket = Window.partitionBy("sig").orderBy("doc_id")
-    spread = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
-    shared = materialize(
-        spread.withColumns({"before": F.lag("doc_id").over(in_bucket), "after": F.lead("doc_id").over(in_bucket)})
-        .filter((F.col("before") != F.col("doc_id")) | (F.col("after") != F.col("doc_id")))
-        .select("sig", "doc_id"),
-        "jaccard-shared",
-    )
-    enough = (
-        shared.groupBy("doc_id")
-        .agg(
-            F.count_if(F.col("sig").bitwiseAND(F.lit(1)) == 0).alias("even"),
-            F.count_if(F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd"),
-        )
-        .join(sizes.filter("copy_of is null").groupBy("doc_id").agg(F.min("need_even").alias("need_even"), F.min("need_odd").alias("need_odd")), "doc_id")
-        .select("doc_id", (F.col("even") >= F.col("need_even")).alias("ok_even"), (F.col("odd") >= F.col("need_odd")).alias("ok_odd"))
-    )
-    live = shared.join(enough, "doc_id").filter(
-        F.when(F.col("sig").bitwiseAND(F.lit(1)) == 0, F.col("ok_even")).otherwise(F.col("ok_odd"))
-    )
-    least = F.min("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    stars = live.select("doc_id", least.alias("hub")).filter("doc_id != hub").distinct()
-    clusters = connected_components(stars, "doc_id", "hub").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-    weights = clusters.join(sizes.filter("copy_of is null").select("doc_id", "n"), "doc_id")
-    blocks = weights.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks"))
-    members = materialize(clusters.join(blocks, "cluster").select("doc_id", "cluster", "blocks"), "jaccard-members")
-
-    sets = (
-        marked.filter("copy_of is null")
-        .select("doc_id", "text")
-        .join(members.hint("shuffle_hash"), "doc_id")
-        .select("doc_id", "cluster", "blocks", "text")
-        .mapInArrow(_tokens, "doc_id long, cluster long, blocks int, tokens array<long>")
-    )
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
-    links = (
-        sets.select("cluster", "doc_id", "tokens", F.explode(meetings).alias("m"))
-        .select("cluster", "m.i", "m.j", "doc_id", "tokens")
-        .groupBy("cluster", "i", "j")
-        .applyInPandas(_link_group(num, den), "doc_id long, linked long")
-    )
-    classes = connected_components(materialize(links, "jaccard-links"), "doc_id", "linked").select(
-        F.col("id").alias("doc_id"), "component"
-    )
-    found = sizes.join(classes, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # Bounded: one row for each of at most ``hot_share`` hot texts.
-    copied = F.broadcast(
-        found.filter("copy_of is null")
-        .join(F.broadcast(hot.select(F.col("least").alias("doc_id"))), "doc_id", "left_semi")
-        .groupBy(F.col("doc_id").alias("copy_of"))
-        .agg(F.max("n").alias("copy_n"), F.min("component").alias("copy_component"))
+    ws = Workspace(docs.sparkSession, "jaccard")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = ws.keep(
+        base.mapInArrow(_sign(scheme), "doc_id long, n long, s1 long, s2 long, even long, odd long, sigs array<long>").withColumn("rid", F.monotonically_increasing_id()),
+        "signed",
     )
-    n = F.coalesce("n", "copy_n")
-    return found.join(copied, "copy_of", "left").select(
-        "doc_id",
-        n.alias("n_shingles"),
-        F.when(n == 0, F.col("doc_id")).otherwise(F.coalesce("copy_component", "component")).alias("component_id"),
+    usable = signed.filter("doc_id is not null and n > 0")
+    firsts = usable.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"))
+    known = usable.select("rid", "doc_id", "n", "s1", "s2", "even", "odd").join(firsts, ["n", "s1", "s2"])
+    known = ws.keep(known.select("rid", "doc_id", "n", "s1", "s2", "even", "odd", "rep", "least"), "known")
+    nodes = known.filter("rid = rep")
+    copies = ws.keep(known.filter("rid != rep").select("rid"), "copies")
+    spread = usable.select("rid", "sigs").join(copies, "rid", "left_anti").select("rid", F.explode("sigs").alias("sig"))
+    candidates = _candidate_edges(base, nodes, spread, scheme, list_cost, sample, ws)
+    clusters = components(candidates, "rid", "hub").select(F.col("id").alias("rid"), F.col("component").alias("cluster"))
+    links = _verified_links(base, nodes, clusters, num, den, block_tokens, ws)
+
+    # Different sets of one id are one document.
+    ids = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b")
+    same = known.join(ids, "doc_id").select("rep", "a").filter("rep != a")
+    classes = components(links.union(same), "rid", "linked").select(F.col("id").alias("rep"), "component")
+    classes = ws.keep(classes.join(known.groupBy("rep").agg(F.min("doc_id").alias("least")), "rep"), "classes")
+    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    final = ws.keep(classes.join(named, "component").select("rep", "component_id"), "final")
+    found = known.join(final, "rep", "left").select("rid", F.coalesce("component_id", "least").alias("component_id"))
+    out = signed.select("rid", "doc_id", "n").join(found, "rid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+    out = ws.keep(out, "out")
+    ws.clear(out)
+    return out
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

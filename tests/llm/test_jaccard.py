@@ -40,9 +40,9 @@ def edited(rng, words, share):
     return out
 
 
-def test_signatures_meet_for_every_similar_pair():
-    rng, scheme, checked = np.random.default_rng(0), SegmentScheme(), 0
-    for trial in range(6000):
+def similar_pairs(trials):
+    rng = np.random.default_rng(0)
+    for trial in range(trials):
         n = int(rng.integers(1, 130))
         a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
         if trial % 2:  # few segments: one-deletion neighbourhoods and the common signature are needed
@@ -51,23 +51,58 @@ def test_signatures_meet_for_every_similar_pair():
         b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 1)), dtype=np.uint64)]))
         a = np.unique(a)
         both = len(np.intersect1d(a, b))
-        if not len(b) or 100 * both < 80 * (len(a) + len(b) - both):
-            continue
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            yield a, b
+
+
+def test_similar_pairs_share_as_many_subsets_as_their_slack():
+    scheme, checked = SegmentScheme(), 0
+    for a, b in similar_pairs(6000):
         checked += 1
-        (sa, *na), (sb, *nb) = scheme.signatures(a), scheme.signatures(b)
+        (sa, *la), (sb, *lb) = scheme.subsets(a), scheme.subsets(b)
         common = np.intersect1d(sa, sb)
         odd = int((common & np.uint64(1)).sum())
         counts = (len(common) - odd, odd)
-        assert any(counts[k] >= max(na[k], nb[k], 1) for k in (0, 1))
+        assert any(counts[k] >= max(la[k], lb[k]) and max(la[k], lb[k]) < 1 << 20 for k in (0, 1))
     assert checked > 1500
 
 
+def test_any_allocation_of_units_meets_a_similar_set():
+    rng, scheme, short = np.random.default_rng(5), SegmentScheme(), 0
+    for a, b in similar_pairs(3000):
+        met = False
+        for parity in (0, 1):
+            mine, other = scheme.neighbourhood(a, parity), scheme.neighbourhood(b, parity)
+            if mine is None or other is None:
+                continue
+            sigs, segs, whole, wide, need, units = mine
+            their_whole, their_less = other[0][other[2]], other[0][~other[2]]
+            if units < need:
+                short += 1
+                common = sigs[segs == -1]
+                met |= bool(np.isin(common, their_whole).any()) or other[5] >= other[4]
+                continue
+            # Units at random: first ones of any segment, second ones after their first.
+            options = [(s, 1) for s in np.unique(segs[segs >= 0])] + [(s, 2) for s in np.unique(segs[wide & (segs >= 0)])]
+            order = sorted(options, key=lambda o: (rng.random() + (o[1] - 1) * rng.integers(0, 2), o[1]))
+            depth = {}
+            for s, _ in order[:need]:
+                depth[s] = depth.get(s, 0) + 1
+            for sig, seg, is_whole in zip(sigs, segs, whole):
+                d = depth.get(seg, 0)
+                met |= bool(is_whole and d >= 1 and sig in their_whole)
+                met |= bool(is_whole and d == 2 and sig in their_less)
+                met |= bool(not is_whole and d == 2 and sig in their_whole)
+        assert met
+    assert short > 20
+
+
 def test_block_links_equal_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
         base = rng.integers(0, 10**9, 60)
         sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 10**9, 60), base)) for _ in range(25)]
-        got = link_block(sets, 80, 100)
+        got = link_block(np.concatenate(sets), np.array([len(s) for s in sets]), 80, 100)
         up = list(range(25))
         for i in range(25):
             for j in range(i):
@@ -85,8 +120,9 @@ def test_classes_equal_brute_force(spark, documents, prose):
         rows += [" ".join(edited(rng, words, s)) for s in (0, 0, 0.02, 0.05, 0.1)]
     rows += [rows[0].upper()] * 80 + [None, "", " \t ", "one", "ONE", "one two three four", "one two three four five"]
     rows = list(enumerate(rows))
-    for blocks in (500_000, 300):
-        got = jaccard_classes(documents(rows), block_tokens=blocks).collect()
+    # One task a cluster; many blocks; all sets through one-deletion neighbourhoods; most subsets taken for frequent ones.
+    for options in ({}, {"block_tokens": 300}, {"list_cost": 0}, {"list_cost": 0, "block_tokens": 200}):
+        got = jaccard_classes(documents(rows), **options).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows)
         assert len(got) == len(rows)
 
@@ -102,3 +138,29 @@ def test_null_ids_repeats_and_empty(spark, documents):
     got = sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in jaccard_classes(documents(rows)).collect())
     assert got == [(-1, 3, None), (3, 3, 3), (5, 3, 3), (5, 3, 3)]
     assert jaccard_classes(documents([])).count() == 0
+
+
+def test_one_id_with_different_texts_and_clashing_columns(spark):
+    a, b = "a b c d e f g h", "q w e r t y u i"
+    rows = [(7, a, 1, 1, "x"), (7, b, 1, 1, "x"), (3, b, 2, 2, "y"), (9, a, 3, 3, "z"), (1, "", 3, 3, "z"), (8, None, 0, 0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long, n long, rid string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(docs).collect())
+    assert got == [(1, 0, 1), (3, 4, 3), (7, 4, 3), (7, 4, 3), (8, 0, 8), (9, 4, 3)]
+
+
+def test_very_long_texts(documents, prose):
+    words = prose(1, 3, 40_000, 40_000)[0].split()
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-500])), (2, " ".join(words[:10_000])), (3, "x" * 300_000)]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(documents(rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_large_groups_of_near_copies_and_shared_passages(documents, prose):
+    rng = np.random.default_rng(4)
+    base, passage = prose(1, 5, 120, 120)[0].split(), prose(1, 6, 80, 80)[0]
+    rows = [" ".join(edited(rng, base, 0.04)) for _ in range(150)]
+    rows += [passage + " " + t for t in prose(150, 7, 10, 60)]
+    rows = list(enumerate(rows))
+    for options in ({"block_tokens": 2000, "sample": 100}, {"list_cost": 1, "block_tokens": 5000}):
+        got = jaccard_classes(documents(rows), **options).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows)
