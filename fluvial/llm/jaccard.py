@@ -234,12 +234,12 @@ def _shared_subsets(spread: DataFrame, total: int, sample: int, ws: Workspace) -
     return ws.keep(counted.filter("freq > 1").select("sig", "rid", "freq"), "shared")
 
 
-def _allocate_subsets(shared: DataFrame, nodes: DataFrame, list_cost: int) -> DataFrame:
+def _allocate_subsets(shared: DataFrame, nodes: DataFrame, far_tokens: int) -> DataFrame:
     """``sig, rid, dear``: the cheapest lists that give a set H + 1 units by whole subsets alone.
 
     A set whose subsets that nobody shares give H + 1 units is out. ``dear``
-    marks the sets for which whole subsets give too few units or meet more
-    than ``list_cost`` holders a token; these keep all their lists.
+    marks the sets for which whole subsets give too few units or need a list
+    whose sets have more than ``far_tokens`` tokens; these keep all their lists.
     """
     per = Window.partitionBy("rid", "parity")
     slack = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
@@ -251,8 +251,8 @@ def _allocate_subsets(shared: DataFrame, nodes: DataFrame, list_cost: int) -> Da
         .withColumn("held", F.count(F.lit(1)).over(per))
         .filter("held >= slack")
         .withColumn("taken", F.col("rank") <= F.col("held") - F.col("slack") + 1)
-        .withColumn("cost", F.sum(F.when(F.col("taken"), F.col("freq") - 1)).over(per))
-        .withColumn("dear", (F.col("slack") <= 0) | (F.col("cost") > F.col("n") * list_cost))
+        .withColumn("longest", F.max(F.when(F.col("taken"), F.col("freq"))).over(per))
+        .withColumn("dear", (F.col("slack") <= 0) | (F.col("longest") * F.col("n") > far_tokens))
     )
     return ranked.filter("taken or dear").select("sig", "rid", "dear")
 
@@ -268,6 +268,7 @@ def _allocate_deletions(emitted: DataFrame, ws: Workspace) -> DataFrame:
     totals = (
         emitted.groupBy("sig").agg(F.sum(one).alias("w"), F.sum(1 - one).alias("d"), F.min("rid").alias("hub")).filter("w >= 1 and w + d >= 2")
     )
+    totals = ws.keep(totals, "totals")
     met = ws.keep(emitted.join(totals, "sig"), "met")
     first = F.sum(F.when(F.col("whole"), F.col("w") - 1).otherwise(0))
     second = F.sum(F.when(F.col("whole"), F.col("d")).otherwise(F.col("w")))
@@ -292,13 +293,14 @@ def _allocate_deletions(emitted: DataFrame, ws: Workspace) -> DataFrame:
     return met.join(lists, "sig", "left_semi").select("rid", "hub")
 
 
-def _candidate_edges(docs: DataFrame, nodes: DataFrame, spread: DataFrame, scheme: SegmentScheme, list_cost: int, sample: int, ws: Workspace) -> DataFrame:
+def _candidate_edges(docs: DataFrame, nodes: DataFrame, spread: DataFrame, scheme: SegmentScheme, far_tokens: int, sample: int, ws: Workspace) -> DataFrame:
     """``rid, hub``: for every list that an allocation uses, an edge from each holder to the least one."""
     shared = _shared_subsets(spread, nodes.count(), sample, ws)
-    taken = ws.keep(_allocate_subsets(shared, nodes, list_cost), "taken")
+    taken = ws.keep(_allocate_subsets(shared, nodes, far_tokens), "taken")
     ws.drop(shared)
     hubs = taken.groupBy("sig").agg(F.min("rid").alias("hub"), F.min("dear").alias("all_dear"), F.count(F.lit(1)).alias("holders"))
-    hubs = hubs.filter("holders > 1 and not all_dear").select("sig", "hub")
+    # Tables that carry one row a hot key are written before their joins, so that adaptive execution can split the other side.
+    hubs = ws.keep(hubs.filter("holders > 1 and not all_dear").select("sig", "hub"), "hubs")
     edges = taken.join(hubs, "sig").select("rid", "hub")
     dear = taken.filter("dear").select("rid", (_parity("sig") == 0).alias("even"), (_parity("sig") == 1).alias("odd"))
     dear = dear.union(nodes.filter("even <= 0 or odd <= 0").select("rid", F.col("even") <= 0, F.col("odd") <= 0))
@@ -324,7 +326,7 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, num:
     """
     rows = clusters.join(nodes.select("rid", "doc_id", "n", "s1", "s2"), "rid")
     picks = F.array(*[F.min_by("rid", F.xxhash64("rid", F.lit(k))) for k in range(_PIVOTS)])
-    heads = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks"), picks.alias("pivots"))
+    heads = ws.keep(rows.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks"), picks.alias("pivots")), "heads")
     members = rows.join(heads, "cluster").select(
         "rid", "doc_id", "s1", "s2", "cluster", "blocks",
         F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"),
@@ -346,9 +348,9 @@ def _verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, num:
     placed = large.select("rid", "cluster").join(named, "rid", "left").select("rid", "cluster", F.coalesce("component", "rid").alias("label"))
     placed = ws.keep(placed, "placed")
     most = placed.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = placed.join(most, "cluster").filter("label != main").select("rid")
+    outside = placed.join(ws.keep(most, "most"), "cluster").filter("label != main").select("rid")
     outside = ws.keep(large.join(outside, "rid", "left_semi"), "outside")
-    parts = outside.groupBy("cluster").agg(F.ceil(F.sum(F.size("tokens")) / F.lit(block_tokens)).cast("int").alias("parts"))
+    parts = ws.keep(outside.groupBy("cluster").agg(F.ceil(F.sum(F.size("tokens")) / F.lit(block_tokens)).cast("int").alias("parts")), "parts")
     asked = outside.join(parts, "cluster").select(
         "cluster", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(every).alias("block"), F.lit(True).alias("asked"), "rid", "tokens"
     )
@@ -364,7 +366,7 @@ def jaccard_classes(
     num: int = 80,
     den: int = 100,
     block_tokens: int = 100_000,
-    list_cost: int = 64,
+    far_blocks: int = 16,
     sample: int = 20_000,
     scheme: SegmentScheme | None = None,
 ) -> DataFrame:
@@ -380,10 +382,11 @@ def jaccard_classes(
     2. Subset signatures are counted. Subsets that nobody else holds are units
        at no cost, and sets to which they give H + 1 units have no partner.
     3. The others take the cheapest lists by these counts. Where whole subsets
-       give too few units, or more than ``list_cost`` holders a token would be
-       met, one-deletion neighbourhoods are emitted and counted as well and the
-       cheapest units of both kinds are taken. It is enough that one set of a
-       pair looks the other up, so only pairs of such sets need them.
+       give too few units, or the cheapest lists include one of more than
+       ``far_blocks`` tasks of verification, one-deletion neighbourhoods are
+       emitted and counted as well and the cheapest units of both kinds are
+       taken. It is enough that one set of a pair looks the other up, so only
+       pairs of such sets need them.
     4. Holders of a list in use form candidate clusters by one edge each to
        the list's least holder, never by pairs.
     5. Clusters are verified exactly in tasks of a bounded number of tokens
@@ -407,13 +410,13 @@ def jaccard_classes(
         "signed",
     )
     usable = signed.filter("doc_id is not null and n > 0")
-    firsts = usable.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"))
+    firsts = ws.keep(usable.groupBy("n", "s1", "s2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least")), "firsts")
     known = usable.select("rid", "doc_id", "n", "s1", "s2", "even", "odd").join(firsts, ["n", "s1", "s2"])
     known = ws.keep(known.select("rid", "doc_id", "n", "s1", "s2", "even", "odd", "rep", "least"), "known")
     nodes = known.filter("rid = rep")
     copies = ws.keep(known.filter("rid != rep").select("rid"), "copies")
     spread = usable.select("rid", "sigs").join(copies, "rid", "left_anti").select("rid", F.explode("sigs").alias("sig"))
-    candidates = _candidate_edges(base, nodes, spread, scheme, list_cost, sample, ws)
+    candidates = _candidate_edges(base, nodes, spread, scheme, far_blocks * block_tokens, sample, ws)
     clusters = components(candidates, "rid", "hub").select(F.col("id").alias("rid"), F.col("component").alias("cluster"))
     links = _verified_links(base, nodes, clusters, num, den, block_tokens, ws)
 
@@ -422,7 +425,7 @@ def jaccard_classes(
     same = known.join(ids, "doc_id").select("rep", "a").filter("rep != a")
     classes = components(links.union(same), "rid", "linked").select(F.col("id").alias("rep"), "component")
     classes = ws.keep(classes.join(known.groupBy("rep").agg(F.min("doc_id").alias("least")), "rep"), "classes")
-    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = ws.keep(classes.groupBy("component").agg(F.min("least").alias("component_id")), "named")
     final = ws.keep(classes.join(named, "component").select("rep", "component_id"), "final")
     found = known.join(final, "rep", "left").select("rid", F.coalesce("component_id", "least").alias("component_id"))
     out = signed.select("rid", "doc_id", "n").join(found, "rid", "left").select(

@@ -121,7 +121,7 @@ def test_classes_equal_brute_force(spark, documents, prose):
     rows += [rows[0].upper()] * 80 + [None, "", " \t ", "one", "ONE", "one two three four", "one two three four five"]
     rows = list(enumerate(rows))
     # One task a cluster; many blocks; all sets through one-deletion neighbourhoods; most subsets taken for frequent ones.
-    for options in ({}, {"block_tokens": 300}, {"list_cost": 0}, {"list_cost": 0, "block_tokens": 200}):
+    for options in ({}, {"block_tokens": 300}, {"far_blocks": 0}, {"far_blocks": 0, "block_tokens": 200}):
         got = jaccard_classes(documents(rows), **options).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows)
         assert len(got) == len(rows)
@@ -161,6 +161,6 @@ def test_large_groups_of_near_copies_and_shared_passages(documents, prose):
     rows = [" ".join(edited(rng, base, 0.04)) for _ in range(150)]
     rows += [passage + " " + t for t in prose(150, 7, 10, 60)]
     rows = list(enumerate(rows))
-    for options in ({"block_tokens": 2000, "sample": 100}, {"list_cost": 1, "block_tokens": 5000}):
+    for options in ({"block_tokens": 2000, "sample": 100}, {"far_blocks": 0, "block_tokens": 5000}):
         got = jaccard_classes(documents(rows), **options).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(rows)
