@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
+from .common import Workspace, sliced, table
 
 
 @dataclass(frozen=True)
@@ -21,11 +21,13 @@ class AnnParameters:
     """Parameters of the index and of the search.
 
     ``sample`` vectors at most fit the centroids (chosen by hash of the id);
-    every vector is indexed. ``max_lists`` bounds the lists. The number of
-    probed lists, at least ``min_probes``, is the least that finds a share of
-    ``target`` of the neighbours which ``trials`` sample vectors have in the
-    sample. ``anchors`` sample vectors at most give every query a first bound.
-    ``block`` rows of a list at most meet a task's queries at once. ``epsilon``
+    every vector is indexed. The number of lists grows with the square root of
+    the rows: at most ``max_centres`` coarse centroids, each with as many
+    residual centroids as it takes. The number of probed lists, at least
+    ``min_probes``, is the least that finds a share of ``target`` of the
+    neighbours which ``trials`` sample vectors have in the sample. ``anchors``
+    sample vectors at most give every query its first candidates and bound.
+    ``block`` rows and ``block`` queries of a list at most meet in a task. ``epsilon``
     is the width of the hypothesis test: a candidate is abandoned after d of D
     dimensions when its scaled partial distance exceeds
     (1 + epsilon / sqrt(d)) times the k-th distance so far.
@@ -33,7 +35,7 @@ class AnnParameters:
 
     k: int = 10
     sample: int = 20_000
-    max_lists: int = 4096
+    max_centres: int = 2048
     target: float = 0.97
     trials: int = 256
     min_probes: int = 16
@@ -80,14 +82,55 @@ def nearest_lists(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
 
 
-def probes_for(x: np.ndarray, centres: np.ndarray, k: int, trials: int, target: float) -> int:
+class CellIndex:
+    """Lists in two levels: a coarse centroid and, within it, a centroid of the residuals that all coarse ones share.
+
+    One residual centroid, the null vector, makes it an index of one level.
+    """
+
+    def __init__(self, x: np.ndarray, lists: int, max_centres: int, seed: int) -> None:
+        most = max(1, len(x) // 8)
+        coarse = min(lists, max_centres, most)
+        self.coarse = kmeans(x, coarse, seed)
+        fine = min(-(-lists // coarse), max_centres, most)
+        rest = x - self.coarse[nearest_lists(x, self.coarse, 1)[:, 0]]
+        self.fine = kmeans(rest, fine, seed + 1) if fine > 1 else np.zeros((1, x.shape[1]))
+        self.cells = len(self.coarse) * len(self.fine)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The list of every row."""
+        near = nearest_lists(x, self.coarse, 1)[:, 0]
+        return near * len(self.fine) + nearest_lists(x - self.coarse[near], self.fine, 1)[:, 0]
+
+    def ranked(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest lists of every row, nearest first, among those of its ``n`` nearest coarse centroids."""
+        n = min(n, self.cells)
+        near = nearest_lists(x, self.coarse, min(n, len(self.coarse)))
+        if len(self.fine) == 1:
+            return near
+        out = np.empty((len(x), n), np.int64)
+        for i, row in enumerate(x):
+            centres = self.coarse[near[i]]
+            d = ((row - centres) ** 2).sum(1)[:, None] - 2 * (row - centres) @ self.fine.T + (self.fine**2).sum(1)
+            cells = (near[i][:, None] * len(self.fine) + np.arange(len(self.fine))).ravel()
+            best = np.argsort(d.ravel(), kind="stable")[:n]
+            out[i] = cells[best]
+        return out
+
+
+def probes_for(x: np.ndarray, index: CellIndex, k: int, trials: int, target: float) -> int:
     """Lists to probe for a recall of ``target`` among the vectors of ``x`` themselves."""
-    home, asked = nearest_lists(x, centres, 1)[:, 0], x[:trials]
+    home, asked = index.home(x), x[:trials]
     d = (x * x).sum(1) - 2 * (asked @ x.T)
     d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
     near = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
-    place = np.argsort(nearest_lists(asked, centres, len(centres)), axis=1)
-    return int(np.quantile(np.take_along_axis(place, home[near], 1), target)) + 1 if near.size else 1
+    if not near.size:
+        return 1
+    places = []
+    for at in range(0, len(asked), 16):
+        place = np.argsort(index.ranked(asked[at : at + 16], index.cells), axis=1)
+        places.append(np.take_along_axis(place, home[near[at : at + 16]], 1))
+    return int(np.quantile(np.concatenate(places), target)) + 1
 
 
 def adaptive_scan(
@@ -152,11 +195,13 @@ def nearest_neighbours(
     """Nearest rows by Euclidean distance of every row whose id is divisible by ``query_modulus``.
 
     Output: ``query_id, rank, vec_id, score``, ranked from 1, ties to the
-    smaller id; all candidates found if there are fewer than k. The index has
-    one list a centroid; a query probes its nearest lists. A list with more
-    than ``block`` rows is dealt to several tasks by a hash of the id, so a
-    list with a third of all rows is no single task's work. Distances of
-    candidates that survive the scan are those of the original vectors.
+    smaller id; all candidates if there are fewer than k. A query probes its
+    nearest lists. Its nearest anchors are candidates too; so the bound that
+    they set never leaves it with fewer than k. A list with more than ``block``
+    rows or asked by more than ``block`` queries is dealt to several tasks by
+    hashes of the ids, so a list with a third of all rows is no single task's
+    work. Distances of candidates that survive the scan are those of the
+    original vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do null ids. Vectors meet only vectors of their length,
@@ -181,70 +226,74 @@ def _search_length(base: DataFrame, dims: int, total: int, query_modulus: int, p
     # Bounded by ``sample``.
     sampled = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("vec_id", "v").collect()
     x = np.stack([np.asarray(r[1]) for r in sampled])
-    n_lists = int(min(p.max_lists, max(1, total**0.5 / 2), max(1, len(x) // 8)))
-    rng = np.random.default_rng(p.seed)
-    rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-    centres = kmeans(x @ rotation, n_lists, p.seed)
-    probes = min(n_lists, max(p.min_probes, probes_for(x @ rotation, centres, p.k, p.trials, p.target)))
-    shared = spark.sparkContext.broadcast((rotation, centres, x[: p.anchors] @ rotation, np.array([r[0] for r in sampled[: p.anchors]])))
-
-    def place(n: int, asked: bool = False):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rot, cen, anchors, anchor_ids = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                turned = flat @ rot
-                lists = nearest_lists(turned, cen, n)
-                bound = np.full(len(flat), np.inf)
-                if asked:
-                    for i, (row, own) in enumerate(zip(turned, batch.column(0).to_numpy(), strict=True)):
-                        # The k-th of the anchors with other ids, with room for rounding in the rotation.
-                        d = ((anchors - row) ** 2).sum(1)[anchor_ids != own]
-                        if len(d) >= p.k:
-                            bound[i] = np.partition(d, p.k - 1)[p.k - 1] * (1 + 1e-9) + 1e-24 * (row @ row)
-                ends = pa.array(np.arange(len(flat) + 1) * dims, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.ListArray.from_arrays(ends, pa.array(turned.ravel())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * lists.shape[1], pa.int32()), pa.array(lists.ravel().astype(np.int32))),
-                        pa.array(bound),
-                    ],
-                    ["vec_id", "v", "r", "lists", "bound"],
-                )
-
-        return run
-
-    schema_placed = "vec_id long, v array<double>, r array<double>, lists array<int>, bound double"
-    indexed = materialize(
-        base.mapInArrow(place(1), schema_placed).select("vec_id", "v", "r", F.col("lists")[0].alias("list")), "ann-index"
+    rotation = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((dims, dims)))[0]
+    index = CellIndex(x @ rotation, int(max(1, total**0.5 / 2)), p.max_centres, p.seed)
+    probes = min(index.cells, max(p.min_probes, probes_for(x @ rotation, index, p.k, p.trials, p.target)))
+    anchors = x[: p.anchors]
+    shared = spark.sparkContext.broadcast((rotation, index, anchors, anchors @ rotation, np.array([r[0] for r in sampled[: p.anchors]])))
+
+    def vectors_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+    def lists_of(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rot, cells, *_ = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                turned = vectors_of(batch) @ rot
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists_of(turned), pa.array(cells.home(turned))], ["vec_id", "v", "r", "list"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rot, cells, original, rotated, anchor_ids = shared.value
+        for batch in sliced(batches):
+            flat, own = vectors_of(batch), batch.column(0).to_numpy()
+            turned, bound, near = flat @ rot, np.full(len(flat), np.inf), []
+            for i, q in enumerate(turned):
+                # The k nearest of the anchors with other ids, with room for rounding in the rotation.
+                others = np.flatnonzero(anchor_ids != own[i])
+                d = ((rotated[others] - q) ** 2).sum(1)
+                best = np.argpartition(d, p.k - 1)[: p.k] if len(d) > p.k else np.arange(len(d))
+                if len(best) == p.k:
+                    bound[i] = d[best].max() * (1 + 1e-9) + 1e-24 * (q @ q)
+                diff = original[others[best]] - flat[i]
+                score = np.sqrt((diff * diff).sum(1))
+                near.append([{"vec_id": int(a), "score": float(b)} for a, b in zip(anchor_ids[others[best]], score, strict=True)])
+            lists = cells.ranked(turned, probes)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lists_of(turned), lists_of(lists), pa.array(bound), pa.array(near, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
+                ["vec_id", "v", "r", "lists", "bound", "near"],
+            )
+
+    ws = Workspace(spark, "ann")
+    indexed = ws.keep(base.mapInArrow(place, "vec_id long, v array<double>, r array<double>, list long"), "index")
+    queries = base.filter(F.col("vec_id") % query_modulus == 0).dropDuplicates(["vec_id", "v"])
+    queries = queries.mapInArrow(ask, "vec_id long, v array<double>, r array<double>, lists array<long>, bound double, near array<struct<vec_id: long, score: double>>")
+    queries = ws.keep(queries.withColumnRenamed("vec_id", "query_id").withColumn("asked", F.xxhash64("v")), "queries")
+    # One row a list; written, so that its size is known where it is joined.
+    asking = queries.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("parts"))
+    sizes = ws.keep(indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")).join(asking, "list"), "sizes")
+    rows = indexed.join(sizes, "list").select(
+        "list", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v", "r"
     )
-    # One row a list, at most ``max_lists``.
-    blocks = F.broadcast(indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("blocks")))
-    rows = indexed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = (
-        base.filter(F.col("vec_id") % query_modulus == 0)
-        .dropDuplicates(["vec_id", "v"])
-        .mapInArrow(place(probes, True), schema_placed)
-        .select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("asked"), "v", "r", "bound", F.explode("lists").alias("list"))
-        .join(blocks, "list")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks")
+        queries.select("query_id", "asked", "v", "r", "bound", F.explode("lists").alias("list"))
+        .join(sizes, "list")
+        .select("query_id", "asked", "v", "r", "bound", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", "asked"), F.col("parts")).cast("int").alias("part"))
     )
     found = (
-        asked.groupBy("list", "block")
-        .cogroup(rows.groupBy("list", "block"))
+        asked.groupBy("list", "block", "part")
+        .cogroup(rows.groupBy("list", "block", "part"))
         .applyInPandas(_search_block(p), "query_id long, asked long, vec_id long, score double")
     )
+    key = ["query_id", "asked", "vec_id", "score"]
+    firsts = queries.select("query_id", "asked", F.explode("near").alias("a")).select("query_id", "asked", "a.vec_id", "a.score", F.lit(1).alias("first"))
+    # An anchor that the scan has found as well is one candidate; rows that repeat an id stay as many as there are.
+    both = found.withColumn("first", F.lit(0)).union(firsts).groupBy(*key).agg(F.sum("first").alias("a"), F.sum(1 - F.col("first")).alias("b"))
+    both = both.withColumn("_", F.explode(F.sequence(F.lit(1), F.greatest("a", "b"))))
     order = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= p.k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

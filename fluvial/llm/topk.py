@@ -11,6 +11,14 @@ from pyspark.sql.window import Window
 from .common import table
 
 
+def inner_products(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Exact integer products of 64 bits; by floating point only where every sum stays below 2**53."""
+    most = float(np.abs(rows).max(initial=0)) * float(np.abs(weights).max(initial=0)) * rows.shape[-1]
+    if most < 2**53:
+        return (rows.astype(np.float64) @ weights.astype(np.float64)).astype(np.int64)
+    return rows.astype(np.int64) @ weights.astype(np.int64)
+
+
 class SortedLists:
     """One ascending list of rows for every dimension of a block of integer vectors."""
 
@@ -20,7 +28,9 @@ class SortedLists:
         self.lists = np.argsort(self.values, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.values, self.lists, 0)
 
-    def top(self, query: np.ndarray, k: int, exclude: int | None = None, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def top(
+        self, query: np.ndarray, k: int, exclude: int | None = None, floor: int | None = None, step: int = 8
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` highest inner products with ``query``, ties to the smaller id.
 
         Sorted access goes down the lists together, from the high end where
@@ -28,7 +38,9 @@ class SortedLists:
         rounds that double; every row met is scored in full at once. The bound
         on rows not met is the product of the weights with the values at the
         current depth. It stops when the k-th score is above that bound; at an
-        equal score a row not met could still win by its id.
+        equal score a row not met could still win by its id. ``floor`` is a
+        score that k rows are known to reach, wherever they are: then it also
+        stops when the bound falls below it.
         """
         n = len(self.ids)
         weights = query.astype(np.int64)
@@ -47,31 +59,36 @@ class SortedLists:
             new = new[~met[new]]
             met[new] = True
             if len(new):
-                # Exact: the products stay far below 2**53.
-                score = (self.values[new].astype(np.float64) @ weights.astype(np.float64)).astype(np.int64)
+                score = inner_products(self.values[new], weights)
                 rows, scores = np.concatenate([rows, new]), np.concatenate([scores, score])
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
             depth, step = upto, step * 2
-            if len(rows) == k and depth < n:
-                edge = np.where(up, self.sorted[n - 1 - depth, dims], self.sorted[depth, dims])
-                if scores[-1] > int((edge * weights[dims]).sum()):
+            if depth < n and (len(rows) == k or floor is not None):
+                edge = int((np.where(up, self.sorted[n - 1 - depth, dims], self.sorted[depth, dims]) * weights[dims]).sum())
+                if len(rows) == k and scores[-1] > edge or floor is not None and floor > edge:
                     break
         return self.ids[rows], scores
 
 
-def _search(k: int):
+def _search(k: int, shared):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "asked": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
             values, ids = rows["x"], rows["vec_id"].to_numpy()
             for width, part in rows.groupby(values.map(len), sort=True):
                 lists = SortedLists(part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy()))
-                for query_id, q in zip(queries["query_id"], queries["x"], strict=True):
+                anchor_ids, anchors = shared.value.get(width, (np.empty(0, np.int64), None))
+                for query_id, asked, q in zip(queries["query_id"], queries["asked"], queries["x"], strict=True):
                     if len(q) != width:
                         continue
-                    found, scores = lists.top(np.asarray(q), k, query_id)
+                    others = anchor_ids != query_id
+                    floor = None
+                    if others.sum() >= k:
+                        floor = int(np.partition(inner_products(anchors, np.asarray(q))[others], -k)[-k])
+                    found, scores = lists.top(np.asarray(q), k, query_id, floor)
                     out["query_id"] += [query_id] * len(found)
+                    out["asked"] += [asked] * len(found)
                     out["vec_id"] += found.tolist()
                     out["score"] += scores.tolist()
         return pd.DataFrame(out)
@@ -98,7 +115,8 @@ def top_inner_products(
     k: int = 10,
     query_modulus: int = 100,
     row_block: int = 8192,
-    query_block: int = 1024,
+    query_block: int = 8192,
+    anchors: int = 2048,
 ) -> DataFrame:
     """Exact highest integer inner products of every row whose id is divisible by ``query_modulus``.
 
@@ -106,30 +124,42 @@ def top_inner_products(
     query's own id left out. Rows and queries are dealt into blocks by a hash
     of the id and every block of queries meets every block of rows; a task
     builds the sorted lists of its rows once and runs the threshold algorithm
-    for each query; the k best of every block are then ranked together.
+    for each query; the k best of every block are then ranked together. The
+    k-th best score among ``anchors`` rows, the first by a hash of the id, is a
+    floor for all blocks, so a block without better rows stops early.
 
     Null vectors and ids, and vectors with null or non-finite components, take
     no part; vectors score only against vectors of their length; zero vectors
-    score 0. An empty table gives no rows; other columns are ignored.
+    score 0. Sums are those of 64-bit integers. Different vectors of one query
+    id are queries each, equal ones are one query; rows that repeat an id are
+    candidates each, and not of a query with their id. An empty table gives no
+    rows; other columns are ignored.
     """
     base = integer_vectors(vectors, id_col, vector_col, scale)
-    asked = base.filter(F.col("vec_id") % query_modulus == 0)
+    asked = base.filter(F.col("vec_id") % query_modulus == 0).dropDuplicates(["vec_id", "x"])
     n_rows, n_queries = base.count(), asked.count()
     cuts, parts = max(1, -(-n_rows // row_block)), max(1, -(-n_queries // query_block))
-    rows = base.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(cuts)).cast("int")).withColumn(
+    # Bounded by ``anchors``.
+    held: dict[int, list] = {}
+    for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(anchors).collect():
+        held.setdefault(len(r[1]), []).append(r)
+    shared = vectors.sparkSession.sparkContext.broadcast(
+        {w: (np.array([r[0] for r in rs]), np.array([r[1] for r in rs], np.int64).reshape(len(rs), w)) for w, rs in held.items()}
+    )
+    rows = base.withColumn("rb", F.pmod(F.xxhash64("vec_id", "x"), F.lit(cuts)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
     queries = (
-        asked.withColumnRenamed("vec_id", "query_id")
-        .withColumn("qb", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(parts)).cast("int"))
+        asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("asked"), "x")
+        .withColumn("qb", F.pmod(F.xxhash64("query_id", "asked", F.lit(1)), F.lit(parts)).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
     )
     found = (
         queries.groupBy("rb", "qb")
         .cogroup(rows.groupBy("rb", "qb"))
-        .applyInPandas(_search(k), "query_id long, vec_id long, score long")
+        .applyInPandas(_search(k, shared), "query_id long, asked long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from fluvial.llm.neighbours import AnnParameters, adaptive_scan, nearest_neighbours
+from fluvial.llm.neighbours import AnnParameters, CellIndex, adaptive_scan, nearest_neighbours
 from fluvial.llm.topk import SortedLists, top_inner_products
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -87,3 +87,59 @@ def test_repeated_query_ids_and_lengths(spark):
     assert len(at) == len(got) == 12
     assert [at[100, k] for k in range(1, 11)] == (np.argsort(d)[:10] + 1).tolist()
     assert [at[200, k] for k in (1, 2)] == [202, 201]
+
+
+def test_every_query_has_k_neighbours_and_two_levels_recall(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    docs = table(spark, x)
+    for p, least in ((AnnParameters(), 0.9), (AnnParameters(max_centres=6, anchors=64, block=40), 0.9), (AnnParameters(min_probes=1, target=0.01, anchors=20), 0)):
+        got = nearest_neighbours(docs, params=p).toPandas()
+        hits = 0
+        for q in range(0, 3000, 100):
+            d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+            want = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+            g = got[got["query_id"] == q].sort_values("rank")
+            assert len(set(g["vec_id"])) == 10 and g["rank"].tolist() == list(range(1, 11))
+            hits += len(set(want) & set(g["vec_id"]))
+        assert hits >= least * 300
+
+
+def test_cells_of_two_levels():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 8))
+    one, two = CellIndex(x, 40, 64, 0), CellIndex(x, 40, 8, 0)
+    assert one.cells == 40 and len(one.fine) == 1 and two.cells == 40 and len(two.fine) == 5
+    for index in (one, two):
+        home, order = index.home(x), index.ranked(x[:50], index.cells)
+        assert home.max() < index.cells and all(sorted(o) == list(range(index.cells)) for o in order)
+        assert np.mean([home[i] in order[i][:4] for i in range(50)]) > 0.8
+
+
+def test_floor_changes_no_result_and_large_components():
+    rng = np.random.default_rng(9)
+    v, ids = rng.integers(-9, 10, (400, 5)), rng.permutation(1000)[:400]
+    lists = SortedLists(ids, v)
+    for q in rng.integers(-9, 10, (40, 5)):
+        best = lists.top(q, 6)
+        for floor in (int(best[1][-1]), int(best[1][-1]) - 3):
+            got = lists.top(q, 6, floor=floor)
+            assert got[0].tolist() == best[0].tolist() and got[1].tolist() == best[1].tolist()
+    big = np.array([[2**40 + 1, 1], [2**40, 3]])
+    assert SortedLists(np.array([1, 2]), big).top(np.array([2**20 + 1, 7]), 2)[1].tolist() == sorted((int(a) * (2**20 + 1) + int(b) * 7 for a, b in big), reverse=True)
+
+
+def test_repeated_queries_of_top_products_and_clashing_columns(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((60, 3)).astype(np.float32)
+    rows = [(i + 1, [float(v) for v in r], "a", 1.0, 2, 3) for i, r in enumerate(x)] + [(100, [1.0, 0.5, 0.0], "a", 1.0, 2, 3)] * 12 + [(100, [0.0, -1.0, 0.0], "b", 1.0, 2, 3)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string, score double, rank int, asked int")
+    got = top_inner_products(docs, row_block=16, query_block=1, anchors=30).collect()
+    v = np.floor(1024 * x.astype(float)).astype(np.int64)
+    assert len(got) == 20
+    for q in ([1024, 512, 0], [0, -1024, 0]):
+        s = v @ q
+        want = [(int(i) + 1, int(s[i])) for i in np.lexsort((np.arange(60), -s))[:10]]
+        assert all((i, t) in [(r.vec_id, r.score) for r in got] for i, t in want)
+    near = nearest_neighbours(docs).collect()
+    assert len(near) == 20 and {r.query_id for r in near} == {100} and 100 not in {r.vec_id for r in near}
