@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,12 +14,18 @@ from pyspark.sql.window import Window
 from .common import table
 
 
-def inner_products(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Exact integer products of 64 bits; by floating point only where every sum stays below 2**53."""
-    most = float(np.abs(rows).max(initial=0)) * float(np.abs(weights).max(initial=0)) * rows.shape[-1]
-    if most < 2**53:
-        return (rows.astype(np.float64) @ weights.astype(np.float64)).astype(np.int64)
-    return rows.astype(np.int64) @ weights.astype(np.int64)
+class Products:
+    """Exact integer inner products with the rows of a matrix, in floating point where every sum stays below 2**53."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self._rows = rows.astype(np.int64)
+        self._floats = self._rows.astype(np.float64)
+        self._most = float(np.abs(self._floats).max(initial=0)) * rows.shape[1]
+
+    def __call__(self, weights: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        if self._most * float(np.abs(weights.astype(np.float64)).max(initial=0)) < 2**53:
+            return (self._floats[at] @ weights.astype(np.float64)).astype(np.int64)
+        return self._rows[at] @ weights
 
 
 class SortedLists:
@@ -24,9 +33,12 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
-        self.lists = np.argsort(self.values, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.values, self.lists, 0)
+        self.ids, values = ids[order], values[order].astype(np.int64)
+        self.products = Products(values)
+        lists = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, lists, 0)
+        # A row of this matrix is one list, so sorted access reads memory in order.
+        self.lists = np.ascontiguousarray(lists.T.astype(np.int32))
 
     def top(
         self, query: np.ndarray, k: int, exclude: int | None = None, floor: int | None = None, step: int = 8
@@ -39,27 +51,33 @@ class SortedLists:
         on rows not met is the product of the weights with the values at the
         current depth. It stops when the k-th score is above that bound; at an
         equal score a row not met could still win by its id. ``floor`` is a
-        score that k rows are known to reach, wherever they are: then it also
-        stops when the bound falls below it.
+        score that k rows are known to reach, wherever they are: rows below it
+        are left out, and it also stops when the bound falls below it.
         """
         n = len(self.ids)
         weights = query.astype(np.int64)
         dims = np.flatnonzero(weights)
+        up = weights[dims] > 0
+        highs, lows = dims[up], dims[~up]
         met = np.zeros(n, bool)
-        rows, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         if exclude is not None:
             met[self.ids == exclude] = True
-        depth = 0
-        up = weights[dims] > 0
+        rows, scores, depth = np.empty(0, np.int64), np.empty(0, np.int64), 0
         while depth < n:
             upto = min(n, depth + step)
-            high = self.lists[n - upto : n - depth, dims[up]].ravel()
-            low = self.lists[depth:upto, dims[~up]].ravel()
-            new = np.unique(np.concatenate([high, low])) if len(dims) else np.arange(depth, upto)
-            new = new[~met[new]]
-            met[new] = True
+            seen = met.copy()
+            seen[self.lists[highs, n - upto : n - depth]] = True
+            seen[self.lists[lows, depth:upto]] = True
+            if not len(dims):
+                seen[depth:upto] = True
+            new = np.flatnonzero(seen & ~met)
+            met = seen
             if len(new):
-                score = inner_products(self.values[new], weights)
+                score = self.products(weights, new)
+                least = scores[-1] if len(rows) == k else floor
+                if least is not None:
+                    fit = score >= least
+                    new, score = new[fit], score[fit]
                 rows, scores = np.concatenate([rows, new]), np.concatenate([scores, score])
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
@@ -71,22 +89,17 @@ class SortedLists:
         return self.ids[rows], scores
 
 
-def _search(k: int, shared):
+def _search(k: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "asked": [], "vec_id": [], "score": []}
         if len(queries) and len(rows):
-            values, ids = rows["x"], rows["vec_id"].to_numpy()
+            values = rows["x"]
             for width, part in rows.groupby(values.map(len), sort=True):
                 lists = SortedLists(part["vec_id"].to_numpy(), np.stack(part["x"].to_numpy()))
-                anchor_ids, anchors = shared.value.get(width, (np.empty(0, np.int64), None))
-                for query_id, asked, q in zip(queries["query_id"], queries["asked"], queries["x"], strict=True):
+                for query_id, asked, q, floor in zip(queries["query_id"], queries["asked"], queries["x"], queries["floor"], strict=True):
                     if len(q) != width:
                         continue
-                    others = anchor_ids != query_id
-                    floor = None
-                    if others.sum() >= k:
-                        floor = int(np.partition(inner_products(anchors, np.asarray(q))[others], -k)[-k])
-                    found, scores = lists.top(np.asarray(q), k, query_id, floor)
+                    found, scores = lists.top(np.asarray(q), k, query_id, floor[0] if len(floor) else None)
                     out["query_id"] += [query_id] * len(found)
                     out["asked"] += [asked] * len(found)
                     out["vec_id"] += found.tolist()
@@ -96,6 +109,28 @@ def _search(k: int, shared):
     return run
 
 
+def _floors(k: int, shared):
+    """Adds to each query the k-th best score among the anchors with other ids (an empty list if there are fewer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products = {}
+        for batch in batches:
+            floors = []
+            for query_id, x in zip(batch.column("query_id").to_pylist(), batch.column("x"), strict=True):
+                q = x.values.to_numpy()
+                ids, anchors = shared.value.get(len(q), (np.empty(0, np.int64), None))
+                others = ids != query_id
+                if others.sum() < k:
+                    floors.append([])
+                    continue
+                if len(q) not in products:
+                    products[len(q)] = Products(anchors)
+                floors.append([int(np.partition(products[len(q)](q)[others], -k)[-k])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.list_(pa.int64()))], [*batch.schema.names, "floor"])
+
+    return run
+
+
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``vec_id, x`` with ``floor(scale * component)``; null, null-holding and non-finite vectors are left out."""
     v = F.col(vector_col).cast("array<double>")
@@ -151,13 +186,14 @@ def top_inner_products(
     )
     queries = (
         asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("asked"), "x")
+        .mapInArrow(_floors(k, shared), "query_id long, asked long, x array<long>, floor array<long>")
         .withColumn("qb", F.pmod(F.xxhash64("query_id", "asked", F.lit(1)), F.lit(parts)).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
     )
     found = (
         queries.groupBy("rb", "qb")
         .cogroup(rows.groupBy("rb", "qb"))
-        .applyInPandas(_search(k, shared), "query_id long, asked long, vec_id long, score long")
+        .applyInPandas(_search(k), "query_id long, asked long, vec_id long, score long")
     )
     order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     return (
