@@ -37,30 +37,33 @@ def gapless_index(
 ) -> DataFrame:
     """Number the rows of each ``within`` group from 0 without sorting a whole group in one task.
 
-    Rows fall into ``buckets`` hash buckets, each bucket is numbered by a window,
-    and the bucket's start is a prefix sum over at most ``buckets`` counts a
-    group. ``df`` is evaluated twice, so pass a materialised one. The prefix
-    table has ``groups * buckets`` rows; broadcasting is left to the optimizer,
-    which checks its size.
+    Equal rows are counted first, since their numbers are interchangeable, so
+    they need not meet in one task. Rows then fall into ``buckets`` hash buckets, each
+    bucket is numbered by a window, and the bucket's start is a prefix sum over
+    at most ``buckets`` counts a group. ``df`` is evaluated twice, so pass a
+    materialised one. The prefix table has ``groups * buckets`` rows;
+    broadcasting is left to the optimizer, which checks its size.
     """
     bucket, base, local = "_gl_bucket", "_gl_base", "_gl_local"
-    rows = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(*within, bucket).agg(F.count(F.lit(1)).alias("_gl_n"))
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_gl_c"))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy(*within, bucket).agg(F.sum("_gl_c").alias("_gl_n"))
     prefix = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *[F.col(c).alias(f"_gl_{c}") for c in within],
         F.col(bucket).alias("_gl_b"),
         F.coalesce(F.sum("_gl_n").over(prefix), F.lit(0)).alias(base),
     )
-    inner = Window.partitionBy(*within, bucket).orderBy(*order)
-    numbered = rows.withColumn(local, F.row_number().over(inner).cast("long") - 1)
+    inner = Window.partitionBy(*within, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn(local, F.coalesce(F.sum("_gl_c").over(inner), F.lit(0)))
     match = [F.col(c).eqNullSafe(F.col(f"_gl_{c}")) for c in within] + [F.col(bucket) == F.col("_gl_b")]
     cond = match[0]
     for m in match[1:]:
         cond = cond & m
     return (
         numbered.join(starts, cond)
-        .withColumn(out, F.col(base) + F.col(local))
+        .withColumn("_gl_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_gl_c") - 1)))
+        .withColumn(out, F.col(base) + F.col(local) + F.col("_gl_i"))
         .select(*df.columns, out)
     )
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_index, materialize, shuffle_width, table, text_bytes
+from .common import Workspace, gapless_index, shuffle_width, table, text_bytes
 
 
 class CapacityTree:
@@ -146,6 +146,7 @@ def shard_documents(
     if law not in ("bytes", "rows", "key"):
         raise ValueError(f"unknown law {law!r}")
     spark = docs.sparkSession
+    ws = Workspace(spark, "shard")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -154,18 +155,19 @@ def shard_documents(
         F.unhex(F.sha2(text, 256)).alias("g_key"),
     )
     if law == "bytes":
-        placed = _by_bytes(base, n_shards, fanout)
+        placed = _by_bytes(base, n_shards, fanout, ws)
     elif law == "key":
         placed = base.withColumn("shard", _heaviest(n_shards)).withColumn("grown_shard", _heaviest(n_shards + 1))
     else:
         ranked = gapless_index(
-            materialize(base.withColumn("_all", F.lit(0)), "shard-rows"),
+            ws.keep(base.select("doc_id", "size", "text_crc32", F.lit(0).alias("_all")), "rows"),
             ["_all"], ["doc_id", "text_crc32", "size"], "_rank", max(16, shuffle_width(spark)),
         )
         placed = ranked.withColumn("shard", (F.col("_rank") % n_shards).cast("int"))
     if "grown_shard" not in placed.columns:
         placed = placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    narrow = materialize(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard"), "shard-placed")
+    narrow = ws.keep(placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard"), "placed")
+    ws.clear(narrow)
     slotted = gapless_index(narrow, ["shard"], ["doc_id", "text_crc32", "size"], "slot", max(16, shuffle_width(spark)))
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", "grown_shard"
@@ -177,10 +179,10 @@ def _heaviest(n: int):
     return F.array_max(weights)["s"].cast("int")
 
 
-def _by_bytes(base: DataFrame, n_shards: int, fanout: int) -> DataFrame:
+def _by_bytes(base: DataFrame, n_shards: int, fanout: int, ws: Workspace) -> DataFrame:
     spark = base.sparkSession
     width = shuffle_width(spark)
-    groups = materialize(base.groupBy("g_key").agg(F.sum("size").alias("g_bytes")), "shard-groups")
+    groups = ws.keep(base.groupBy("g_key").agg(F.sum("size").alias("g_bytes")), "groups")
     total = groups.agg(F.sum("g_bytes")).first()[0] or 0
     fan = max(fanout, -(-4 * width // n_shards))
     capacity = max(1, -(-total // (n_shards * fan)))
@@ -190,7 +192,7 @@ def _by_bytes(base: DataFrame, n_shards: int, fanout: int) -> DataFrame:
         .sortWithinPartitions(F.desc("g_bytes"), "g_key")
         .mapInPandas(_pack_partition(capacity), "g_key binary, g_bytes long, g_bin long")
     )
-    binned = materialize(small, "shard-bins")
+    binned = ws.keep(small, "bins")
     # Bounded: at most n_shards * fan large groups, and the workers' bins.
     bins = [(int(r[0]), int(r[1])) for r in binned.groupBy("g_bin").agg(F.sum("g_bytes")).collect()]
     large = [(bytes(r[0]), int(r[1])) for r in groups.filter(F.col("g_bytes") > capacity).collect()]
@@ -206,7 +208,7 @@ def _by_bytes(base: DataFrame, n_shards: int, fanout: int) -> DataFrame:
     marked = base.join(F.broadcast(large_map), F.col("g_key") == F.col("l_key"), "left")
     marked = marked.withColumn(
         "j_key",
-        F.when(F.col("l_shard").isNull(), F.col("g_key")).otherwise(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))),
+        F.when(F.col("l_shard").isNull(), F.col("g_key")).otherwise(F.unhex(F.sha2(F.monotonically_increasing_id().cast("string"), 256))),
     )
     return marked.join(by_key, F.col("j_key") == F.col("k_key"), "left").withColumn(
         "shard", F.coalesce("l_shard", "bin_shard")

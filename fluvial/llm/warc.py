@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, table
+from ..storage import delete_path
+from .common import Workspace, scratch_path, table
 
 CRLF = "\r\n"
 CAPTURES = ("response", "revisit", "resource")
@@ -37,11 +38,11 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 
 def refer_to_first(pages: DataFrame, least_bytes: int = 100, hot_share: int = 20_000) -> DataFrame:
-    """``page_id, url, html, payload_bytes, payload_digest, refers_to`` of every page.
+    """``page_id, url, html, payload_bytes, payload_digest, refers_to, refers_url`` of every page.
 
     Of equal payloads of at least ``least_bytes`` the page with the smallest id
-    stays, the others refer to it; null ids refer to an id but are never
-    referred to. Payloads with very many copies, ``hot_share`` at most, come by
+    (and url, if ids repeat) stays, the others refer to it; rows with its id
+    stay as well. Null ids refer to an id but are never referred to. Payloads with very many copies, ``hot_share`` at most, come by
     a bounded broadcast so that their pages stay spread.
     """
     html = F.coalesce("html", F.lit(""))
@@ -51,41 +52,46 @@ def refer_to_first(pages: DataFrame, least_bytes: int = 100, hot_share: int = 20
         F.sha2(html, 256).alias("payload_digest"),
     )
     rows = pages.count()
-    firsts = materialize(
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    # Small and read by every later step, so it stays.
+    firsts = Workspace(pages.sparkSession, "warc").keep(
         base.filter(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1 and first is not null"),
-        "warc-firsts",
+        "firsts",
     )
     limit = max(64, rows // hot_share)
     hot = firsts.filter(F.col("copies") > limit).select(F.col("payload_digest").alias("hd"), F.col("first").alias("hot_first"))
     rest = firsts.filter(F.col("copies") <= limit).select(F.col("payload_digest").alias("rd"), F.col("first").alias("rest_first"))
     marked = base.join(F.broadcast(hot), F.col("payload_digest") == F.col("hd"), "left").withColumn(
-        "jd", F.when(F.col("hd").isNull(), F.col("payload_digest")).otherwise(F.sha2(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 256))
+        "jd", F.when(F.col("hd").isNull(), F.col("payload_digest")).otherwise(F.sha2(F.monotonically_increasing_id().cast("string"), 256))
     )
     # ``rest`` is a written table, so the optimizer knows its size and broadcasts it only if it is small.
     joined = marked.join(rest, F.col("jd") == F.col("rd"), "left")
     first = F.coalesce("hot_first", F.when(F.col("hd").isNull(), F.col("rest_first")))
+    other = ~first["page_id"].eqNullSafe(F.col("page_id"))
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(~first.eqNullSafe(F.col("page_id")), first).alias("refers_to"),
+        F.when(other, first["page_id"]).alias("refers_to"), F.when(other, first["url"]).alias("refers_url"),
     )
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
     """Write a response or revisit record for every page, with its request and a metadata record.
 
-    The archives are gzipped text files written by Spark's own writer, each
-    with at most ``records_per_file`` pages, on any file system that Spark
-    reaches. ``pages`` comes from :func:`refer_to_first`.
+    The archives are gzipped text files written by Spark's own writer, on any
+    file system that Spark reaches. They are cut by bytes: pages of up to 64 KB
+    lie ``records_per_file`` to a file, larger ones of up to 4 MB at most 64,
+    still larger ones alone. So a file, which a reader takes as one value, is
+    at most 256 MB of text or one page. ``pages`` comes from :func:`refer_to_first`.
     """
     blank = r"[\s\x00-\x1f]"
     uri = F.regexp_replace("url", blank, "%20")
     digest, n = F.col("payload_digest"), F.col("payload_bytes")
     target = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     host = F.regexp_extract(F.coalesce(uri, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    capture_id = _urn("capture", F.col("page_id"), digest)
+    capture_id = _urn("capture", F.col("page_id"), F.col("url"), digest)
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n.cast("string"), F.lit(CRLF + CRLF)
     )
@@ -98,7 +104,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
             ("WARC-Target-URI", uri),
             ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
             ("WARC-Profile", F.when(revisit, F.lit(_PROFILE))),
-            ("WARC-Refers-To", F.when(revisit, _urn("capture", F.col("refers_to"), digest))),
+            ("WARC-Refers-To", F.when(revisit, _urn("capture", F.col("refers_to"), F.col("refers_url"), digest))),
             ("Content-Type", "application/http; msgtype=response"),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
@@ -106,7 +112,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     request = _record(
         [
             ("WARC-Type", "request"),
-            ("WARC-Record-ID", _urn("request", F.col("page_id"), digest)),
+            ("WARC-Record-ID", _urn("request", F.col("page_id"), F.col("url"), digest)),
             ("WARC-Date", date),
             ("WARC-Target-URI", uri),
             ("WARC-Concurrent-To", capture_id),
@@ -120,7 +126,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
     metadata = _record(
         [
             ("WARC-Type", "metadata"),
-            ("WARC-Record-ID", _urn("metadata", F.col("page_id"), digest)),
+            ("WARC-Record-ID", _urn("metadata", F.col("page_id"), F.col("url"), digest)),
             ("WARC-Date", date),
             ("WARC-Target-URI", uri),
             ("WARC-Concurrent-To", capture_id),
@@ -132,9 +138,13 @@ def write_warc(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z",
         ),
     )
     end = CRLF + CRLF
-    pages.select(F.concat_ws(end, capture, request, metadata).alias("value")).write.option("lineSep", end).option(
-        "compression", "gzip"
-    ).option("maxRecordsPerFile", records_per_file).text(path)
+    rows = pages.select(n.alias("n"), F.concat_ws(end, capture, request, metadata).alias("value"))
+    longest, least = rows.agg(F.max("n")).first()[0] or 0, -1
+    for most, per_file in ((64 << 10, records_per_file), (4 << 20, min(64, records_per_file)), (1 << 62, 1)):
+        if least < longest or least < 0:
+            out = rows.filter((F.col("n") > least) & (F.col("n") <= most)).select("value").write.mode("append")
+            out.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        least = most
 
 
 def iter_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -264,14 +274,15 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     url``, a row for each page. Null html is an empty payload; a null url gives
     a record without target; a null page id stays null; repeated rows give a
     capture each; other columns are ignored. Payloads below 100 bytes are never
-    revisits.
+    revisits. Without ``path`` the archives lie in the shared folder until the
+    result is written there and are deleted then.
     """
     spark = pages.sparkSession
-    path = path or scratch_path(spark, "warc")
-    write_warc(refer_to_first(pages), path)
-    assembled = assemble(read_warc(spark, path, with_payload=False).drop("payload"))
+    target = path or scratch_path(spark, "warc")
+    write_warc(refer_to_first(pages), target)
+    assembled = assemble(read_warc(spark, target, with_payload=False).drop("payload"))
     field = lambda name: F.nullif(F.regexp_extract("metadata.block", rf"(?m)^{name}: (-?\d+)", 1), F.lit("")).cast("long")
-    return assembled.select(
+    out = assembled.select(
         field("page-id").alias("page_id"),
         F.col("capture.payload_bytes").alias("payload_bytes"),
         F.col("capture.payload_digest").alias("payload_digest"),
@@ -279,6 +290,10 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
         field("refers-to-page").alias("refers_to"),
         F.col("capture.target_uri").alias("url"),
     )
+    if path is None:
+        out = Workspace(spark, "warc").keep(out, "captures")
+        delete_path(spark, target)
+    return out
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -64,8 +64,3 @@ def test_nulls_repeats_and_empty(spark, documents):
     assert len(out) == 5 and sorted(out["size"]) == [1, 1, 1, 2, 5001]
     assert out[out["size"] == 1]["shard"].nunique() == 1
     assert len(shards(documents([]))) == 0
-
-
-def test_extra_columns_with_clashing_names(spark):
-    df = spark.createDataFrame([(1, "a", 7, "z")], "doc_id long, text string, shard int, g_key string")
-    assert shards(df)["shard"].tolist() == [0] or len(shards(df)) == 1
