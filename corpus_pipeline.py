@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import materialize, table
+from fluvial.llm.common import Workspace, materialize, table
 from fluvial.llm.jaccard import jaccard_classes
 from fluvial.llm.langid import keep_determined, train_languages
 from fluvial.llm.packing import pack_documents
@@ -55,10 +55,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``, each written before the next; what a stage has read is deleted then."""
+    ws, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        found = stage(spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return found
+        found = ws.keep(found, name)
+        ws.drop(docs)
+        docs = found
