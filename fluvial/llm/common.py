@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import Workspace, cut as materialize, scratch_path  # noqa: F401
+from ..storage import Workspace, scratch_path  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +90,30 @@ def worker_cache(owner: tuple, build):
     return _held[owner]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, nbytes: int = 4 << 20) -> Iterator[None]:
+    """Bounds the Arrow batches, by rows and bytes, of what is executed inside; the session's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": nbytes}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, most in wanted.items():
+            now = int(before[key]) if before[key] and before[key].lstrip("-").isdigit() else 0
+            if now <= 0 or now > most:
+                spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+class TextWorkspace(Workspace):
+    """A workspace whose tables are made from texts in Python: small Arrow batches while they are written."""
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        with small_batches(df.sparkSession):
+            return super().keep(df, label)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of at most ``rows``, so that what Python makes of long texts does not add up.
 

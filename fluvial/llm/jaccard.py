@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import Workspace, sliced, table
+from .common import TextWorkspace, Workspace, sliced, table
 from .segments import SegmentScheme
 from .shingles import mix64, shingle_set
 
@@ -403,7 +403,7 @@ def jaccard_classes(
     ``docs`` are ignored.
     """
     scheme = scheme or SegmentScheme(num, den)
-    ws = Workspace(docs.sparkSession, "jaccard")
+    ws = TextWorkspace(docs.sparkSession, "jaccard")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = ws.keep(
         base.mapInArrow(_sign(scheme), "doc_id long, n long, s1 long, s2 long, even long, odd long, sigs array<long>").withColumn("rid", F.monotonically_increasing_id()),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_index, materialize, shuffle_width, table, sliced, worker_cache
+from .common import TextWorkspace, gapless_index, shuffle_width, sliced, table, worker_cache
 from .sharding import CapacityTree
 from .tokens import FastEncoder, default_vocabulary
 
@@ -92,7 +92,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     ``capacity // length`` pieces a class, by best fit.
     """
     spark = pieces.sparkSession
-    kept = materialize(pieces, "pack-pieces")
+    kept = TextWorkspace(spark, "pack").keep(pieces, "pieces")
     per_class = {int(r[0]): int(r[1]) for r in kept.groupBy("length").count().collect()}
     first, class_rows, rest = 0, [], {}
     for size in sorted(per_class, reverse=True):
