@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvial.llm.common import Workspace, materialize, table
+from fluvial.llm.common import TextWorkspace, table
 from fluvial.llm.jaccard import jaccard_classes
 from fluvial.llm.langid import keep_determined, train_languages
 from fluvial.llm.packing import pack_documents
@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words, link with nothing and stay.
     """
     # Written once, since the numbers depend on how the rows are read.
-    rows = materialize(docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "dedup-rows")
+    numbered = docs.filter("doc_id is not null").withColumn("_row", F.monotonically_increasing_id())
+    rows = TextWorkspace(spark, "dedup").keep(numbered, "rows")
     classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     keys = rows.select("_row", F.struct("doc_id", F.xxhash64("text"), "_row").alias("key"))
     kept = classes.join(keys, "_row").groupBy("component_id").agg(F.min("key")["_row"].alias("_row")).select("_row")
@@ -56,7 +57,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written before the next; what a stage has read is deleted then."""
-    ws, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
+    ws, docs = TextWorkspace(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         found = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
