@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..storage import cut
 from .flow import accumulate, downstream_paths
-from .raster import NEIGHBOURS, segment_border, stencil
+from .raster import NEIGHBOURS, stencil
 
 _OCEAN = -1
 
@@ -71,13 +71,53 @@ def flood_tile(z: np.ndarray, on_edge: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return filled, label, passes
 
 
+def lowest_ways_out(links: DataFrame) -> DataFrame:
+    """``a, w``: for every basin the lowest height of all its ways to the ocean, a way being as high as its highest pass.
+
+    ``links``: ``a, b, h`` in both directions, the ocean only as ``b``.
+    Contraction along minimum spanning trees: every basin points over its
+    lowest pass (ties by the two basins in either order, so only two basins can
+    point at each other, and the smaller of these is then a root); pointers
+    double, keeping the highest pass on the way; basins with one root become
+    one. Basins at least halve each round. A root's level, known once later
+    rounds are, bounds that of its basins from below.
+    """
+    rounds, left = [], links
+    while left.limit(1).count():
+        order = F.struct("h", F.least("a", "b"), F.greatest("a", "b"))
+        best = cut(left.groupBy("a").agg(F.min_by(F.struct(F.col("b").alias("p"), "h"), order).alias("e")).select("a", "e.p", F.col("e.h").alias("w")), "ways")
+        mutual = best.select(F.col("a").alias("p"), F.col("p").alias("a")).filter("a < p")
+        ptr = cut(best.join(mutual, ["a", "p"], "left_anti"), "ways")
+        while True:
+            far = ptr.select(F.col("a").alias("p"), F.col("p").alias("q"), F.col("w").alias("v"))
+            if ptr.join(far, "p", "left_semi").limit(1).count() == 0:
+                break
+            ptr = cut(ptr.join(far, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.greatest("w", F.coalesce("v", "w")).alias("w")), "ways")
+        rounds.append(ptr)
+        to_a, to_b = ptr.select("a", F.col("p").alias("pa")), ptr.select(F.col("a").alias("b"), F.col("p").alias("pb"))
+        moved = left.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"), "h")
+        left = cut(moved.filter((F.col("a") != F.col("b")) & (F.col("a") != _OCEAN)).groupBy("a", "b").agg(F.min("h").alias("h")), "ways")
+    level = None
+    for ptr in reversed(rounds):
+        if level is None:
+            level = ptr.select("a", F.when(F.col("p") == _OCEAN, F.col("w")).otherwise(float("inf")).alias("w"))
+        else:
+            above = level.select(F.col("a").alias("p"), F.col("w").alias("v"))
+            here = ptr.join(above, "p", "left").select(
+                "a", F.when(F.col("p") == _OCEAN, F.col("w")).otherwise(F.greatest("w", F.coalesce("v", F.lit(float("inf"))))).alias("w")
+            )
+            level = here.unionByName(level)
+        level = cut(level, "ways")
+    return level if level is not None else links.select("a", F.col("h").alias("w"))
+
+
 def fill_depressions(cells: DataFrame, z: str = "z", tile: int = 256) -> DataFrame:
     """``sind, iy, ix, z``: elevations raised to the lowest level from which water leaves the grid.
 
     Water leaves over the grid's edge and into cells without data. Every tile
     is flooded by itself; its basins, the passes between them, and the passes
-    to the basins of neighbouring tiles form a small graph over which the
-    lowest way out is relaxed; a cell then rises to its basin's level. Cells
+    to the basins of neighbouring tiles form a small graph that gives every
+    basin its lowest way out; a cell then rises to its basin's level. Cells
     shuffle once, the graph has one node per tile basin.
     """
     base = cells.select("sind", "iy", "ix", F.col(z).cast("double").alias("z"))
@@ -107,22 +147,18 @@ def fill_depressions(cells: DataFrame, z: str = "z", tile: int = 256) -> DataFra
     schema = "kind int, sind long, iy long, ix long, z double, a long, b long"
     parts = cut(tiled.groupBy("ty", "tx").applyInPandas(run, schema), "fill")
     inside = parts.filter("kind = 1").select("a", "b", F.col("z").alias("h"))
-    rim = cut(parts.filter("kind = 0 and b = 1 and z is not null and not isnan(z)").select("iy", "ix", "z", "a"), "fill-rim")
+    # Rim cells without data belong to the ocean, so that water also leaves into those of neighbouring tiles.
+    rim = cut(parts.filter("kind = 0 and b = 1").select("iy", "ix", F.when(~F.isnan("z"), F.col("z")).alias("z"), "a"), "fill-rim")
     shift = F.explode(F.array(*[F.struct(F.lit(n.dy).alias("dy"), F.lit(n.dx).alias("dx")) for n in NEIGHBOURS if (n.dy, n.dx) > (0, 0)]))
     moved = rim.withColumn("s", shift).select((F.col("iy") + F.col("s.dy")).alias("iy"), (F.col("ix") + F.col("s.dx")).alias("ix"), F.col("z").alias("z2"), F.col("a").alias("b"))
-    across = rim.join(moved, ["iy", "ix"]).filter("a != b").select("a", "b", F.greatest("z", "z2").alias("h"))
+    across = rim.join(moved, ["iy", "ix"]).filter("a != b").select(
+        F.when(F.col("a") == _OCEAN, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == _OCEAN, F.col("a")).otherwise(F.col("b")).alias("b"),
+        F.greatest("z", "z2").alias("h"),
+    )
     links = inside.unionByName(across)
     links = links.unionByName(links.filter(F.col("b") != _OCEAN).select(F.col("b").alias("a"), F.col("a").alias("b"), "h"))
     links = cut(links.groupBy("a", "b").agg(F.min("h").alias("h")), "fill-links")
-    out = links.filter(F.col("b") == _OCEAN).groupBy("a").agg(F.min("h").alias("w"))
-    level = cut(links.select("a").distinct().join(out, "a", "left").withColumn("w", F.coalesce("w", F.lit(float("inf")))), "fill-level")
-    while True:
-        via = links.filter(F.col("b") != _OCEAN).join(level.select(F.col("a").alias("b"), F.col("w").alias("wb")), "b")
-        best = via.groupBy("a").agg(F.min(F.greatest("h", "wb")).alias("n"))
-        nxt = cut(level.join(best, "a", "left").select("a", F.least("w", F.coalesce("n", "w")).alias("w"), F.col("w").alias("was")), "fill-level")
-        if nxt.filter("w < was").limit(1).count() == 0:
-            break
-        level = nxt.select("a", "w")
+    level = lowest_ways_out(links)
     done = parts.filter("kind = 0").join(level, "a", "left")
     risen = F.when(F.isnan("z"), F.lit(None)).otherwise(F.greatest(F.col("z"), F.coalesce("w", F.col("z"))))
     return done.select("sind", "iy", "ix", risen.alias("z"))
@@ -151,40 +187,36 @@ def fill_by_relaxation(cells: DataFrame, z: str = "z", epsilon: float = 0.0, max
     return state.select("sind", "iy", "ix", F.col("w").alias("z"))
 
 
-def drain_depressions(d8: DataFrame, tile: int = 512, max_rounds: int = 64) -> DataFrame:
+def drain_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
     """``sind, iy, ix, z, nxt``: inner pits drained by reversing the path from the lowest pass to the pit.
 
     Each round gives every catchment with an inner pit its lowest pass to
-    another catchment; of two that choose each other the one with the lower pit
-    (then larger index) keeps its pit. Catchments at least halve each round.
-    Pits on the grid's edge or beside cells without data stay.
+    another catchment, ties by the two cells of the pass in either order. So
+    all catchments rank passes alike and only two that choose the same pass
+    can point at each other; of these the one with the lower pit (then larger
+    index) keeps its pit. Catchments at least halve each round, until no inner
+    pit is left. Pits on the grid's edge or beside cells without data stay.
     """
     grid = stencil(d8.select("sind", "iy", "ix", "z"), ["z"], tile)
     open_ = grid.filter((F.size("nb") < 8) | F.exists("nb", lambda x: x["z"].isNull())).select("sind").withColumn("open", F.lit(True))
     state = cut(d8.filter("z is not null").select("sind", "iy", "ix", "z", "nxt").join(open_, "sind", "left"), "drain")
-    for _ in range(max_rounds):
-        inner = state.filter("nxt is null and open is null").select("sind", F.col("z").alias("pit_z"))
+    while True:
+        inner = state.filter("nxt is null and open is null").select(F.col("sind").alias("seg"), F.col("z").alias("pit_z"))
         if inner.limit(1).count() == 0:
             break
-        flow = cut(accumulate(state).select("sind", F.col("outlet").alias("seg")), "drain-flow")
-        rim = cut(segment_border(state.join(flow, "sind"), tile=tile).filter("out_sind is not null"), "drain-rim")
-        edges = rim.join(state.select("sind", "z"), "sind").withColumn("h", F.greatest("z", "out_z"))
-        mine = edges.join(inner.select(F.col("sind").alias("seg"), "pit_z"), "seg")
-        best = mine.groupBy("seg").agg(F.min_by(F.struct("sind", "out_sind"), F.struct("h", "sind")).alias("e"), F.first("pit_z").alias("pit_z"))
-        goal = flow.select(F.col("sind").alias("o"), F.col("seg").alias("other"))
-        chosen = cut(best.select("seg", "pit_z", "e.sind", "e.out_sind").join(goal, F.col("out_sind") == F.col("o")).drop("o"), "drain-best")
-        # Along a cycle of choices all passes are equally high; it is cut at the catchment that keeps its pit.
+        flow = accumulate(state).select("sind", F.col("outlet").alias("seg"))
+        wide = stencil(state.select("sind", "iy", "ix", "z").join(flow, "sind"), ["z", "seg"], tile)
+        passes = wide.select("sind", "z", "seg", F.explode(F.filter("nb", lambda x: x["seg"] != F.col("seg"))).alias("n"))
+        order = F.struct(F.greatest("z", "n.z"), F.least("sind", "n.sind"), F.greatest("sind", "n.sind"))
+        best = passes.join(inner, "seg").groupBy("seg").agg(
+            F.min_by(F.struct("sind", F.col("n.sind").alias("out_sind"), F.col("n.seg").alias("other")), order).alias("e"), F.first("pit_z").alias("pit_z")
+        )
+        chosen = cut(best.select("seg", "pit_z", "e.sind", "e.out_sind", "e.other"), "drain-best")
         back = chosen.select(F.col("seg").alias("other"), F.col("other").alias("back"), F.col("pit_z").alias("other_z"))
-        keep = chosen.join(back, "other", "left").filter(
+        keep = chosen.join(back, "other").filter(
             (F.col("back") == F.col("seg")) & ((F.col("pit_z") < F.col("other_z")) | ((F.col("pit_z") == F.col("other_z")) & (F.col("seg") > F.col("other"))))
         )
-        moves = chosen.join(keep.select("seg"), "seg", "left_anti")
-        loops = accumulate(moves.select(F.col("seg").alias("sind"), F.col("other").alias("nxt")).unionByName(
-            moves.select(F.col("other").alias("sind")).distinct().join(moves.select(F.col("seg").alias("sind")), "sind", "left_anti").withColumn("nxt", F.lit(None).cast("long"))
-        ), max_rounds=40).filter("outlet is null").select(F.col("sind").alias("seg"))
-        moves = cut(moves.join(loops, "seg", "left_anti").unionByName(
-            moves.join(loops, "seg").withColumn("m", F.max("seg").over(Window.partitionBy(F.lit(1)))).filter("seg = m").drop("m") if loops.limit(1).count() else moves.limit(0)
-        ), "drain-moves")
+        moves = cut(chosen.join(keep.select("seg"), "seg", "left_anti"), "drain-moves")
         paths = downstream_paths(state, moves.select("sind"))
         w = Window.partitionBy("start").orderBy("step")
         turned = paths.withColumn("up", F.lag("sind").over(w)).select("sind", "up", "start")
@@ -221,11 +253,14 @@ def breach_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
     return carve(drained)
 
 
-def spread_distance(links: DataFrame, seeds: DataFrame, max_rounds: int = 100_000) -> DataFrame:
-    """``sind, dist``: steps from the nearest seed over ``links`` (``a, b``), seeds at 1."""
+def spread_distance(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``sind, dist``: steps from the nearest seed over ``links`` (``a, b``), seeds at 1.
+
+    A round per step, until no new cell is reached.
+    """
     seen = cut(seeds.select("sind").distinct().withColumn("dist", F.lit(1).cast("long")), "spread")
     front, d = seen, 1
-    while d < max_rounds:
+    while True:
         d += 1
         nxt = front.select(F.col("sind").alias("a")).join(links, "a").select(F.col("b").alias("sind")).distinct().join(seen, "sind", "left_anti")
         front = cut(nxt.withColumn("dist", F.lit(d).cast("long")), "spread")

@@ -10,24 +10,25 @@ from ..storage import cut
 from .raster import main_upstream
 
 
-def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: str | None = None, max_rounds: int = 64) -> DataFrame:
+def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: str | None = None) -> DataFrame:
     """``sind, acc, outlet, depth``: cells upstream with itself, terminal cell and steps to it.
 
     Round k lets every cell know 2**k steps: values go to the pointed-to cell,
-    then pointers double. A cell whose pointer never ends lies on or leads to a
-    loop; its outlet is null. Each round costs two shuffles of active rows; the
-    rounds are about log2 of the longest path, not of the table.
+    then pointers double. Each round costs two shuffles of active rows; the
+    rounds are about log2 of the longest path, not of the table. A path has no
+    more steps than there are cells, so a pointer that is left after log2 of
+    their number lies on or leads to a loop: outlet, acc and depth are null.
     """
     start = edges.select(
         F.col(key).alias("sind"), F.col(nxt).alias("ptr"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("acc"),
         F.when(F.col(nxt).isNull(), F.col(key)).alias("outlet"), F.when(F.col(nxt).isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),
     )
     state = cut(start, "flow")
-    for _ in range(max_rounds):
+    for _ in range(state.count().bit_length() + 1):
         live = state.filter("ptr is not null")
         if live.limit(1).count() == 0:
             break
-        got = live.groupBy(F.col("ptr").alias("sind")).agg(F.sum("acc").alias("more"))
+        got = live.groupBy(F.col("ptr").alias("sind")).agg(F.try_sum("acc").alias("more"))
         far = state.select(
             F.col("sind").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("outlet").alias("outlet2"), F.col("depth").alias("depth2")
         )
@@ -39,7 +40,8 @@ def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: st
         ended = state.filter("ptr is null")
         state = cut(
             moved.unionByName(ended).join(got, "sind", "left").select(
-                "sind", "ptr", (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), "outlet", "depth"
+                # Along a loop the sums double each round and may pass 64 bits; such cells get null in the end.
+                "sind", "ptr", F.try_add("acc", F.coalesce("more", F.lit(0))).alias("acc"), "outlet", "depth"
             ),
             "flow",
         )
@@ -55,9 +57,7 @@ def loop_flags(edges: DataFrame, key: str = "sind", nxt: str = "nxt") -> DataFra
     Cells that nobody on a loop-bound path points to are peeled off until only
     loops are left.
     """
-    n = edges.count()
-    rounds = max(1, n.bit_length()) + 1
-    state = accumulate(edges, key, nxt, max_rounds=rounds)
+    state = accumulate(edges, key, nxt)
     bound = cut(state.filter("outlet is null").select("sind").join(edges.select(F.col(key).alias("sind"), F.col(nxt).alias("nxt")), "sind"), "loop")
     core = bound
     while True:

@@ -318,12 +318,15 @@ def s26(spark, sf_dir):
     return bilinear(p, cells, 0.0, 0.0, 1.0).select("pt_id", (F.round("z", 4) + 0.0).alias("z"))
 
 
-@query("s18_resample", f"""{C}, p AS (SELECT i AS k, (i % 70) * 1.3E0 AS x, -(floor(i / 70) * 1.3E0) AS y FROM range(700) t(i))
+@query("s18_resample", f"""{C}, g AS (SELECT unnest(range(0, 77 * (SELECT CAST(floor(max(iy) / 1.3E0) AS BIGINT) + 1 FROM cell))) AS i),
+p AS (SELECT i AS k, (i % 77) * 1.3E0 AS x, -(floor(i / 77) * 1.3E0) AS y FROM g)
 SELECT p.k, c.z_tilt AS z FROM p LEFT JOIN cell c ON c.ix = CAST(round_even(x, 0) AS BIGINT) AND c.iy = CAST(round_even(-y, 0) AS BIGINT)""")
 def s18(spark, sf_dir):
     from ..operators.tiles import resample_nearest
 
-    target = spark.range(700).select(F.col("id").alias("k"), (F.col("id") % 70 * 1.3).alias("x"), (-(F.floor(F.col("id") / 70) * 1.3)).alias("y"))
-    return resample_nearest(target, cell(spark, sf_dir).select("iy", "ix", F.col("z_tilt").alias("z")), 0.0, 0.0, 1.0).select("k", "z")
+    cells = cell(spark, sf_dir).select("iy", "ix", F.col("z_tilt").alias("z"))
+    rows = int((cells.agg(F.max("iy")).first()[0] or 0) / 1.3) + 1
+    target = spark.range(77 * rows).select(F.col("id").alias("k"), (F.col("id") % 77 * 1.3).alias("x"), (-(F.floor(F.col("id") / 77) * 1.3)).alias("y"))
+    return resample_nearest(target, cells, 0.0, 0.0, 1.0).select("k", "z")
 
 

@@ -15,6 +15,13 @@ W = with_tables("cell", "nbr", recursive=True)
 PAIRS = "cell c CROSS JOIN nbr n JOIN cell m ON m.iy = c.iy + n.dy AND m.ix = c.ix + n.dx"
 
 
+def stored(sql: str) -> str:
+    """The statement with its tables computed once, where a later one reads them many times."""
+    for name in ("cell", "nbr", "d8", "flow"):
+        sql = sql.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return sql
+
+
 def d8_sql(z: str = "z_tilt", cond: str = "z > zb") -> str:
     return f"""d8 AS (SELECT sind, iy, ix, z, CASE WHEN {cond} THEN code ELSE 0 END AS dir, CASE WHEN {cond} THEN nsind END AS nxt
  FROM (SELECT c.sind, c.iy, c.ix, c.{z} AS z, n.code, m.sind AS nsind, m.{z} AS zb,
@@ -103,7 +110,7 @@ def h8(spark, sf_dir):
     return ra.close_borders(d8, ny, 100).select("sind", "dir")
 
 
-@query("h9_0_upstream", f"{T}, {d8_sql()} SELECT d.nxt AS sind, d.sind AS up, n.o_search AS slot FROM d8 d JOIN nbr n ON n.code = d.dir JOIN d8 t ON t.sind = d.nxt".replace("n.o_search", "(SELECT k.o_search FROM nbr k WHERE k.inv_code = d.dir)"))
+@query("h9_0_upstream", stored(f"{T}, {d8_sql()} SELECT d.nxt AS sind, d.sind AS up, k.o_search AS slot FROM d8 d JOIN nbr k ON k.inv_code = d.dir"))
 def h9_0(spark, sf_dir):
     ups = ra.upstream_neighbours(tilted(spark, sf_dir)).select("sind", F.explode("ups").alias("u"))
     return ups.select("sind", F.col("u.sind").alias("up"), F.col("u.os").alias("slot"))
@@ -288,11 +295,11 @@ def h14(spark, sf_dir):
     return ra.flat_neighbours(cut(ra.d8_directions(cells), "d8"))
 
 
-@query("h15_segment_border", f"""{W}, {d8_sql()}, {PATH}, h AS (SELECT max(iy) AS my FROM cell),
+@query("h15_segment_border", stored(f"""{W}, {d8_sql()}, {PATH}, h AS (SELECT max(iy) AS my FROM cell),
 o AS (SELECT c.sind, m.sind AS ns, m.z_tilt AS z, row_number() OVER (PARTITION BY c.sind ORDER BY m.z_tilt, n.o) AS rn
  FROM {PAIRS} JOIN flow f ON f.sind = c.sind JOIN flow g ON g.sind = m.sind WHERE g.outlet <> f.outlet)
 SELECT c.sind, f.outlet AS seg, o.sind IS NOT NULL OR c.iy = 0 OR c.iy = my OR c.ix = 0 OR c.ix = 99 AS on_border, o.ns AS out_sind, o.z AS out_z
-FROM cell c JOIN flow f USING (sind) CROSS JOIN h LEFT JOIN o ON o.sind = c.sind AND o.rn = 1""")
+FROM cell c JOIN flow f USING (sind) CROSS JOIN h LEFT JOIN o ON o.sind = c.sind AND o.rn = 1"""))
 def h15(spark, sf_dir):
     d8, flow = _with_acc(spark, sf_dir)
     return ra.segment_border(d8.join(flow.select("sind", F.col("outlet").alias("seg")), "sind"))
