@@ -364,24 +364,24 @@ def lift_smallest_width(lines: DataFrame, width: str, factor: float = 10.0, out:
 
 
 def smooth_between_nodes(lines: DataFrame, n: int) -> DataFrame:
-    """Smooth each stretch between vertices that occur more than once; those and the ends stay.
+    """Moving average over each section between vertices that occur more than once; those and the ends stay.
 
-    The window is centred and shrinks towards the ends of a stretch.
+    A section holds the nodes at both its ends. Its window is ``n``, in a
+    section of fewer than ``n + 2`` vertices two less than it has, with edges
+    as in :func:`moving_average`.
     """
     w = along()
     shared = (F.count(F.lit(1)).over(Window.partitionBy("x", "y")) > 1).cast("int")
     rows = lines.withColumn("_node", shared).withColumn("_s", F.sum("_node").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    part = Window.partitionBy("line_id", "_s").orderBy("vid")
-    rows = rows.withColumns({"_p": F.row_number().over(part) - 1, "_c": F.count(F.lit(1)).over(Window.partitionBy("line_id", "_s"))})
-    half = n // 2
-    out = {}
-    for c in ("x", "y"):
-        sums = [F.avg(c).over(part.rowsBetween(-k, k)) for k in range(half + 1)]
-        value = sums[half]
-        for k in range(half - 1, -1, -1):
-            value = F.when(F.least(F.col("_p"), F.col("_c") - 1 - F.col("_p")) <= k, sums[k]).otherwise(value)
-        out[f"_{c}"] = F.when(F.col("_node") == 1, F.col(c)).otherwise(value)
-    return rows.withColumns(out).withColumns({"x": F.col("_x"), "y": F.col("_y")}).select(*lines.columns)
+    # A node closes one section and begins the next.
+    both = F.when(F.col("_node") == 1, F.array(F.col("_s") - 1, F.col("_s"))).otherwise(F.array("_s"))
+    keyed = rows.withColumn("_sec", F.explode(both)).withColumn("_line", F.col("line_id")).withColumn("line_id", F.struct("line_id", "_sec"))
+    keyed = keyed.withColumns({"_at": F.row_number().over(w), "_len": F.count(F.lit(1)).over(whole())})
+    keyed = keyed.withColumn("_w", F.greatest(F.lit(1), F.least(F.lit(n), F.col("_len") - 2)))
+    keyed = moving_average_per_line(moving_average_per_line(keyed, "x", "_w", "_x"), "y", "_w", "_y").filter("_sec = _s")
+    inner = (F.col("_node") == 0) & (F.col("_at") > 1) & (F.col("_at") < F.col("_len"))
+    moved = {c: F.when(inner, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("x", "y")}
+    return keyed.withColumns({"line_id": F.col("_line"), **moved}).select(*lines.columns)
 
 
 def combine_networks(parts: list[DataFrame], every: int, n: int) -> DataFrame:

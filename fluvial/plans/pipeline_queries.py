@@ -10,6 +10,7 @@ from ..operators import fill, linework, raster, rivers
 from ..operators import spatial as sp
 from ..storage import cut
 from .registry import query, r6
+from .spatial_queries import PIP, cross_sql
 
 
 def _bowl(spark, sf_dir):
@@ -85,19 +86,25 @@ def comps(spark, sf_dir):
     return linework.components(near, "p", "pt_id")
 
 
-@query("r17_snap_to_lines")
+LINE_D = f"""{with_tables('vertex', 'pt')}, vl AS (SELECT line_id, vid, x / 10 AS x, y % 100 AS y FROM vertex),
+sg AS (SELECT x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM vl WINDOW w AS (PARTITION BY line_id ORDER BY vid)),
+cd AS (SELECT p.pt_id, p.x, p.y, s.*, row_number() OVER (PARTITION BY p.pt_id ORDER BY ((s.ax + s.bx) / 2 - p.x) * ((s.ax + s.bx) / 2 - p.x) + ((s.ay + s.b_y) / 2 - p.y) * ((s.ay + s.b_y) / 2 - p.y)) AS rn
+ FROM pt p CROSS JOIN (SELECT DISTINCT * FROM sg WHERE bx IS NOT NULL) s),
+k AS (SELECT *, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) + 1e-20) AS k FROM cd WHERE rn <= 30),
+d AS (SELECT pt_id, CASE WHEN k BETWEEN 0 AND 1 THEN sqrt(pow(x - (ax + k * (bx - ax)), 2) + pow(y - (ay + k * (b_y - ay)), 2)) ELSE least(sqrt(pow(x - ax, 2) + pow(y - ay, 2)), sqrt(pow(x - bx, 2) + pow(y - b_y, 2))) END AS d FROM k)"""
+
+
+@query("r17_snap_to_lines", f"""{LINE_D},
+o AS (SELECT p.*, coalesce(d.d >= p.thr, true) AS ok FROM pt p LEFT JOIN (SELECT pt_id, min(d) FILTER (WHERE d > 0) AS d FROM d GROUP BY pt_id) d USING (pt_id)),
+n AS (SELECT a.pt_id, b.x, b.y, row_number() OVER (PARTITION BY a.pt_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.pt_id) AS rn FROM o a JOIN o b ON b.ok AND NOT a.ok)
+SELECT o.pt_id, round(coalesce(n.x, o.x), 6) + 0.0E0 AS x, round(coalesce(n.y, o.y), 6) + 0.0E0 AS y FROM o LEFT JOIN n ON n.pt_id = o.pt_id AND n.rn = 1""")
 def r17(spark, sf_dir):
     lines = vertex(spark, sf_dir).select("line_id", "vid", (F.col("x") / 10).alias("x"), (F.col("y") % 100).alias("y"))
     out = linework.snap_to_lines(pt(spark, sf_dir), sp.segments(lines), 1.0)
     return out.select("pt_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("r17_line_distance", f"""{with_tables('vertex', 'pt')}, vl AS (SELECT line_id, vid, x / 10 AS x, y % 100 AS y FROM vertex),
-sg AS (SELECT x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM vl WINDOW w AS (PARTITION BY line_id ORDER BY vid)),
-cd AS (SELECT p.pt_id, p.x, p.y, s.*, row_number() OVER (PARTITION BY p.pt_id ORDER BY ((s.ax + s.bx) / 2 - p.x) * ((s.ax + s.bx) / 2 - p.x) + ((s.ay + s.b_y) / 2 - p.y) * ((s.ay + s.b_y) / 2 - p.y)) AS rn
- FROM pt p CROSS JOIN (SELECT DISTINCT * FROM sg WHERE bx IS NOT NULL) s),
-k AS (SELECT *, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) + 1e-20) AS k FROM cd WHERE rn <= 30),
-d AS (SELECT pt_id, CASE WHEN k BETWEEN 0 AND 1 THEN sqrt(pow(x - (ax + k * (bx - ax)), 2) + pow(y - (ay + k * (b_y - ay)), 2)) ELSE least(sqrt(pow(x - ax, 2) + pow(y - ay, 2)), sqrt(pow(x - bx, 2) + pow(y - b_y, 2))) END AS d FROM k)
+@query("r17_line_distance", f"""{LINE_D}
 SELECT pt_id, round(min(d) FILTER (WHERE d > 0), 6) + 0.0E0 AS d FROM d GROUP BY pt_id""")
 def r17d(spark, sf_dir):
     lines = vertex(spark, sf_dir).select("line_id", "vid", (F.col("x") / 10).alias("x"), (F.col("y") % 100).alias("y"))
@@ -172,14 +179,38 @@ def h22(spark, sf_dir):
     return external_inflow(outlets, border, 1.5)
 
 
-@query("h21_smooth_between_nodes")
+@query("h21_smooth_between_nodes", f"""{with_tables('vertex')}, nd AS (SELECT line_id, vid, x, y, CASE WHEN count(*) OVER (PARTITION BY x, y) > 1 THEN 1 ELSE 0 END AS node FROM vertex),
+st AS (SELECT *, sum(node) OVER (PARTITION BY line_id ORDER BY vid) AS s FROM nd), sc AS (SELECT *, s AS sec FROM st UNION ALL SELECT *, s - 1 FROM st WHERE node = 1),
+ps AS (SELECT *, row_number() OVER (PARTITION BY line_id, sec ORDER BY vid) - 1 AS p, count(*) OVER (PARTITION BY line_id, sec) AS c FROM sc),
+wd AS (SELECT *, greatest(1, least(6, c - 2)) AS n, CAST(floor(greatest(1, least(6, c - 2)) / 2) AS BIGINT) AS m FROM ps),
+av AS (SELECT a.line_id, a.vid, avg(b.x) AS x, avg(b.y) AS y FROM wd a JOIN wd b ON b.line_id = a.line_id AND b.sec = a.sec AND a.node = 0 AND a.p > 0 AND a.p < a.c - 1
+ AND b.p <= greatest(a.m, least(a.p, a.c - 1 - a.m)) + a.m AND b.p > greatest(a.m, least(a.p, a.c - 1 - a.m)) + a.m - a.n GROUP BY a.line_id, a.vid)
+SELECT nd.line_id, nd.vid, round(coalesce(av.x, nd.x), 6) + 0.0E0 AS x, round(coalesce(av.y, nd.y), 6) + 0.0E0 AS y FROM nd LEFT JOIN av USING (line_id, vid)""")
 def h21(spark, sf_dir):
     from ..operators.sequence import smooth_between_nodes
 
     return smooth_between_nodes(vertex(spark, sf_dir).select("line_id", "vid", "x", "y"), 6).select("line_id", "vid", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("s17_combine_networks")
+def _ma3(c: str) -> str:
+    """Moving average over three vertices of the thinned lines ``t``; the ends take their neighbours' mean."""
+    ends = "PARTITION BY _t, line_id ORDER BY vid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    mean = f"(sum({c}) OVER (PARTITION BY _t, line_id ORDER BY vid ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3)"
+    return f"{mean} AS m{c}, first_value({c}) OVER ({ends}) AS f{c}, last_value({c}) OVER ({ends}) AS l{c}"
+
+
+def _ma3_out(c: str) -> str:
+    ends = "PARTITION BY _t, line_id ORDER BY vid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return f"""round(CASE WHEN k <= 3 THEN f{c} + (l{c} - f{c}) * vid / (k - 1) WHEN vid = 0 THEN nth_value(m{c}, 2) OVER ({ends})
+ WHEN vid = k - 1 THEN nth_value(m{c}, k - 1) OVER ({ends}) ELSE m{c} END, 6) + 0.0E0 AS {c}"""
+
+
+@query("s17_combine_networks", f"""{with_tables('vertex')}, u AS (SELECT 0 AS _t, line_id, vid, x, y FROM vertex UNION ALL SELECT 1, line_id, vid, x, y + 1000 FROM vertex),
+q AS (SELECT *, row_number() OVER (PARTITION BY _t, line_id ORDER BY vid) - 1 AS p, count(*) OVER (PARTITION BY _t, line_id) AS n FROM u),
+i AS (SELECT DISTINCT _t, line_id, n, CAST(floor(n / 6) AS BIGINT) AS k FROM q WHERE n >= 12), j AS (SELECT *, unnest(range(k)) AS vid FROM i),
+t AS (SELECT j._t, j.line_id, j.vid, j.k, q.x, q.y FROM j JOIN q ON q._t = j._t AND q.line_id = j.line_id AND q.p = CAST(floor(j.vid * (j.n - 1) / (j.k - 1)) AS BIGINT)),
+w AS (SELECT *, {_ma3('x')}, {_ma3('y')} FROM t)
+SELECT _t, line_id, vid, {_ma3_out('x')}, {_ma3_out('y')} FROM w""")
 def s17(spark, sf_dir):
     from ..operators.sequence import combine_networks
 
@@ -187,11 +218,19 @@ def s17(spark, sf_dir):
     return combine_networks([v, v.withColumn("y", F.col("y") + 1000)], 6, 3).select("line_id.*", "vid", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("r31_levee_feet")
+@query("r31_levee_feet", f"""{with_tables('vertex')}, w1 AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS d FROM vertex WINDOW w AS (PARTITION BY line_id ORDER BY vid)),
+w2 AS (SELECT *, sum(d) OVER (PARTITION BY line_id ORDER BY vid) AS s0, sum(d) OVER (PARTITION BY line_id) AS total FROM w1), sg AS (SELECT *, lead(s0) OVER (PARTITION BY line_id ORDER BY vid) AS s1 FROM w2),
+k AS (SELECT line_id, total, n, unnest(range(n)) AS k FROM (SELECT DISTINCT line_id, total, greatest(2, CAST(floor(total / 300) AS BIGINT)) AS n FROM w2)),
+j AS (SELECT k.line_id, k.k, k.total * k.k / (k.n - 1) AS place, s.s0, s.s1, s.x, s.y, s.x1, s.y1, row_number() OVER (PARTITION BY k.line_id, k.k ORDER BY s.s0) AS rn
+ FROM k JOIN sg s ON s.line_id = k.line_id AND s.s1 > s.s0 AND s.s0 - 1e-7 <= k.total * k.k / (k.n - 1) AND k.total * k.k / (k.n - 1) <= s.s1 + 1e-7),
+e AS (SELECT line_id, k AS vid, x + (place - s0) / (s1 - s0) * (x1 - x) AS x, y + (place - s0) / (s1 - s0) * (y1 - y) AS y FROM j WHERE rn = 1),
+g1 AS (SELECT *, atan2(lead(y) OVER w - y, lead(x) OVER w - x) AS ao FROM e WINDOW w AS (PARTITION BY line_id ORDER BY vid)), g2 AS (SELECT *, lag(ao) OVER (PARTITION BY line_id ORDER BY vid) AS ai FROM g1),
+g3 AS (SELECT *, coalesce(ai + CASE WHEN ao - ai > pi() THEN ao - ai - 2 * pi() WHEN ao - ai < -pi() THEN ao - ai + 2 * pi() ELSE ao - ai END / 2, ao, ai) - pi() / 2 AS perp FROM g2)
+SELECT line_id, side, CAST(vid AS INTEGER) AS vid, round(x + cos(perp) * side, 4) + 0.0E0 AS x, round(y + sin(perp) * side, 4) + 0.0E0 AS y FROM g3 CROSS JOIN (VALUES (-15.0E0), (-5.0E0), (5.0E0), (15.0E0)) o(side)""")
 def r31(spark, sf_dir):
     from ..operators.sequence import levee_feet
 
-    return levee_feet(vertex(spark, sf_dir)).select("line_id", "side", "vid", r6("x").alias("x"), r6("y").alias("y"))
+    return levee_feet(vertex(spark, sf_dir)).select("line_id", "side", "vid", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
 @query("m2_arc_depths", f"""{with_tables('arc', 'node')}, a AS (SELECT river_id, arc_pos, vid, x / 10 AS x, y / 40 AS y FROM arc),
@@ -205,7 +244,11 @@ def m2(spark, sf_dir):
     return arc_depths(arcs, node(spark, sf_dir)).select("river_id", "arc_pos", "vid", "dp")
 
 
-@query("m3_arcs_in_region")
+@query("m3_arcs_in_region", f"""{with_tables('arc', 'ring')}, {PIP}, a AS (SELECT river_id, arc_pos, vid, x / 10 AS x, y / 5 AS y FROM arc),
+vs AS (SELECT river_id, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM a WINDOW w AS (PARTITION BY river_id, arc_pos ORDER BY vid)),
+x1 AS (SELECT DISTINCT v.river_id FROM vs v JOIN sd s ON v.bx IS NOT NULL AND {cross_sql('v', 's')}),
+x2 AS (SELECT a.river_id FROM a JOIN sd s ON (s.ay > a.y) <> (s.b_y > a.y) AND a.x < (s.bx - s.ax) * (a.y - s.ay) / (s.b_y - s.ay) + s.ax GROUP BY a.river_id, a.arc_pos, a.vid, s.poly_id HAVING count(*) % 2 = 1)
+SELECT river_id, arc_pos, vid FROM a WHERE river_id IN (SELECT river_id FROM x1 UNION SELECT river_id FROM x2)""")
 def m3(spark, sf_dir):
     from ..operators.arcs import arcs_in_region
 

@@ -145,9 +145,14 @@ def j15n(spark, sf_dir):
     return sp.node_lines(_spread_lines(spark, sf_dir))
 
 
-@query("s22_clip_to_tiles")
+@query("s22_clip_to_tiles", f"""{with_tables('vertex', 'box')}, {VL}, p AS (SELECT v.*, b.*, v.bx - v.ax AS dx, v.b_y - v.ay AS dy FROM vs v JOIN box b ON v.bx IS NOT NULL
+ AND least(v.ax, v.bx) <= b.x1 AND greatest(v.ax, v.bx) >= b.x0 AND least(v.ay, v.b_y) <= b.y1 AND greatest(v.ay, v.b_y) >= b.y0),
+t AS (SELECT *, greatest(0, CASE WHEN dx <> 0 THEN least((x0 - ax) / dx, (x1 - ax) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((y0 - ay) / dy, (y1 - ay) / dy) ELSE 0 END) AS t0,
+ least(1, CASE WHEN dx <> 0 THEN greatest((x0 - ax) / dx, (x1 - ax) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((y0 - ay) / dy, (y1 - ay) / dy) ELSE 1 END) AS t1 FROM p)
+SELECT line_id, seg, tile_ord, round(ax + t0 * dx, 6) + 0.0E0 AS ax, round(ay + t0 * dy, 6) + 0.0E0 AS ay, round(ax + t1 * dx, 6) + 0.0E0 AS bx, round(ay + t1 * dy, 6) + 0.0E0 AS "by" FROM t WHERE t0 < t1""")
 def s22(spark, sf_dir):
-    return sp.clip_segments_to_boxes(sp.segments(_poly_lines(spark, sf_dir)), box(spark, sf_dir))
+    out = sp.clip_segments_to_boxes(sp.segments(_poly_lines(spark, sf_dir)), box(spark, sf_dir))
+    return out.select("line_id", "seg", "tile_ord", *[r6(c).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query("s20_rasterize", f"""{with_tables('ring')}, {PIP}, c AS (SELECT CAST(floor(i / 50) AS BIGINT) AS iy, i % 50 AS ix, (i % 50) * 2 + 0.3E0 AS x, floor(i / 50) * 2 + 0.7E0 AS y FROM range(2500) t(i)),
@@ -180,7 +185,13 @@ def m17(spark, sf_dir):
     return ti.missing_tiles(pt(spark, sf_dir).withColumns({"x": F.floor("x"), "y": F.floor("y")}), have)
 
 
-@query("h2_trim_overlaps")
+@query("h2_trim_overlaps", """WITH t AS (SELECT s_suppkey AS tile_id, s_suppkey % 10 * 90.0E0 AS x0, -floor(s_suppkey / 10) * 90.0E0 AS y0, s_suppkey % 10 * 90.0E0 + 100 AS x1, -floor(s_suppkey / 10) * 90.0E0 - 100 AS y1 FROM supplier),
+n AS (SELECT a.tile_id, b.tile_id AS o, a.x0, a.y0, a.x1, a.y1, b.x0 AS p0, b.y0 AS q0, b.x1 AS p1, b.y1 AS q1, b.tile_id > a.tile_id AND b.y0 >= a.y0 AND b.y1 <= a.y1 AS tall, b.tile_id > a.tile_id AND b.x0 <= a.x0 AND b.x1 >= a.x1 AS wide
+ FROM t a JOIN t b ON a.tile_id <> b.tile_id AND b.x0 <= a.x1 + 1.5E0 AND b.x1 >= a.x0 - 1.5E0 AND b.y1 <= a.y0 + 1.5E0 AND b.y0 >= a.y1 - 1.5E0),
+f AS (SELECT tile_id, max(p1) FILTER (WHERE tall AND x0 BETWEEN p0 AND p1) AS l, min(p0) FILTER (WHERE tall AND x1 BETWEEN p0 AND p1) AS r,
+ min(q1) FILTER (WHERE wide AND y0 BETWEEN q1 AND q0) AS u, max(q0) FILTER (WHERE wide AND y1 BETWEEN q1 AND q0) AS b, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS neighbours FROM n GROUP BY tile_id),
+g AS (SELECT t.tile_id, CAST(coalesce(floor(t.y0 - u) + 1, 0) AS BIGINT) AS r0, CAST(coalesce(floor(l - t.x0) + 1, 0) AS BIGINT) AS c0, CAST(coalesce(ceil(t.y0 - b), 101) AS BIGINT) AS r1, CAST(coalesce(ceil(r - t.x0), 101) AS BIGINT) AS c1, neighbours FROM t LEFT JOIN f USING (tile_id))
+SELECT tile_id, r0 AS skip_rows, c0 AS skip_cols, greatest(r1 - r0, 0) AS "rows", greatest(c1 - c0, 0) AS cols, coalesce(neighbours, '') AS neighbours FROM g""")
 def h2(spark, sf_dir):
     k = F.col("s_suppkey")
     tiles = read(spark, sf_dir, "supplier").select(
@@ -249,15 +260,45 @@ def p23(spark, sf_dir):
     return ar.nudge_bank(rows, "bx", "by", 10.0, 30.0).select("line_id", "vid", (F.round("bx", 4) + 0.0).alias("bx"))
 
 
-@query("r6_drop_sharp_turns")
+def _turns(x: str, y: str, more: str = "") -> str:
+    """Rows of the working table ``f`` with their turn and place, in order of ``vid``."""
+    return f"""SELECT *, atan2(y1 - {y}, x1 - {x}) AS ao, atan2({y} - y0, {x} - x0) AS ai FROM (SELECT *, lag({x}) OVER w AS x0, lag({y}) OVER w AS y0, lead({x}) OVER w AS x1, lead({y}) OVER w AS y1{more}
+ FROM f WHERE NOT done WINDOW w AS (PARTITION BY line_id ORDER BY vid))"""
+
+
+SHARP = f"coalesce(abs(CASE WHEN ao - ai > {PI} THEN ao - ai - 2 * {PI} WHEN ao - ai < -{PI} THEN ao - ai + 2 * {PI} ELSE ao - ai END) > {PI} / 2.4E0, false)"
+
+
+@query("r6_drop_sharp_turns", f"""{with_tables('vertex', recursive=True)}, f AS (SELECT 0 AS rnd, false AS done, line_id, vid, x, y, pin FROM vertex
+ UNION ALL SELECT rnd + 1, NOT bool_or(gone) OVER (PARTITION BY line_id), line_id, vid, x, y, pin FROM (SELECT *, {SHARP} AND pin = 0 AS gone FROM ({_turns('x', 'y')})) QUALIFY NOT gone)
+SELECT line_id, vid, x, y, pin FROM f WHERE done""")
 def r6_(spark, sf_dir):
     return ar.drop_sharp_turns(vertex(spark, sf_dir), pin="pin")
 
 
-@query("r7_smooth_bank")
+def _crosses(a, b, c, d):
+    return f"({ccw(a, c, d)} <> {ccw(b, c, d)} AND {ccw(a, b, c)} <> {ccw(a, b, d)})"
+
+
+def _mid(c: str, before: str, after: str) -> str:
+    return f"CASE part WHEN 0 THEN {c} WHEN 1 THEN ({c} + {before}) / 2 ELSE ({c} + {after}) / 2 END"
+
+
+_NEAR = ", lag(x) OVER w AS tx0, lag(y) OVER w AS ty0, lead(x) OVER w AS tx1, lead(y) OVER w AS ty1"
+_OVER = [_crosses(("bx", "b_y"), ("gx", "gy"), ("x", "y"), d) for d in (("tx0", "ty0"), ("tx1", "ty1"))]
+
+
+@query("r7_smooth_bank", f"""{with_tables('vertex', recursive=True)}, {ANG}, f AS (SELECT 0 AS rnd, false AS done, line_id, vid, x, y, x + cos(perp) * 9 AS bx, y + sin(perp) * 9 AS b_y FROM vp
+ UNION ALL SELECT rnd + 1, fin, line_id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY vid, part) - 1 AS BIGINT), {_mid('x', 'tx0', 'tx1')}, {_mid('y', 'ty0', 'ty1')}, {_mid('ex', 'ex0', 'ex1')}, {_mid('ey', 'ey0', 'ey1')}
+ FROM (SELECT *, unnest(CASE WHEN bad THEN [1, 2] ELSE [0] END) AS part FROM (
+ SELECT *, lag(ex) OVER v AS ex0, lag(ey) OVER v AS ey0, lead(ex) OVER v AS ex1, lead(ey) OVER v AS ey1, NOT bool_or(sharp) OVER (PARTITION BY line_id) AS fin FROM (
+ SELECT *, CASE WHEN sharp AND NOT bad THEN gx ELSE bx END AS ex, CASE WHEN sharp AND NOT bad THEN gy ELSE b_y END AS ey FROM (
+ SELECT *, coalesce(sharp AND ({_OVER[0]} OR {_OVER[1]}), false) AS bad FROM (
+ SELECT *, {SHARP} AS sharp, (x0 + x1) / 2 * 0.2E0 + bx * 0.8E0 AS gx, (y0 + y1) / 2 * 0.2E0 + b_y * 0.8E0 AS gy FROM ({_turns('bx', 'b_y', _NEAR)})))) WINDOW v AS (PARTITION BY line_id ORDER BY vid))) WHERE rnd < 100)
+SELECT line_id, vid, round(x, 6) + 0.0E0 AS x, round(y, 6) + 0.0E0 AS y, round(bx, 6) + 0.0E0 AS bx, round(b_y, 6) + 0.0E0 AS "by" FROM f WHERE done OR rnd = 100""")
 def r7(spark, sf_dir):
     rows = ar.artificial_banks(vertex(spark, sf_dir), 18.0).select("line_id", "vid", "x", "y", F.col("xr").alias("bx"), F.col("yr").alias("by"))
-    return ar.smooth_bank(rows)
+    return ar.smooth_bank(rows).select("line_id", "vid", *[r6(c).alias(c) for c in ("x", "y", "bx", "by")])
 
 
 @query("r8_assemble_arcs", f"""{V}, b AS (SELECT line_id, vid, x AS xl, y AS yl, x + 3 AS xr, y - 20 AS yr FROM vertex), p AS (SELECT i AS arc_pos, [-0.2, -0.1, 0, 0.5, 1, 1.1, 1.2][i + 1]::DOUBLE AS f FROM range(7) t(i))
@@ -321,12 +362,17 @@ def w13(spark, sf_dir):
     return ar.crossing_places(vertex(spark, sf_dir).withColumn("inside", F.col("y") > 100))
 
 
-@query("m16_feeder_extensions")
+@query("m16_feeder_extensions", f"""{with_tables('pt', 'ring')}, {PIP}, e AS (SELECT pt_id AS feeder_id, ord, off, k, x + (len - off) * 0.8E0 * cos(pt_id) AS x, y + (len - off) * 0.8E0 * sin(pt_id) AS y
+ FROM pt CROSS JOIN (VALUES (0, 2), (1, 1), (2, 0)) o(ord, off) CROSS JOIN (VALUES (0, -10.0E0), (1, -5.0E0), (2, 0.0E0)) l(k, len)),
+i AS (SELECT e.feeder_id, e.ord FROM e JOIN sd s ON (s.ay > e.y) <> (s.b_y > e.y) AND e.x < (s.bx - s.ax) * (e.y - s.ay) / (s.b_y - s.ay) + s.ax GROUP BY e.feeder_id, e.ord, e.k, s.poly_id HAVING count(*) % 2 = 1),
+g AS (SELECT feeder_id, min(ord) AS ord FROM (SELECT DISTINCT feeder_id, ord FROM e EXCEPT SELECT feeder_id, ord FROM i) GROUP BY feeder_id)
+SELECT feeder_id, off, k, round(x, 6) + 0.0E0 AS x, round(y, 6) + 0.0E0 AS y FROM e JOIN g USING (feeder_id, ord)""")
 def m16(spark, sf_dir):
     heads = pt(spark, sf_dir).select(
         F.col("pt_id").alias("feeder_id"), "x", "y", F.cos(F.col("pt_id").cast("double")).alias("nx"), F.sin(F.col("pt_id").cast("double")).alias("ny"), F.lit(0.8).alias("width")
     )
-    return ar.feeder_extensions(heads, lambda p: sp.points_in_polygons(p, ring(spark, sf_dir)))
+    out = ar.feeder_extensions(heads, lambda p: sp.points_in_polygons(p, ring(spark, sf_dir)))
+    return out.select("feeder_id", "off", "k", r6("x").alias("x"), r6("y").alias("y"))
 
 
 M = with_tables("node", "elem")
