@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table, sliced
+from .common import TextWorkspace, is_held_out, small_batches, table, sliced
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -165,28 +165,63 @@ def windows_of(text: str, length: int) -> np.ndarray:
     return out.reshape(n, length)
 
 
-def fit_network(texts: list[str], langs: list[str], p: LanguageParameters) -> ByteConvNet:
-    rng, languages = np.random.default_rng(p.seed), sorted(set(langs))
+def window_count(text: str | None, length: int) -> int:
+    """Number of windows of a text, 0 if it has no letter."""
+    if not text or not _LETTER.search(text):
+        return 0
+    return max(1, -(-len(text.encode("utf-8", "surrogatepass")) // length))
+
+
+def drawn_windows(counts: list[int], p: LanguageParameters) -> list[list[int]]:
+    """Numbers of the windows that train the network, for texts that have ``counts`` windows."""
+    rng = np.random.default_rng(p.seed)
+    return [rng.permutation(n)[: p.windows].tolist() if n else [] for n in counts]
+
+
+def fit_windows(windows: list[np.ndarray], langs: list[str], p: LanguageParameters) -> ByteConvNet:
+    """Network learned from each text's drawn windows (rows of uint8, none for a text without a letter)."""
+    languages = sorted(set(langs))
     net = ByteConvNet(languages, p)
-    if len(languages) > 1:
-        windows, labels = [], []
-        for text, lang in zip(texts, langs, strict=True):
-            if text and _LETTER.search(text):
-                w = windows_of(text, p.window)
-                w = w[rng.permutation(len(w))[: p.windows]]
-                windows.append(w)
-                labels += [languages.index(lang)] * len(w)
-        if windows:
-            net.fit(np.concatenate(windows), np.array(labels))
+    if len(languages) > 1 and any(map(len, windows)):
+        labels = [languages.index(lang) for lang, w in zip(langs, windows, strict=True) for _ in range(len(w))]
+        net.fit(np.concatenate([w for w in windows if len(w)]), np.array(labels))
     return net
 
 
+def fit_network(texts: list[str], langs: list[str], p: LanguageParameters) -> ByteConvNet:
+    drawn = drawn_windows([window_count(text, p.window) for text in texts], p)
+    return fit_windows([windows_of(text or "", p.window)[d] for text, d in zip(texts, drawn, strict=True)], langs, p)
+
+
+def _counts(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [window_count(text.as_py(), length) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(found, pa.int64())], ["doc_id", "lang", "n"])
+
+    return run
+
+
+def _cut(shared, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                drawn = shared.value[doc_id]
+                found.append(windows_of(text.as_py(), length)[drawn].tobytes() if drawn else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "windows"])
+
+    return run
+
+
 def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -> ByteConvNet:
     """Fit on at most ``params.sample`` documents with text and language that are not held out.
 
     Of rows that repeat an id the one with the least language and text counts.
+    Texts stay on the executors: the driver gets the number of windows of each
+    and then the drawn windows, at most ``params.windows`` a document.
     """
-    p = params or LanguageParameters()
+    p, spark = params or LanguageParameters(), docs.sparkSession
     ids = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .select("doc_id")
@@ -194,18 +229,24 @@ def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -
         .limit(p.sample)
         .distinct()
     )
-    # The ids first, so that whole texts are not sorted; then one row an id, so ``sample`` bounds what is collected.
-    rows = (
+    # The ids first, so that whole texts are not sorted; then one row an id.
+    ws = TextWorkspace(spark, "languages")
+    rows = ws.keep(
         docs.select("doc_id", "text", "lang")
         .filter("lang is not null and text is not null")
         .join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id")
         .agg(F.min(F.struct("lang", "text")).alias("row"))
-        .select("doc_id", "row.lang", "row.text")
-        .collect()
+        .select("doc_id", "row.lang", "row.text"),
+        "sample",
     )
-    rows = sorted(rows, key=lambda r: r[0])
-    return fit_network([r[2] for r in rows], [r[1] for r in rows], p)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    with small_batches(spark):
+        counts = sorted(rows.mapInArrow(_counts(p.window), f"doc_id {kind}, lang string, n long").collect(), key=lambda r: r[0])
+        drawn = spark.sparkContext.broadcast({r[0]: w for r, w in zip(counts, drawn_windows([r[2] for r in counts], p), strict=True)})
+        cut = {r[0]: r[1] for r in rows.mapInArrow(_cut(drawn, p.window), f"doc_id {kind}, windows binary").collect()}
+    ws.clear()
+    return fit_windows([np.frombuffer(cut[r[0]], np.uint8).reshape(-1, p.window) for r in counts], [r[1] for r in counts], p)
 
 
 def predict_languages(docs: DataFrame, net: ByteConvNet) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, calm_collector, is_held_out, table, sliced, worker_cache
+from .common import BoundedCache, TextWorkspace, calm_collector, is_held_out, small_batches, table, sliced, worker_cache
 
 
 @dataclass(frozen=True)
@@ -72,20 +72,37 @@ def codes_of(text: str | None, buckets: int) -> np.ndarray:
     return np.fromiter(map(word_codes(buckets).__getitem__, words), np.int64, len(words))
 
 
+def _index_vectors(p: QualityParameters, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the buckets' sparse random index vectors."""
+    place = rng.integers(0, p.dims, (p.buckets, p.nonzero))
+    return place, rng.choice(np.array([-1, 1]), (p.buckets, p.nonzero))
+
+
+def context_sums(p: QualityParameters, docs: Iterable[np.ndarray]) -> np.ndarray:
+    """For each bucket the sum of its neighbours' index vectors over these documents.
+
+    Whole numbers, so sums over parts of the documents add up exactly.
+    """
+    place, sign = _index_vectors(p, np.random.default_rng(p.seed))
+    context = np.zeros((p.buckets, p.dims), np.int64)
+    for codes in docs:
+        w = codes // _SHAPES
+        for shift in range(1, p.window + 1):
+            for at in range(0, len(w) - shift, 65536):
+                low, high = w[:-shift][at : at + 65536], w[shift:][at : at + 65536]
+                for a, b in ((low, high), (high, low)):
+                    np.add.at(context, (a[:, None], place[b]), sign[b])
+    return context
+
+
 class RandomIndex:
     """Context vectors: each bucket sums the sparse random index vectors of its neighbours."""
 
-    def __init__(self, p: QualityParameters, docs: list[np.ndarray]) -> None:
+    def __init__(self, p: QualityParameters, sums: np.ndarray) -> None:
         rng = np.random.default_rng(p.seed)
         n = p.buckets
-        place = rng.integers(0, p.dims, (n, p.nonzero))
-        sign = rng.choice(np.array([-1.0, 1.0]), (n, p.nonzero))
-        context = np.zeros((n, p.dims))
-        for codes in docs:
-            w = codes // _SHAPES
-            for shift in range(1, p.window + 1):
-                for a, b in ((w[:-shift], w[shift:]), (w[shift:], w[:-shift])):
-                    np.add.at(context, (a[:, None], place[b]), sign[b])
+        place, sign = _index_vectors(p, rng)
+        context = sums.astype(np.float64)
         index = np.zeros((n, p.dims))
         np.add.at(index, (np.arange(n)[:, None], place), sign)
         # A word that the sample lacks stands for itself.
@@ -168,9 +185,20 @@ class TwoLayer:
 class QualityModel:
     def __init__(self, texts: list[str | None], labels: list[int], p: QualityParameters) -> None:
         codes = [codes_of(t, p.buckets) for t in texts]
-        self.buckets, self.index = p.buckets, RandomIndex(p, codes)
+        index = RandomIndex(p, context_sums(p, codes))
+        self._learn(index, [index.pool(c) for c in codes], labels, p)
+
+    @classmethod
+    def of_pooled(cls, index: RandomIndex, pooled: list[np.ndarray], labels: list[int], p: QualityParameters) -> QualityModel:
+        """The model of documents that are pooled already."""
+        model = cls.__new__(cls)
+        model._learn(index, pooled, labels, p)
+        return model
+
+    def _learn(self, index: RandomIndex, pooled: list[np.ndarray], labels: list[int], p: QualityParameters) -> None:
+        self.buckets, self.index = p.buckets, index
         self.constant, self.learned = float(np.mean(labels)) if labels else 0.5, bool(labels)
-        x = np.stack([self.index.pool(c) for c in codes]).astype(np.float64) if texts else np.zeros((0, 1))
+        x = np.stack(pooled).astype(np.float64) if pooled else np.zeros((0, 1))
         self.net = TwoLayer(x, np.array(labels, float), p) if len(set(labels)) > 1 else None
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -179,29 +207,72 @@ class QualityModel:
         return self.net.score(np.stack([self.index.pool(codes_of(t, self.buckets)) for t in texts]).astype(np.float64))
 
 
+def _sum_parts(p: QualityParameters):
+    """The context sums of a task's documents, a row for each bucket that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = context_sums(p, (codes_of(text.as_py(), p.buckets) for batch in sliced(batches) for text in batch.column("text")))
+        held = np.flatnonzero(sums.any(1))
+        for at in range(0, len(held), 1000):
+            part = held[at : at + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([r.tobytes() for r in sums[part]], pa.binary())], ["bucket", "sums"])
+
+    return run
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a bucket; all rows of a bucket must be in one task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            part = np.frombuffer(raw, np.int64)
+            total[bucket] = total[bucket] + part if bucket in total else part
+    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["bucket", "sums"])
+
+
+def _pool(shared, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [shared.value.pool(codes_of(text.as_py(), buckets)).tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "pooled"])
+
+    return run
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters | None = None) -> QualityModel:
     """Fit on at most ``params.sample`` rows that carry a 0/1 quality and are not held out.
 
     Null labels, texts' nulls and repeated labels do no harm; of rows that
     repeat an id the one with the least text counts. Without two classes the model scores the share of label 1 (0.5 without any label).
+    Texts stay on the executors: the driver gets one vector a bucket and one a document.
     """
-    p = params or QualityParameters()
+    p, spark = params or QualityParameters(), docs.sparkSession
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(p.sample)
     )
-    # One row a picked label, so ``sample`` bounds the broadcast and what is collected.
-    rows = (
-        docs.select("doc_id", "text")
+    # One row a picked label, so ``sample`` bounds the broadcast and the rows.
+    ws = TextWorkspace(spark, "quality")
+    rows = ws.keep(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(picked.distinct()), "doc_id")
         .groupBy("doc_id", "quality")
-        .agg(F.min("text").alias("text"))
-        .collect()
+        .agg(F.min("text").alias("text")),
+        "sample",
     )
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    return QualityModel([r[2] for r in rows], [r[1] for r in rows], p)
+    with small_batches(spark):
+        parts = rows.select("text").mapInArrow(_sum_parts(p), "bucket long, sums binary")
+        sums = np.zeros((p.buckets, p.dims), np.int64)
+        for r in parts.repartition("bucket").mapInArrow(_add_parts, "bucket long, sums binary").collect():
+            sums[r[0]] = np.frombuffer(r[1], np.int64)
+        index = RandomIndex(p, sums)
+        shared = spark.sparkContext.broadcast(index)
+        pooled = rows.mapInArrow(_pool(shared, p.buckets), "doc_id long, quality int, pooled binary").collect()
+    ws.clear()
+    pooled = sorted(pooled, key=lambda r: (r[0], r[1]))
+    return QualityModel.of_pooled(index, [np.frombuffer(r[2], np.float32) for r in pooled], [r[1] for r in pooled], p)
 
 
 #: A document is predicted to be of good quality from this score on.

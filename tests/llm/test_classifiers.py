@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from fluvial.llm.langid import UNDETERMINED, ByteConvNet, LanguageParameters, fit_network, predict_languages, train_languages, windows_of
 from fluvial.llm.quality import QualityModel, QualityParameters, score_quality, train_quality
@@ -70,3 +71,28 @@ def test_pair_tables_equal_plain_convolution():
 def test_gradient_step_learns():
     net = fit_network(["aaaa bbbb"] * 40 + ["cccc dddd"] * 40, ["u"] * 40 + ["v"] * 40, LanguageParameters(epochs=15))
     assert net.predict(["aaaa bbbb", "cccc dddd"])[0] == ["u", "v"]
+
+
+@pytest.fixture
+def small_results(spark):
+    """Jobs may send a megabyte to the driver, no more."""
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(key, "1g")
+    conf.set(key, "1m")
+    yield
+    conf.set(key, before)
+
+
+def test_training_leaves_whole_texts_on_the_executors(spark, small_results):
+    rng, rows = np.random.default_rng(3), corpus(40, 2)
+    texts = [" ".join(rng.permutation(t.split() * 400)) for _, t, _, _ in rows] + [None, "12 34"]
+    langs, quality = [lang for _, _, lang, _ in rows] + ["xx", "yy"], [q for *_, q in rows] + [1, 0]
+    data = list(zip(range(42), texts, langs, strict=True))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame(list(zip(range(42), quality, strict=True)), "doc_id long, quality int")
+    learned = [i for i in range(42) if not held(i)]
+    told = [i for i in learned if texts[i] is not None]
+    model, whole = train_quality(docs, labels), QualityModel([texts[i] for i in learned], [quality[i] for i in learned], QualityParameters())
+    assert (model.index.words == whole.index.words).all() and (model.score(texts) == whole.score(texts)).all()
+    net, plain = train_languages(docs), fit_network([texts[i] for i in told], [langs[i] for i in told], LanguageParameters())
+    assert net.predict(texts)[0] == plain.predict(texts)[0] and (net.predict(texts)[1] == plain.predict(texts)[1]).all()
