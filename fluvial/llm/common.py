@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,31 @@ def gapless_index(
     )
 
 
+def join_hot(rows: DataFrame, values: DataFrame, keys: Sequence[str], count: str, floor: int = 10_000, share: int = 1000) -> DataFrame:
+    """Left join of ``rows`` with one row of ``values`` a key (nulls are equal), where a key may hold most of the rows.
+
+    ``count`` is a column of ``values``, dropped here, that says how many rows
+    have the key. Keys with more than ``floor`` rows and more than a
+    ``share``-th of all are fewer than ``share``; their values are broadcast
+    and their rows do not move. The others are joined by key, so no task gets
+    more of one key than that. Both tables are evaluated twice: pass ``rows``
+    written.
+    """
+    spark = rows.sparkSession
+    values = Workspace(spark, "values").keep(values, "counted")
+    total = values.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(floor, total // share)
+    names = [f"_jh_{k}" for k in keys]
+    side = values.drop(count).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    found = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    few = values.filter(hot).drop(count).withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    if not few.head(1):
+        return rows.join(side, found, "left").drop(*names)
+    near = rows.join(F.broadcast(few), found).drop(*names)
+    rest = rows.join(F.broadcast(few.select(*names)), found, "left_anti").join(side, found, "left").drop(*names)
+    return near.unionByName(rest)
+
+
 def calm_collector() -> None:
     """Let a Python worker look for cycles rarely, since its large caches hold none; other processes are left alone."""
     import gc

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe_codec
+from .codes import OP11_SQL, op11_vector_codes
 from .jaccard import op6_jaccard_join
 from .langid import op9_language_id
 from .neighbours import op3_nearest_neighbours
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 #: Operators that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_top_inner_products": OP4_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_inner_products": OP4_SQL, "op10_warc": OP10_SQL, "op11_vector_codes": OP11_SQL}
