@@ -8,6 +8,7 @@ from .jaccard import op6_jaccard_join
 from .langid import op9_language_id
 from .neighbours import op3_nearest_neighbours
 from .packing import op2_packing
+from .phrases import OP13_SQL, op13_collocations
 from .quality import op8_quality
 from .sharding import op1_sharding
 from .topk import OP4_SQL, op4_top_inner_products
@@ -26,7 +27,8 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 
 #: Operators that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_top_inner_products": OP4_SQL, "op10_warc": OP10_SQL, "op11_vector_codes": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_top_inner_products": OP4_SQL, "op10_warc": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_collocations": OP13_SQL}
