@@ -9,6 +9,7 @@ from .langid import op9_language_id
 from .neighbours import op3_nearest_neighbours
 from .packing import op2_packing
 from .phrases import OP13_SQL, op13_collocations
+from .pii import op12_personal_data
 from .quality import op8_quality
 from .sharding import op1_sharding
 from .topk import OP4_SQL, op4_top_inner_products
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_vector_codes": op11_vector_codes,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
 }
 
