@@ -32,8 +32,8 @@ class PhraseParameters:
     support: int = 10
     top: int = 2000
     inner: int = 50
-    bits: int = 24
-    chunk: int = 2_000_000
+    bits: int = 26
+    chunk: int = 1_500_000
 
 
 #: Bytes of a bucket block that a task sends: one row of the shuffle.
