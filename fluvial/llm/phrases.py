@@ -32,7 +32,7 @@ class PhraseParameters:
     support: int = 10
     top: int = 2000
     inner: int = 50
-    bits: int = 26
+    bits: int = 25
     chunk: int = 1_500_000
 
 
@@ -165,9 +165,9 @@ def _count(p: PhraseParameters, size: int, shared, final: bool):
                     keep[keep] = maps[0](gram_hashes([c[keep] for c in by_word]))
                     starts = starts[keep]
                 grams, counts = _distinct(_columns(seq, starts, size))
-                names = [b" ".join([ids.words[w] for w in row]) for row in grams.tolist()]
-                for at in range(0, len(names), 10_000):
-                    yield _emit([lang] * len(names[at : at + 10_000]), names[at : at + 10_000], counts[at : at + 10_000])
+                for at in range(0, len(grams), 10_000):
+                    names = [b" ".join([ids.words[w] for w in row]) for row in grams[at : at + 10_000].tolist()]
+                    yield _emit([lang] * len(names), names, counts[at : at + 10_000])
                 if not final:
                     # Only where both n-grams of this size are counted can the longer one be frequent.
                     counted = np.zeros(len(seq) + 1, bool)
@@ -199,17 +199,24 @@ def _count(p: PhraseParameters, size: int, shared, final: bool):
 
 
 def _full_blocks(support: int):
-    """Packed bits of the buckets whose counts reach the support; all rows of a block must be in one task."""
+    """Packed bits of the buckets whose counts reach the support; rows of one block must follow each other in one task."""
+
+    def done(block: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= support, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        now, total = None, None
         for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                add = np.frombuffer(raw, np.uint8)
-                total[block] = np.minimum(total[block] + add.astype(np.int64), support) if block in total else add.astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*total], pa.int32()), pa.array([np.packbits(v >= support, bitorder="little").tobytes() for v in total.values()], pa.binary())], ["block", "bits"]
-        )
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                add = np.frombuffer(raw.as_buffer(), np.uint8)
+                if block != now:
+                    if now is not None:
+                        yield done(now, total)
+                    now, total = block, add.astype(np.uint16)
+                else:
+                    total = np.minimum(total + add, support).astype(np.uint16)
+        if now is not None:
+            yield done(now, total)
 
     return run
 
@@ -243,7 +250,7 @@ def _bitmap(counts: DataFrame, bits: int, support: int) -> BitMap:
     """Buckets of ``block, counts`` whose sums reach the support, as 2**bits bits on the driver."""
     size = min(_BLOCK, 1 << bits) // 8
     packed = np.zeros((1 << bits) // 8, np.uint8)
-    rows = counts.repartition("block").mapInArrow(_full_blocks(support), "block int, bits binary")
+    rows = counts.repartition("block").sortWithinPartitions("block").mapInArrow(_full_blocks(support), "block int, bits binary")
     for block, raw in rows.collect():
         packed[block * size : (block + 1) * size] = np.frombuffer(raw, np.uint8)
     return BitMap(packed, bits)

@@ -134,8 +134,8 @@ LABELERS = ("rule", "check", "gazetteer", "context", "edge")
 
 
 def votes(kind: str, s: Column) -> dict[str, Column]:
-    """Each labeler's vote on a span: 1 for its kind, -1 against, 0 none."""
-    hit, before, after = s["hit"], s["before"], s["after"]
+    """Each labeler's vote on a span: 1 for its kind, -1 against, 0 none. Of a span beyond any format's length the first part is judged."""
+    hit, before, after = F.substring(s["hit"], 1, 400), s["before"], s["after"]
     yes_no = lambda c: F.when(c, 1).otherwise(-1)
     plain = F.regexp_replace(F.regexp_replace(hit, r" ?[\[({]at[\])}] ?", "@"), r" ?(?:[\[({]dot[\])}]|[\[(]\.[\])]) ?", ".")
     rule = {
@@ -147,8 +147,8 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
     check = {
         "email": F.lit(0) + F.when(plain.rlike(r"\.\.|[.-]@|@-|-\.|@.*@"), -1).otherwise(1),
         "ip": yes_no(passes("ip", plain)),
-        "card": yes_no(passes("card", hit)),
-        "phone": yes_no(passes("phone", hit)),
+        "card": yes_no(passes("card", s["hit"])),
+        "phone": yes_no(passes("phone", s["hit"])),
     }[kind]
     gazetteer = {
         "email": F.when(F.lower(plain).rlike(rf"\.(?:{DOMAINS})$"), 1).otherwise(0),
@@ -158,7 +158,7 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
     }[kind]
     low = F.lower(before)
     return {
-        "rule": yes_no(rule),
+        "rule": yes_no(rule & (F.char_length(s["hit"]) <= 320)),
         "check": check,
         "gazetteer": gazetteer,
         "context": F.when(low.rlike(CUES[kind]), 1).when(low.rlike(AGAINST), -1).otherwise(0),
