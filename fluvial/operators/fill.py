@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import cut
+from .components import components
 from .flow import accumulate, downstream_paths
+from .geodesic import plateau_distance
 from .raster import NEIGHBOURS, stencil
 
 _OCEAN = -1
@@ -164,6 +166,45 @@ def fill_depressions(cells: DataFrame, z: str = "z", tile: int = 256) -> DataFra
     return done.select("sind", "iy", "ix", risen.alias("z"))
 
 
+def fill_with_slope(cells: DataFrame, z: str = "z", tile: int = 256) -> DataFrame:
+    """``sind, iy, ix, z, steps``: filled elevations, and the steps of least slope on top of them.
+
+    What a flood from the grid's edge gives that raises every cell above the
+    one it comes from by a slope too small to reach the next elevation:
+    ``z`` is the level of :func:`fill_depressions`, and ``steps`` counts the
+    cells from where the level is left, 0 where the ground itself falls. So
+    (z, steps) falls from every cell that is not on the grid's edge or beside
+    one without data; z + steps * epsilon is the surface for a given slope.
+    """
+    ground = cells.select("sind", F.col(z).cast("double").alias("ground"))
+    filled = fill_depressions(cells, z, tile).withColumnRenamed("z", "level").join(ground, "sind")
+    wide = cut(stencil(cut(filled, "slope"), ["level"], tile).select(
+        "sind", "iy", "ix", "level",
+        ((F.size("nb") < 8) | F.exists("nb", lambda x: x["level"].isNull())
+         | ((F.col("level") == F.col("ground")) & F.exists("nb", lambda x: x["level"] < F.col("level")))).alias("source"),
+    ), "slope")
+    dist = plateau_distance(wide, tile)
+    return wide.join(dist, "sind", "left").select("sind", "iy", "ix", F.col("level").alias("z"), F.when(F.col("level").isNotNull(), F.coalesce("dist", F.lit(0))).alias("steps"))
+
+
+def slope_directions(filled: DataFrame, tile: int = 512) -> DataFrame:
+    """``sind, iy, ix, z, dir, nxt`` of :func:`fill_with_slope`'s rows: each cell to its lowest neighbour by (z, steps).
+
+    Ties go to the first in the order of choice. The direction is 0 only on the
+    grid's edge or beside cells without data, -1 without data.
+    """
+    wide = stencil(filled, ["z", "steps"], tile)
+    rank = lambda x: F.struct(x["z"].alias("z"), x["steps"].alias("steps"), x["o"].alias("o"), x["code"].alias("code"), x["sind"].alias("sind"))
+    best = F.array_min(F.transform(F.filter("nb", lambda x: x["z"].isNotNull()), rank))
+    found = wide.withColumn("b", best)
+    down = F.coalesce(F.struct("b.z", "b.steps") < F.struct("z", "steps"), F.lit(False)) & F.col("b").isNotNull()
+    return found.select(
+        "sind", "iy", "ix", "z",
+        F.when(F.col("z").isNull(), F.lit(-1)).when(down, F.col("b.code")).otherwise(F.lit(0)).alias("dir"),
+        F.when(F.col("z").isNotNull() & down, F.col("b.sind")).alias("nxt"),
+    )
+
+
 def fill_by_relaxation(cells: DataFrame, z: str = "z", epsilon: float = 0.0, max_rounds: int = 10_000, tile: int = 512) -> DataFrame:
     """Filling with a least slope of ``epsilon`` per cell: w = max(z, lowest neighbour's w + epsilon), from above.
 
@@ -253,23 +294,6 @@ def breach_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
     return carve(drained)
 
 
-def spread_distance(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``sind, dist``: steps from the nearest seed over ``links`` (``a, b``), seeds at 1.
-
-    A round per step, until no new cell is reached.
-    """
-    seen = cut(seeds.select("sind").distinct().withColumn("dist", F.lit(1).cast("long")), "spread")
-    front, d = seen, 1
-    while True:
-        d += 1
-        nxt = front.select(F.col("sind").alias("a")).join(links, "a").select(F.col("b").alias("sind")).distinct().join(seen, "sind", "left_anti")
-        front = cut(nxt.withColumn("dist", F.lit(d).cast("long")), "spread")
-        if front.limit(1).count() == 0:
-            break
-        seen = cut(seen.unionByName(front), "spread")
-    return seen
-
-
 def resolve_flats(d8: DataFrame, tile: int = 512) -> DataFrame:
     """Directions on flats that can drain: ``sind, iy, ix, z, dir, nxt``.
 
@@ -281,17 +305,18 @@ def resolve_flats(d8: DataFrame, tile: int = 512) -> DataFrame:
     equal = F.filter("nb", lambda x: x["z"] == F.col("z"))
     links = cut(wide.filter("dir = 0").select(F.col("sind").alias("a"), F.explode(F.transform(F.filter(equal, lambda x: x["dir"] == 0), lambda x: x["sind"])).alias("b")), "flat-links")
     # Low edges drain; the flat cells beside them are one step away.
-    by_low = wide.filter((F.col("dir") == 0) & F.exists(equal, lambda x: x["dir"] > 0)).select("sind")
-    by_high = wide.filter((F.col("dir") == 0) & F.exists("nb", lambda x: x["z"] > F.col("z"))).select("sind")
-    low = spread_distance(links, by_low).withColumnRenamed("dist", "dl")
-    high = spread_distance(links, by_high).withColumnRenamed("dist", "dh")
-    top = F.coalesce(F.max("dh").over(Window.partitionBy("flat")), F.lit(0))
-    flats = low.join(high, "sind", "left")
-    from .components import components
-
+    flat = wide.select(
+        "sind", "iy", "ix", F.when(F.col("dir") == 0, F.col("z")).alias("level"),
+        F.exists(equal, lambda x: x["dir"] > 0).alias("by_low"), F.exists("nb", lambda x: x["z"] > F.col("z")).alias("by_high"),
+    )
+    low = plateau_distance(flat.withColumnRenamed("by_low", "source"), tile).select("sind", (F.col("dist") + 1).alias("dl"))
+    high = plateau_distance(flat.withColumnRenamed("by_high", "source"), tile).select("sind", (F.col("dist") + 1).alias("dh"))
     names = components(links, "a", "b").select(F.col("id").alias("sind"), F.col("component").alias("flat"))
-    flats = flats.join(names, "sind", "left").withColumn("flat", F.coalesce("flat", "sind"))
-    grad = cut(flats.withColumn("g", F.col("dl") * 2 + F.coalesce(top - F.col("dh") + 1, top + 1)).select("sind", "g"), "flat-grad")
+    flats = cut(low.join(high, "sind", "left").join(names, "sind", "left").withColumn("flat", F.coalesce("flat", "sind")), "flats")
+    # One row a flat, so that no flat is a task of its own.
+    tops = flats.groupBy("flat").agg(F.coalesce(F.max("dh"), F.lit(0)).alias("top"))
+    g = F.col("dl") * 2 + F.coalesce(F.col("top") - F.col("dh") + 1, F.col("top") + 1)
+    grad = cut(flats.join(tops, "flat").select("sind", g.alias("g")), "flat-grad")
     graded = d8.select("sind", "iy", "ix", "z", "dir", "nxt").join(grad, "sind", "left")
     w = stencil(graded, ["z", "dir", "g"], tile)
     able = F.filter("nb", lambda x: (x["z"] == F.col("z")) & ((x["dir"] > 0) | (x["g"] < F.col("g"))))

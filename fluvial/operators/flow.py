@@ -19,6 +19,15 @@ def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: st
     more steps than there are cells, so a pointer that is left after log2 of
     their number lies on or leads to a loop: outlet, acc and depth are null.
     """
+    state = _follow(edges, key, nxt, weight)
+    return state.select(
+        "sind", F.when(F.col("ptr").isNull(), F.col("acc")).alias("acc"), F.when(F.col("ptr").isNull(), F.col("outlet")).alias("outlet"),
+        F.when(F.col("ptr").isNull(), F.col("depth")).alias("depth"),
+    )
+
+
+def _follow(edges: DataFrame, key: str, nxt: str, weight: str | None = None) -> DataFrame:
+    """``sind, ptr, acc, outlet, depth``: the state of :func:`accumulate` after its last round; ``ptr`` is set where a path does not end."""
     start = edges.select(
         F.col(key).alias("sind"), F.col(nxt).alias("ptr"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("acc"),
         F.when(F.col(nxt).isNull(), F.col(key)).alias("outlet"), F.when(F.col(nxt).isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),
@@ -45,31 +54,20 @@ def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: st
             ),
             "flow",
         )
-    return state.select(
-        "sind", F.when(F.col("ptr").isNull(), F.col("acc")).alias("acc"), F.when(F.col("ptr").isNull(), F.col("outlet")).alias("outlet"),
-        F.when(F.col("ptr").isNull(), F.col("depth")).alias("depth"),
-    )
+    return state
 
 
 def loop_flags(edges: DataFrame, key: str = "sind", nxt: str = "nxt") -> DataFrame:
     """``sind, flag``: 0 the path ends, 1 the cell lies on a loop, 2 its path runs into one.
 
-    Cells that nobody on a loop-bound path points to are peeled off until only
-    loops are left.
+    After more steps than there are cells every path that does not end is on
+    its loop, and going on turns a loop into itself: so the cells that such
+    paths then point to are the cells of the loops, in as many rounds as
+    doubling takes.
     """
-    state = accumulate(edges, key, nxt)
-    bound = cut(state.filter("outlet is null").select("sind").join(edges.select(F.col(key).alias("sind"), F.col(nxt).alias("nxt")), "sind"), "loop")
-    core = bound
-    while True:
-        kept = cut(core.join(core.select(F.col("nxt").alias("sind")).distinct(), "sind", "left_semi"), "loop")
-        if kept.count() == core.count():
-            break
-        core = kept
-    return (
-        state.select("sind", "outlet")
-        .join(core.select("sind", F.lit(True).alias("on")), "sind", "left")
-        .select("sind", F.when(F.col("outlet").isNotNull(), 0).when(F.col("on"), 1).otherwise(2).alias("flag"))
-    )
+    state = cut(_follow(edges, key, nxt).select("sind", "ptr"), "loop")
+    loops = state.filter("ptr is not null").select(F.col("ptr").alias("sind")).distinct().withColumn("on", F.lit(True))
+    return state.join(loops, "sind", "left").select("sind", F.when(F.col("ptr").isNull(), 0).when(F.col("on"), 1).otherwise(2).alias("flag"))
 
 
 def downstream_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:

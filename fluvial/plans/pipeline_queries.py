@@ -8,6 +8,7 @@ from ..adapters import cell, pt, ring, river_arc, vertex, with_tables
 from ..config import RiverConfig
 from ..operators import fill, linework, raster, rivers
 from ..operators import spatial as sp
+from ..operators.geodesic import plateau_distance
 from ..storage import cut
 from .registry import query, r6
 from .spatial_queries import PIP, cross_sql
@@ -26,6 +27,11 @@ def h19(spark, sf_dir):
     return fill.fill_depressions(_bowl(spark, sf_dir), tile=64).select("sind", "z")
 
 
+@query("h19_fill_with_slope")
+def h19_slope(spark, sf_dir):
+    return fill.fill_with_slope(_bowl(spark, sf_dir), tile=64).select("sind", "z", "steps")
+
+
 @query("h17_drain_depressions")
 def h17(spark, sf_dir):
     d8 = cut(raster.d8_directions(cell(spark, sf_dir), "z_noise"), "d8")
@@ -49,9 +55,8 @@ s AS (SELECT DISTINCT a.sind FROM q a JOIN q b ON b.iy BETWEEN a.iy - 1 AND a.iy
 w AS (SELECT sind, CAST(1 AS BIGINT) AS dist FROM s UNION SELECT e.b, w.dist + 1 FROM w JOIN e ON e.a = w.sind WHERE w.dist < 60)
 SELECT sind, min(dist) AS dist FROM w GROUP BY sind""")
 def h14d(spark, sf_dir):
-    wide = cut(raster.stencil(_bowl(spark, sf_dir), ["z"]), "flat")
-    links = cut(wide.select(F.col("sind").alias("a"), F.explode(F.transform(F.filter("nb", lambda x: x["z"] == F.col("z")), lambda x: x["sind"])).alias("b")), "links")
-    return fill.spread_distance(links, wide.filter(F.exists("nb", lambda x: x["z"] > F.col("z"))).select("sind"))
+    wide = raster.stencil(_bowl(spark, sf_dir), ["z"]).select("sind", "iy", "ix", F.col("z").alias("level"), F.exists("nb", lambda x: x["z"] > F.col("z")).alias("source"))
+    return plateau_distance(cut(wide, "flat")).select("sind", (F.col("dist") + 1).alias("dist"))
 
 
 @query("a6_merge_lines")
