@@ -14,16 +14,20 @@ from .components import components
 from .spatial import _bin, nearest, node_lines, to_grid
 
 
-def merge_lines(segs: DataFrame) -> DataFrame:
+def merge_lines(segs: DataFrame, within: str | None = None) -> DataFrame:
     """``line_id, vid, x, y``: segments (``ax, ay, bx, by``) chained through nodes of degree two.
 
     Chains are components of segments that meet in such nodes; a chain is put in
-    order in a task of its own. A ring starts at its least node.
+    order in a task of its own. A ring starts at its least node. Equal segments,
+    also in the other direction, are one; segments of no length are none. With
+    ``within`` only segments of one value of that column meet.
     """
-    ends = segs.withColumn("sid", F.xxhash64("ax", "ay", "bx", "by"))
-    ends = cut(ends.dropDuplicates(["sid"]), "merge")
-    nodes = ends.select("sid", F.col("ax").alias("x"), F.col("ay").alias("y")).union(ends.select("sid", "bx", "by"))
-    pairs = nodes.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("p"), F.max("sid").alias("q")).filter("n = 2")
+    back = F.struct("bx", "by") < F.struct("ax", "ay")
+    turned = {a: F.when(back, F.col(b)).otherwise(F.col(a)) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))}
+    ends = segs.filter("ax <> bx OR ay <> by").select((F.col(within) if within else F.lit(0)).alias("g"), *[c.alias(n) for n, c in turned.items()]).distinct()
+    ends = cut(ends.withColumn("sid", F.xxhash64("g", "ax", "ay", "bx", "by")), "merge")
+    nodes = ends.select("sid", "g", F.col("ax").alias("x"), F.col("ay").alias("y")).union(ends.select("sid", "g", "bx", "by"))
+    pairs = nodes.groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("p"), F.max("sid").alias("q")).filter("n = 2")
     names = components(pairs, "p", "q").select(F.col("id").alias("sid"), "component")
     chained = ends.join(names, "sid", "left").withColumn("chain", F.coalesce("component", "sid"))
 
@@ -45,7 +49,7 @@ def merge_lines(segs: DataFrame) -> DataFrame:
             path.append(at)
         return pd.DataFrame({"line_id": pdf["chain"].iloc[0], "vid": range(len(path)), "x": [p[0] for p in path], "y": [p[1] for p in path]})
 
-    return chained.groupBy("chain").applyInPandas(run, "line_id long, vid long, x double, y double")
+    return chained.drop("g").groupBy("chain").applyInPandas(run, "line_id long, vid long, x double, y double")
 
 
 def snap_points(points: DataFrame, ratio: float, k: int = 30) -> tuple[DataFrame, DataFrame]:

@@ -185,34 +185,35 @@ def _arrange(banks: DataFrame, cfg: RiverConfig) -> DataFrame:
 
 
 def drainage(cells: DataFrame, limit: int, tile: int = 256) -> dict[str, DataFrame]:
-    """From elevations to a river network: filled grid, directions with flats resolved, watersheds, lines.
+    """From elevations to a river network: grid filled with a least slope, directions, watersheds, lines.
 
     All tiles are processed, each stage being one table over all of them.
     """
-    from .fill import fill_depressions, resolve_flats
+    from .fill import fill_with_slope, slope_directions
     from .flow import accumulate, river_network
-    from .raster import d8_directions
 
-    filled = cut(fill_depressions(cells, tile=tile), "filled")
-    d8 = cut(resolve_flats(cut(d8_directions(filled, tile=tile), "d8"), tile=tile), "d8")
+    filled = cut(fill_with_slope(cells, tile=tile), "filled")
+    d8 = cut(slope_directions(filled, tile=tile), "d8")
     flow = cut(accumulate(d8.filter("dir >= 0")), "flow")
     return {"filled": filled, "d8": d8, "flow": flow, "lines": cut(river_network(d8, flow, limit, tile=tile), "lines")}
 
 
 def prepare_flowlines(lines: DataFrame, area: DataFrame, key: str = "gnis_id", split: float = 15_000.0, densify: float = 20.0) -> DataFrame:
-    """``line_id, vid, x, y, keep`` from raw flowlines: merge by name, keep what lies outside, split, densify.
+    """``line_id, vid, x, y, keep`` from raw flowlines: merge by name, part at the area's outline, split, densify.
 
-    Lengths are metres; coordinates are degrees, a hundred-thousandth of a
+    Lines merge only with lines of their name, also through nodes that they
+    share with others. Parts inside and outside the area are both kept, as
+    lines of their own. Lengths are metres; coordinates are degrees, a hundred-thousandth of a
     degree being taken for a metre.
     """
     from .linework import merge_lines
     from .spatial import cut_by_polygons, segments
 
     named = lines.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    segs = segments(named.withColumn("line_id", F.struct(key, "line_id")))
-    merged = cut(merge_lines(segs), "merged")
-    outside = cut_by_polygons(merged, area, "outside").withColumn("line_id", F.xxhash64("line_id", "piece")).drop("piece")
-    parts = se.split_by_length(cut(outside, "outside"), split * 1e-5).withColumn("line_id", F.xxhash64("line_id", "part")).drop("part")
+    segs = segments(named.withColumn("line_id", F.struct(F.col(key).alias("name"), "line_id")))
+    merged = cut(merge_lines(segs.withColumn("name", F.col("line_id.name")), "name"), "merged")
+    pieces = cut_by_polygons(merged, area, "both").withColumn("line_id", F.xxhash64("line_id", "piece")).drop("piece")
+    parts = se.split_by_length(cut(pieces, "pieces"), split * 1e-5).withColumn("line_id", F.xxhash64("line_id", "part")).drop("part")
     dense = se.densify(cut(parts, "parts"), densify * 1e-5)
     pos = F.row_number().over(Window.partitionBy("line_id").orderBy("vid", "sub")) - 1
     return dense.withColumn("_v", pos.cast("long")).select("line_id", F.col("_v").alias("vid"), "x", "y", F.lit(1).alias("keep"))

@@ -205,7 +205,7 @@ def lines_meeting_polygons(lines: DataFrame, rings: DataFrame) -> DataFrame:
 
 
 def cut_by_polygons(lines: DataFrame, rings: DataFrame, keep: str = "outside") -> DataFrame:
-    """``line_id, piece, vid, x, y``: parts of lines outside (difference) or inside (clip) polygons.
+    """``line_id, piece, vid, x, y``: parts of lines outside (difference) or inside (clip) polygons, or ``both``.
 
     Lines are split at the polygons' sides; the middle of every small segment
     decides on its side, and neighbouring segments on the same side join again.
@@ -233,7 +233,7 @@ def cut_by_polygons(lines: DataFrame, rings: DataFrame, keep: str = "outside") -
     w = Window.partitionBy("line_id").orderBy("seg", "k")
     marked = marked.withColumn("new", F.coalesce((F.lag("in").over(w) != F.col("in")).cast("int"), F.lit(0)))
     marked = marked.withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = marked.filter(F.col("in") if keep == "inside" else ~F.col("in"))
+    kept = marked if keep == "both" else marked.filter(F.col("in") if keep == "inside" else ~F.col("in"))
     order = Window.partitionBy("line_id", "piece").orderBy("seg", "k")
     kept = kept.withColumn("vid", F.row_number().over(order))
     first = kept.filter("vid = 1").select("line_id", "piece", F.lit(0).alias("vid"), F.col("x0").alias("x"), F.col("y0").alias("y"))

@@ -69,7 +69,24 @@ def test_flowlines(spark):
     )
     area = spark.createDataFrame([(0, 0, 0.0015, -1.0), (0, 1, 9.0, -1.0), (0, 2, 9.0, 1.0), (0, 3, 0.0015, 1.0)], "poly_id long, vid long, x double, y double")
     out = rivers.prepare_flowlines(lines, area).toPandas()
-    assert out["line_id"].nunique() == 1 and abs(out["x"].max() - 0.0015) < 1e-9 and out.sort_values("vid")["x"].diff().max() <= 0.0002 + 1e-12
+    # The part inside the area is a line of its own.
+    ends = sorted((round(g["x"].min(), 9), round(g["x"].max(), 9)) for _, g in out.groupby("line_id"))
+    assert ends == [(0.0, 0.0015), (0.0015, 0.002)]
+    assert all(g.sort_values("vid")["x"].diff().max() <= 0.0002 + 1e-12 for _, g in out.groupby("line_id"))
+
+
+def test_flowlines_merge_within_names(spark):
+    """Names that touch stay apart; a name goes on through nodes that it shares; a line through a polygon is three."""
+    rows = [
+        (1, 0, 0.0, 0.0, "a"), (1, 1, 1.0, 0.0, "a"), (2, 0, 1.0, 0.0, "b"), (2, 1, 2.0, 0.0, "b"),
+        (3, 0, 1.0, 0.0, "c"), (3, 1, 1.0, 3.0, "c"), (4, 0, 1.0, 3.0, "c"), (4, 1, 1.0, 6.0, "c"), (5, 0, 1.0, 6.0, "c"), (5, 1, 1.0, 3.0, "c"),
+        (6, 0, 7.0, 7.0, ""), (6, 1, 8.0, 7.0, ""),
+    ]
+    lines = spark.createDataFrame(rows, "line_id long, vid long, x double, y double, gnis_id string")
+    area = spark.createDataFrame([(0, 0, 0.5, 2.0), (0, 1, 1.5, 2.0), (0, 2, 1.5, 4.0), (0, 3, 0.5, 4.0)], "poly_id long, vid long, x double, y double")
+    out = rivers.prepare_flowlines(lines, area, split=1e9, densify=1e8).toPandas()
+    ends = sorted(tuple(g.sort_values("vid")[["x", "y"]].iloc[[0, -1]].to_numpy().round(6).ravel()) for _, g in out.groupby("line_id"))
+    assert ends == [(0, 0, 1, 0), (1, 0, 1, 2), (1, 0, 2, 0), (1, 2, 1, 4), (1, 4, 1, 6)]
 
 
 def test_codecs(spark):
