@@ -217,7 +217,7 @@ def _cut(shared, length: int):
 def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -> ByteConvNet:
     """Fit on at most ``params.sample`` documents with text and language that are not held out.
 
-    Of rows that repeat an id the one with the least language and text counts.
+    Ids are made distinct before the sample is drawn. Of rows that repeat an id the one with the least language and text counts.
     Texts stay on the executors: the driver gets the number of windows of each
     and then the drawn windows, at most ``params.windows`` a document.
     """
@@ -225,9 +225,9 @@ def train_languages(docs: DataFrame, params: LanguageParameters | None = None) -
     ids = (
         docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .select("doc_id")
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(p.sample)
-        .distinct()
     )
     # The ids first, so that whole texts are not sorted; then one row an id.
     ws = TextWorkspace(spark, "languages")

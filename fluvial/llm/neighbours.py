@@ -26,7 +26,7 @@ class AnnParameters:
     residual centroids as it takes. The number of probed lists, at least
     ``min_probes``, is the least that finds a share of ``target`` of the
     neighbours which ``trials`` sample vectors have in the sample. ``anchors``
-    sample vectors at most give every query its first candidates and bound.
+    sample vectors at most give every query a first bound on its k-th distance.
     ``block`` rows and ``block`` queries of a list at most meet in a task. ``epsilon``
     is the width of the hypothesis test: a candidate is abandoned after d of D
     dimensions when its scaled partial distance exceeds
@@ -38,8 +38,8 @@ class AnnParameters:
     max_centres: int = 2048
     target: float = 0.97
     trials: int = 256
-    min_probes: int = 16
-    anchors: int = 4096
+    min_probes: int = 4
+    anchors: int = 512
     block: int = 8192
     columns: int = 16
     epsilon: float = 2.1
@@ -196,8 +196,9 @@ def nearest_neighbours(
 
     Output: ``query_id, rank, vec_id, score``, ranked from 1, ties to the
     smaller id; all candidates if there are fewer than k. A query probes its
-    nearest lists. Its nearest anchors are candidates too; so the bound that
-    they set never leaves it with fewer than k. A list with more than ``block``
+    nearest lists; the distance of its k-th anchor bounds the scan from the
+    start. Anchors themselves are candidates only of a query to which the lists
+    leave fewer than k. A list with more than ``block``
     rows or asked by more than ``block`` queries is dealt to several tasks by
     hashes of the ids, so a list with a third of all rows is no single task's
     work. Distances of candidates that survive the scan are those of the
@@ -291,7 +292,9 @@ def _search_length(base: DataFrame, dims: int, total: int, query_modulus: int, p
     firsts = queries.select("query_id", "asked", F.explode("near").alias("a")).select("query_id", "asked", "a.vec_id", "a.score", F.lit(1).alias("first"))
     # An anchor that the scan has found as well is one candidate; rows that repeat an id stay as many as there are.
     both = found.withColumn("first", F.lit(0)).union(firsts).groupBy(*key).agg(F.sum("first").alias("a"), F.sum(1 - F.col("first")).alias("b"))
-    both = both.withColumn("_", F.explode(F.sequence(F.lit(1), F.greatest("a", "b"))))
+    listed = F.sum("b").over(Window.partitionBy("query_id", "asked"))
+    both = both.withColumn("n", F.when(listed >= p.k, F.col("b")).otherwise(F.greatest("a", "b"))).filter("n > 0")
+    both = both.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     order = Window.partitionBy("query_id", "asked").orderBy("score", "vec_id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
 

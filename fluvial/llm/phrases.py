@@ -33,7 +33,7 @@ class PhraseParameters:
     top: int = 2000
     inner: int = 50
     bits: int = 25
-    chunk: int = 1_500_000
+    chunk: int = 1_000_000
 
 
 #: Bytes of a bucket block that a task sends: one row of the shuffle.

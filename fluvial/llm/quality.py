@@ -28,31 +28,14 @@ class QualityParameters:
     seed: int = 11
 
 
-_SHAPES = 64
-
-
 def _word_code(buckets: int):
-    """Bucket of the bare lower-case word, and shape of the written one, in one number."""
+    """Buckets of the written word, its beginning and its end, in one number."""
 
     def compute(word: str) -> int:
-        bare = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        tail = word[len(word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :]
-        if not bare:
-            case = 0
-        elif bare.isdigit():
-            case = 1
-        elif not bare.isalpha():
-            case = 2
-        elif bare.islower():
-            case = 3
-        elif bare.isupper() and len(bare) > 1:
-            case = 4
-        elif bare[1:].islower() or len(bare) == 1:
-            case = 5
-        else:
-            case = 6
-        end = 0 if not tail else 1 if tail in (".", ",") else 2 + zlib.crc32(tail[:1].encode()) % 5 if len(tail) == 1 else 7
-        return (zlib.crc32(bare.lower().encode()) % buckets) * _SHAPES + case * 8 + end
+        code = 0
+        for piece in (word[-3:] + ">", "<" + word[:2], word):
+            code = code * buckets + zlib.crc32(piece.encode("utf-8", "surrogatepass")) % buckets
+        return code
 
     return compute
 
@@ -68,30 +51,41 @@ def word_codes(buckets: int) -> BoundedCache:
 
 
 def codes_of(text: str | None, buckets: int) -> np.ndarray:
+    """Buckets of a text's words, a row a word: the word as written, its beginning, its end."""
     words = (text or "").split()
-    return np.fromiter(map(word_codes(buckets).__getitem__, words), np.int64, len(words))
+    code = np.fromiter(map(word_codes(buckets).__getitem__, words), np.int64, len(words))
+    return np.stack([code % buckets, code // buckets % buckets, code // buckets**2], 1)
 
 
-def _index_vectors(p: QualityParameters, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the buckets' sparse random index vectors."""
+def _index_vectors(p: QualityParameters, rng: np.random.Generator) -> np.ndarray:
+    """The buckets' sparse random index vectors."""
+    index = np.zeros((p.buckets, p.dims), np.int64)
     place = rng.integers(0, p.dims, (p.buckets, p.nonzero))
-    return place, rng.choice(np.array([-1, 1]), (p.buckets, p.nonzero))
+    np.add.at(index, (np.arange(p.buckets)[:, None], place), rng.choice(np.array([-1, 1]), (p.buckets, p.nonzero)))
+    return index
 
 
-def context_sums(p: QualityParameters, docs: Iterable[np.ndarray]) -> np.ndarray:
+def context_sums(p: QualityParameters, docs: Iterable[np.ndarray], step: int = 16384) -> np.ndarray:
     """For each bucket the sum of its neighbours' index vectors over these documents.
 
-    Whole numbers, so sums over parts of the documents add up exactly.
+    A neighbour counts with all its buckets. Whole numbers, so sums over parts
+    of the documents add up exactly.
     """
-    place, sign = _index_vectors(p, np.random.default_rng(p.seed))
+    index = _index_vectors(p, np.random.default_rng(p.seed))
     context = np.zeros((p.buckets, p.dims), np.int64)
     for codes in docs:
-        w = codes // _SHAPES
-        for shift in range(1, p.window + 1):
-            for at in range(0, len(w) - shift, 65536):
-                low, high = w[:-shift][at : at + 65536], w[shift:][at : at + 65536]
-                for a, b in ((low, high), (high, low)):
-                    np.add.at(context, (a[:, None], place[b]), sign[b])
+        for at in range(0, len(codes), step):
+            low = max(0, at - p.window)
+            near = index[codes[low : at + step + p.window]].sum(1)
+            total = np.zeros_like(near)
+            for shift in range(1, p.window + 1):
+                total[:-shift] += near[shift:]
+                total[shift:] += near[:-shift]
+            mine, total = codes[at : at + step], total[at - low : at - low + step]
+            for column in mine.T:
+                order = np.argsort(column, kind="stable")
+                starts = np.flatnonzero(np.diff(column[order], prepend=-1))
+                context[column[order][starts]] += np.add.reduceat(total[order], starts, axis=0)
     return context
 
 
@@ -99,43 +93,24 @@ class RandomIndex:
     """Context vectors: each bucket sums the sparse random index vectors of its neighbours."""
 
     def __init__(self, p: QualityParameters, sums: np.ndarray) -> None:
-        rng = np.random.default_rng(p.seed)
-        n = p.buckets
-        place, sign = _index_vectors(p, rng)
-        context = sums.astype(np.float64)
-        index = np.zeros((n, p.dims))
-        np.add.at(index, (np.arange(n)[:, None], place), sign)
         # A word that the sample lacks stands for itself.
-        context += index
+        context = sums.astype(np.float64) + _index_vectors(p, np.random.default_rng(p.seed))
         self.words = (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        self.shapes = rng.choice(np.array([-1.0, 1.0], np.float32), (_SHAPES, 32)) / np.float32(32**0.5)
-
-    def pool(self, codes: np.ndarray) -> np.ndarray:
-        """Pooled vector of one document: mean word vector, mean and bigram shape vectors, and repetition."""
-        dims = self.words.shape[1]
-        out = np.zeros(dims + 64 + 6, np.float32)
-        n = len(codes)
-        if not n:
-            out[-1] = 1.0
-            return out
-        w, s = codes // _SHAPES, codes % _SHAPES
-        total = np.zeros(dims, np.float32)
-        for at in range(0, n, 65536):
-            total += self.words[w[at : at + 65536]].sum(0)
-        mean = total / n
-        out[:dims] = mean
-        share = np.bincount(s, minlength=_SHAPES) / n
-        out[dims : dims + 32] = share.astype(np.float32) @ self.shapes
-        if n > 1:
-            turn = np.bincount(s[1:][s[1:] == s[:-1]], minlength=_SHAPES) / (n - 1)
-            out[dims + 32 : dims + 64] = turn.astype(np.float32) @ self.shapes
-            out[dims + 64] = np.mean(w[1:] == w[:-1])
-            lag = min(n - 1, 2)
-            out[dims + 65] = np.mean(w[lag:] == w[:-lag])
-        out[dims + 66] = len(np.unique(w)) / n**0.8
-        out[dims + 67] = np.linalg.norm(mean)
-        out[dims + 68] = np.log1p(n) / 10
-        return out
+
+    def pool(self, codes: np.ndarray, step: int = 16384) -> np.ndarray:
+        """Pooled vector of one document: means of its word vectors, of its beginnings' and ends' vectors, and of bound neighbours.
+
+        Two neighbours are bound by the product of their word vectors, so the
+        mean of these tells how words follow each other.
+        """
+        dims, n = self.words.shape[1], len(codes)
+        word, part, bound = (np.zeros(dims) for _ in range(3))
+        for at in range(0, n, step):
+            vectors = self.words[codes[at : at + step + 1, 0]]
+            word += vectors[:step].sum(0, dtype=np.float64)
+            bound += np.einsum("ij,ij->j", vectors[1:], vectors[:-1], dtype=np.float64)
+            part += self.words[codes[at : at + step, 1:].ravel()].sum(0, dtype=np.float64)
+        return np.concatenate([word / max(n, 1), part / max(2 * n, 1), bound / max(n - 1, 1)]).astype(np.float32)
 
 
 class TwoLayer:
@@ -242,7 +217,8 @@ def _pool(shared, buckets: int):
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters | None = None) -> QualityModel:
     """Fit on at most ``params.sample`` rows that carry a 0/1 quality and are not held out.
 
-    Null labels, texts' nulls and repeated labels do no harm; of rows that
+    Labels are made distinct before the sample is drawn, so repeated ones do
+    not crowd others out; null labels and null texts do no harm. Of rows that
     repeat an id the one with the least text counts. Without two classes the model scores the share of label 1 (0.5 without any label).
     Texts stay on the executors: the driver gets one vector a bucket and one a document.
     """
@@ -250,6 +226,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters
     picked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(p.sample)
     )
@@ -257,7 +234,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParameters
     ws = TextWorkspace(spark, "quality")
     rows = ws.keep(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(picked.distinct()), "doc_id")
+        .join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "quality")
         .agg(F.min("text").alias("text")),
         "sample",

@@ -96,3 +96,32 @@ def test_training_leaves_whole_texts_on_the_executors(spark, small_results):
     assert (model.index.words == whole.index.words).all() and (model.score(texts) == whole.score(texts)).all()
     net, plain = train_languages(docs), fit_network([texts[i] for i in told], [langs[i] for i in told], LanguageParameters())
     assert net.predict(texts)[0] == plain.predict(texts)[0] and (net.predict(texts)[1] == plain.predict(texts)[1]).all()
+
+
+def test_repeats_beyond_the_sample_leave_others_in(spark):
+    """One id repeated more often than the sample is large is one row of it."""
+    rows = [r for r in corpus(80, 4) if not held(r[0])]
+    first = rows[0]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows] + [(first[0], first[1], first[2])] * 200, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, _, q in rows] + [(first[0], first[3], 0)] * 200, "doc_id long, quality int, toxic int")
+    model = train_quality(docs, labels, QualityParameters(sample=40, epochs=20))
+    assert model.net is not None and ((model.score([t for _, t, _, _ in rows]) > 0.5) == [q == 1 for *_, q in rows]).mean() > 0.95
+    assert train_languages(docs, LanguageParameters(sample=40, epochs=2)).languages == ["xx", "yy"]
+
+
+def test_context_sums_and_pools_by_parts():
+    from fluvial.llm.quality import RandomIndex, _index_vectors, codes_of, context_sums
+
+    p = QualityParameters(buckets=64, dims=8)
+    docs = [codes_of(t, p.buckets) for t in ("a b c a b WIN!! d e f g", "", "one", "x y x y x y x")]
+    index, want = _index_vectors(p, np.random.default_rng(p.seed)), np.zeros((64, 8), int)
+    for c in docs:
+        for i in range(len(c)):
+            for k in range(max(0, i - p.window), min(len(c), i + p.window + 1)):
+                for mine in c[i] if k != i else []:
+                    want[mine] += index[c[k]].sum(0)
+    for step in (1, 3, 100):
+        assert (context_sums(p, docs, step) == want).all()
+    pooled = RandomIndex(p, want)
+    for c in docs:
+        assert all(np.allclose(pooled.pool(c, step), pooled.pool(c), atol=1e-6) for step in (1, 2, 5))

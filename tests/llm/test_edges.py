@@ -11,7 +11,7 @@ import corpus_pipeline
 from fluvial.llm.bpe import round_trip_digests
 from fluvial.llm.langid import UNDETERMINED, keep_determined, predict_languages, train_languages, windows_of
 from fluvial.llm.packing import pack_documents
-from fluvial.llm.quality import _SHAPES, codes_of, score_quality, train_quality
+from fluvial.llm.quality import codes_of, score_quality, train_quality
 from fluvial.llm.sharding import shard_documents
 from fluvial.llm.tokens import default_vocabulary
 from fluvial.llm.unigram import count_tokens
@@ -75,28 +75,15 @@ def test_token_counts(clashing):
 
 def plain_quality(model, text):
     """A score from the fitted numbers alone, word by word."""
-    words = [int(c) for c in codes_of(text, model.buckets)]
-    w, s, n = [c // _SHAPES for c in words], [c % _SHAPES for c in words], len(words)
-    dims = model.index.words.shape[1]
-    x = [0.0] * (dims + 70)
-    if not n:
-        x[-1] = 1.0
-    else:
-        mean = [math.fsum(float(model.index.words[b][d]) for b in w) / n for d in range(dims)]
-        x[:dims] = mean
-        for b in s:
-            for d in range(32):
-                x[dims + d] += float(model.index.shapes[b][d]) / n
-        for a, b in zip(s, s[1:]):
-            for d in range(32) if a == b else []:
-                x[dims + 32 + d] += float(model.index.shapes[a][d]) / (n - 1)
+    rows, dims = codes_of(text, model.buckets).tolist(), model.index.words.shape[1]
+    n, x = len(rows), [0.0] * (3 * dims)
+    v = lambda b, d: float(model.index.words[b][d])
+    for d in range(dims):
+        if n:
+            x[d] = math.fsum(v(r[0], d) for r in rows) / n
+            x[dims + d] = math.fsum(v(r[1], d) + v(r[2], d) for r in rows) / (2 * n)
         if n > 1:
-            x[dims + 64] = sum(a == b for a, b in zip(w, w[1:])) / (n - 1)
-            lag = min(n - 1, 2)
-            x[dims + 65] = sum(a == b for a, b in zip(w, w[lag:])) / (n - lag)
-        x[dims + 66] = len(set(w)) / n**0.8
-        x[dims + 67] = math.sqrt(sum(v * v for v in mean))
-        x[dims + 68] = math.log1p(n) / 10
+            x[2 * dims + d] = math.fsum(v(a[0], d) * v(b[0], d) for a, b in zip(rows, rows[1:])) / (n - 1)
     z = [min(8.0, max(-8.0, (v - m) / sd)) for v, m, sd in zip(x, model.net.mean, model.net.scale)]
     a, b, c, d = model.net.p
     hidden = [math.tanh(sum(z[i] * a[i][j] for i in range(len(z))) + b[j]) for j in range(len(b))]

@@ -143,3 +143,20 @@ def test_repeated_queries_of_top_products_and_clashing_columns(spark):
         assert all((i, t) in [(r.vec_id, r.score) for r in got] for i, t in want)
     near = nearest_neighbours(docs).collect()
     assert len(near) == 20 and {r.query_id for r in near} == {100} and 100 not in {r.vec_id for r in near}
+
+
+def test_anchors_far_below_the_rows_settle_nothing(spark):
+    """With the default parameters the lists give the neighbours; anchors only where lists leave too few."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4000, 16)).astype(np.float32)
+    docs = table(spark, x)
+
+    def recall(**params):
+        got, hits = nearest_neighbours(docs, params=AnnParameters(**params)).toPandas(), 0
+        assert (got.groupby("query_id").size() == 10).all()
+        for q, g in got.groupby("query_id"):
+            d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+            hits += len({i for i in np.lexsort((np.arange(4000), d)) if i != q} & set(g["vec_id"]) & set(np.argsort(d)[:11]))
+        return hits / 400
+
+    assert recall(anchors=64) >= 0.9 and recall(anchors=16) >= 0.9
