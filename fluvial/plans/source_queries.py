@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..adapters import cell, elem, node, vertex, with_tables
 from ..sources import files as fs
-from ..storage import scratch_path
+from ..sources import rasters as rs
+from ..storage import cut, scratch_path
 from .registry import query
 
 C = with_tables("cell")
@@ -40,6 +41,51 @@ def s5w(spark, sf_dir):
     return fs.read_asc(spark, _ascii(spark, sf_dir), rows=(3, 13), cols=(20, 70)).select("sind", "iy", "ix", "z")
 
 
+def _rasters(spark, sf_dir) -> str:
+    """The whole grid as TIFF files of 64 by 64 cells; their folder."""
+    cells = cell(spark, sf_dir).select("iy", "ix", F.when(~F.col("is_nodata"), F.col("z_tilt")).cast("double").alias("z"))
+    folder = scratch_path(spark, "rasters")
+    cut(rs.write_rasters(cells, folder, 64, -90.0, 30.0, 0.5, strip=16), "written")
+    return folder + "/*.tif"
+
+
+#: The tiles of 64 by 64 cells as the writer makes them.
+TIFF = """t AS (SELECT CAST(floor(iy / 64) AS BIGINT) AS ty, CAST(floor(ix / 64) AS BIGINT) AS tx, max(iy) % 64 + 1 AS ny, max(ix) % 64 + 1 AS nx FROM cell GROUP BY 1, 2)"""
+
+
+@query("s3_raster_header", f"""{C}, {TIFF} SELECT -90 + (tx * 64 - 0.5E0) * 0.5E0 AS ulx, 30 - (ty * 64 - 0.5E0) * 0.5E0 AS uly, 0.5E0 AS dx, 0.5E0 AS dy, -9999.0E0 AS nodata,
+CAST(ny AS BIGINT) AS ny, CAST(nx AS BIGINT) AS nx, CAST(ceil(ny / 16.0E0) AS BIGINT) AS blocks FROM t""")
+def s3h(spark, sf_dir):
+    return rs.read_headers(spark, _rasters(spark, sf_dir)).select("ulx", "uly", "dx", "dy", "nodata", "ny", "nx", "blocks")
+
+
+@query("s3_raster_cells", f"{C} SELECT iy % 64 AS iy, ix % 64 AS ix, -90 + ix * 0.5E0 AS x, 30 - iy * 0.5E0 AS y, {Z} AS z FROM cell")
+def s3(spark, sf_dir):
+    # Cells that the table lacks, in the last row of files, have no data either.
+    return rs.read_raster(spark, _rasters(spark, sf_dir)).join(_places(spark, sf_dir), ["x", "y"], "left_semi").select("iy", "ix", "x", "y", "z")
+
+
+def _places(spark, sf_dir):
+    return cell(spark, sf_dir).select((F.col("ix") * 0.5 - 90).alias("x"), (30 - F.col("iy") * 0.5).alias("y"))
+
+
+@query("s5_raster_window", f"{C} SELECT iy % 64 AS iy, ix % 64 AS ix, {Z} AS z FROM cell WHERE iy % 64 BETWEEN 20 AND 33 AND ix % 64 BETWEEN 5 AND 24")
+def s5r(spark, sf_dir):
+    found = rs.read_raster(spark, _rasters(spark, sf_dir), rows=(20, 34), cols=(5, 25))
+    return found.join(_places(spark, sf_dir), ["x", "y"], "left_semi").select("iy", "ix", "z")
+
+
+@query("s6_raster_points", f"{C} SELECT -90 + ix * 0.5E0 AS x, 30 - iy * 0.5E0 AS y, {Z} AS z FROM cell WHERE NOT is_nodata")
+def s6(spark, sf_dir):
+    return rs.read_raster(spark, _rasters(spark, sf_dir)).filter("z is not null").select("x", "y", "z")
+
+
+@query("s7_raster_boxes", f"""{C}, {TIFF} SELECT -90 + (tx * 64 - 0.5E0) * 0.5E0 AS x0, 30 - (ty * 64 - 0.5E0) * 0.5E0 - ny * 0.5E0 AS y0,
+-90 + (tx * 64 - 0.5E0) * 0.5E0 + nx * 0.5E0 AS x1, 30 - (ty * 64 - 0.5E0) * 0.5E0 AS y1 FROM t""")
+def s7(spark, sf_dir):
+    return rs.raster_boxes(spark, _rasters(spark, sf_dir)).drop("path")
+
+
 @query("s4_variables", f"{C} SELECT sind, z_tilt AS z, is_nodata FROM cell")
 def s4(spark, sf_dir):
     c, path = cell(spark, sf_dir), scratch_path(spark, "variables")

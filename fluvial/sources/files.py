@@ -88,7 +88,7 @@ def write_asc(cells: DataFrame, path: str, ny: int, nx: int, x0: float, y0: floa
 
 #: TIFF tags and sample types that the reader knows (fixed values).
 _TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "strips", 277: "samples", 278: "rows", 279: "counts",
-         322: "tile_w", 323: "tile_h", 324: "tiles", 325: "tile_counts", 339: "format", 317: "predictor", 33550: "scale", 33922: "tie", 42113: "nodata"}
+         322: "tile_w", 323: "tile_h", 324: "tiles", 325: "tile_counts", 339: "format", 317: "predictor", 33550: "scale", 33922: "tie", 34264: "matrix", 42113: "nodata"}
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
@@ -141,10 +141,13 @@ def decode_tiff(content: bytes) -> tuple[np.ndarray, dict]:
     return out, place
 
 
-def encode_tiff(z: np.ndarray, ulx: float, uly: float, dxy: float, nodata: float | None = None, deflate: bool = True) -> bytes:
-    """Single-strip TIFF of doubles with its placing."""
-    body = z.astype("<f8").tobytes()
-    body = zlib.compress(body) if deflate else body
+def encode_tiff(z: np.ndarray, ulx: float, uly: float, dxy: float, nodata: float | None = None, deflate: bool = True, strip: int | None = None) -> bytes:
+    """TIFF of doubles with its placing, in strips of ``strip`` rows or in one."""
+    rows = strip or max(1, z.shape[0])
+    parts = [z[at : at + rows].astype("<f8").tobytes() for at in range(0, max(1, z.shape[0]), rows)]
+    parts = [zlib.compress(p) for p in parts] if deflate else parts
+    body = b"".join(parts)
+    starts = [8 + sum(len(p) for p in parts[:k]) for k in range(len(parts))]
     extra, entries, at = b"", [], 8 + len(body) + (len(body) & 1)
 
     def entry(tag: int, kind: int, values) -> None:
@@ -156,10 +159,10 @@ def encode_tiff(z: np.ndarray, ulx: float, uly: float, dxy: float, nodata: float
     entry(257, 4, [z.shape[0]])
     entry(258, 3, [64])
     entry(259, 3, [8 if deflate else 1])
-    entry(273, 4, [8])
+    entry(273, 4, starts)
     entry(277, 3, [1])
-    entry(278, 4, [z.shape[0]])
-    entry(279, 4, [len(body)])
+    entry(278, 4, [rows])
+    entry(279, 4, [len(p) for p in parts])
     entry(339, 3, [3])
     entry(33550, 12, [dxy, dxy, 0.0])
     entry(33922, 12, [0.0, 0.0, 0.0, ulx, uly, 0.0])
