@@ -239,7 +239,13 @@ def r31(spark, sf_dir):
 
 
 @query("m2_arc_depths", f"""{with_tables('arc', 'node')}, a AS (SELECT river_id, arc_pos, vid, x / 10 AS x, y / 40 AS y FROM arc),
-n AS (SELECT a.*, d.dp, row_number() OVER (PARTITION BY a.river_id, a.arc_pos, a.vid ORDER BY (d.x - a.x) * (d.x - a.x) + (d.y - a.y) * (d.y - a.y), d.node_id) AS rn FROM a CROSS JOIN node d)
+top AS (SELECT max(CAST(floor(node_id / 100) AS BIGINT)) AS my FROM node),
+b AS (SELECT a.*, greatest(0, least(99, floor(x))) AS cx, greatest(0, least(my, floor(y))) AS cy, abs(x - greatest(0, least(99, x))) AS far_x, abs(y - greatest(0, least(my, y))) AS far_y FROM a CROSS JOIN top),
+r AS (SELECT *, CAST(ceil(sqrt(1.2E0 * far_y + 3)) + 3 AS BIGINT) AS rx, CAST(ceil(sqrt(1.2E0 * far_x + 3)) + 3 AS BIGINT) AS ry FROM b),
+c AS (SELECT *, unnest(range(-rx, rx + 1)) AS dx FROM r),
+e AS (SELECT *, unnest(range(-ry, ry + 1)) AS dy FROM c),
+n AS (SELECT e.river_id, e.arc_pos, e.vid, d.dp, row_number() OVER (PARTITION BY e.river_id, e.arc_pos, e.vid ORDER BY (d.x - e.x) * (d.x - e.x) + (d.y - e.y) * (d.y - e.y), d.node_id) AS rn
+ FROM e JOIN node d ON d.node_id = CAST((e.cy + e.dy) * 100 + e.cx + e.dx AS BIGINT) AND e.cx + e.dx BETWEEN 0 AND 99)
 SELECT river_id, arc_pos, vid, dp FROM n WHERE rn = 1""")
 def m2(spark, sf_dir):
     from ..adapters import node

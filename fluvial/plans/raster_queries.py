@@ -295,7 +295,11 @@ def h14(spark, sf_dir):
     return ra.flat_neighbours(cut(ra.d8_directions(cells), "d8"))
 
 
-@query("h15_segment_border", stored(f"""{W}, {d8_sql()}, {PATH}, h AS (SELECT max(iy) AS my FROM cell),
+#: Outlets handed upstream, a row a cell.
+OUTLETS = """flow AS (SELECT sind, sind AS outlet FROM d8 WHERE nxt IS NULL UNION ALL SELECT d.sind, f.outlet FROM flow f JOIN d8 d ON d.nxt = f.sind)"""
+
+
+@query("h15_segment_border", stored(f"""{W}, {d8_sql()}, {OUTLETS}, h AS (SELECT max(iy) AS my FROM cell),
 o AS (SELECT c.sind, m.sind AS ns, m.z_tilt AS z, row_number() OVER (PARTITION BY c.sind ORDER BY m.z_tilt, n.o) AS rn
  FROM {PAIRS} JOIN flow f ON f.sind = c.sind JOIN flow g ON g.sind = m.sind WHERE g.outlet <> f.outlet)
 SELECT c.sind, f.outlet AS seg, o.sind IS NOT NULL OR c.iy = 0 OR c.iy = my OR c.ix = 0 OR c.ix = 99 AS on_border, o.ns AS out_sind, o.z AS out_z
