@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import cut
+from ..storage import Workspace, cut
 from .components import components
 from .flow import accumulate, downstream_paths
 from .geodesic import plateau_distance
@@ -228,42 +228,145 @@ def fill_by_relaxation(cells: DataFrame, z: str = "z", epsilon: float = 0.0, max
     return state.select("sind", "iy", "ix", F.col("w").alias("z"))
 
 
-def drain_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
-    """``sind, iy, ix, z, nxt``: inner pits drained by reversing the path from the lowest pass to the pit.
+def settle_groups(edges: list[tuple], pit: dict[int, tuple[float, bool]]) -> list[tuple]:
+    """The rounds of :func:`exits_of_catchments` on a small graph: ``(group, a, b, cell, out)`` of every group that leaves.
 
-    Each round gives every catchment with an inner pit its lowest pass to
-    another catchment, ties by the two cells of the pass in either order. So
-    all catchments rank passes alike and only two that choose the same pass
-    can point at each other; of these the one with the lower pit (then larger
-    index) keeps its pit. Catchments at least halve each round, until no inner
-    pit is left. Pits on the grid's edge or beside cells without data stay.
+    ``edges`` has ``(order, group, other, a, b, cell, out)`` both ways, ``pit``
+    each group's pit and whether it is open.
+    """
+    ways: dict[int, tuple | None] = dict.fromkeys(pit)
+    while True:
+        root: dict[int, int] = {}
+        for g in ways:
+            path = []
+            while g not in root and ways[g]:
+                path.append(g)
+                g = ways[g][0]
+            root.update(dict.fromkeys(path, root.setdefault(g, g)))
+        best: dict[int, tuple] = {}
+        for e in edges:
+            own = root[e[1]]
+            if own != root[e[2]] and not pit[own][1] and (own not in best or e[0] < best[own][0]):
+                best[own] = e
+        moves = {}
+        for own, e in best.items():
+            other = root[e[2]]
+            back = other in best and root[best[other][2]] == own
+            z, z2 = pit[own][0], pit[other][0]
+            if not (back and (z < z2 or (z == z2 and own > other))):
+                moves[own] = e
+        if not moves:
+            return [(g, *w[1:]) for g, w in ways.items() if w]
+        for _, g, other, *way in moves.values():
+            turned = (other, *way)
+            while turned:
+                old, ways[g] = ways[g], turned
+                # The way that was taken so far, walked from its other end.
+                turned, g = ((g, old[2], old[1], old[4], old[3]), old[0]) if old else (None, g)
+
+
+def exits_of_catchments(passes: DataFrame, pits: DataFrame, settle: int = 20_000) -> DataFrame:
+    """``seg, cell, out``: the pass by which every catchment with an inner pit leaves towards an open one.
+
+    ``passes`` has ``a, cell, b, out, z``: neighbouring cells of catchments
+    ``a`` and ``b``, both ways, with the height of the pass. ``pits`` has
+    ``seg, pit_z, open``. Passes rank by height, then by their two cells in
+    either order, so all catchments rank them alike: those over which water
+    leaves are the minimum spanning forest of the catchments, each of its trees
+    with one that is open. Each round every group of catchments without an open
+    pit takes its lowest pass to another group (of two that take the same pass,
+    the one with the lower pit waits) and turns its ways round towards it; so
+    groups at least halve. Only this graph is rewritten, not the grid. What is
+    left at ``settle`` groups and ten times as many passes, or fewer, is
+    settled in the same rounds by one task.
     """
-    grid = stencil(d8.select("sind", "iy", "ix", "z"), ["z"], tile)
-    open_ = grid.filter((F.size("nb") < 8) | F.exists("nb", lambda x: x["z"].isNull())).select("sind").withColumn("open", F.lit(True))
-    state = cut(d8.filter("z is not null").select("sind", "iy", "ix", "z", "nxt").join(open_, "sind", "left"), "drain")
+    ws = Workspace(passes.sparkSession, "exits")
+    order = F.struct("z", F.least("cell", "out"), F.greatest("cell", "out"))
+    left = ws.keep(passes.groupBy("a", "b").agg(F.min(F.struct(order.alias("o"), "cell", "out")).alias("e")).select("a", "b", "e.o", "e.cell", "e.out"), "passes")
+    ways = ws.keep(pits.select("seg", F.lit(None).cast("long").alias("to"), F.lit(None).cast("long").alias("cell"), F.lit(None).cast("long").alias("out")), "ways")
+    groups = ws.keep(pits.select("seg", F.col("seg").alias("g")), "groups")
+    roots = ws.keep(pits.select(F.col("seg").alias("g"), "pit_z", F.coalesce("open", F.lit(False)).alias("open")), "roots")
     while True:
-        inner = state.filter("nxt is null and open is null").select(F.col("sind").alias("seg"), F.col("z").alias("pit_z"))
-        if inner.limit(1).count() == 0:
+        inner = roots.filter("NOT open").select(F.col("g").alias("ga"), "pit_z")
+        with_groups = left.join(groups.select(F.col("seg").alias("a"), F.col("g").alias("ga")), "a").join(groups.select(F.col("seg").alias("b"), F.col("g").alias("gb")), "b")
+        # Passes inside a group are gone for good.
+        across = ws.keep(with_groups.filter("ga <> gb"), "across")
+        last = roots.count() <= settle and across.count() <= 20 * settle
+        if last:
+            moves = ws.keep(_settled(across, roots), "moves")
+            ways, _ = _turn(ws, ways, moves)
             break
-        flow = accumulate(state).select("sind", F.col("outlet").alias("seg"))
-        wide = stencil(state.select("sind", "iy", "ix", "z").join(flow, "sind"), ["z", "seg"], tile)
-        passes = wide.select("sind", "z", "seg", F.explode(F.filter("nb", lambda x: x["seg"] != F.col("seg"))).alias("n"))
-        order = F.struct(F.greatest("z", "n.z"), F.least("sind", "n.sind"), F.greatest("sind", "n.sind"))
-        best = passes.join(inner, "seg").groupBy("seg").agg(
-            F.min_by(F.struct("sind", F.col("n.sind").alias("out_sind"), F.col("n.seg").alias("other")), order).alias("e"), F.first("pit_z").alias("pit_z")
-        )
-        chosen = cut(best.select("seg", "pit_z", "e.sind", "e.out_sind", "e.other"), "drain-best")
-        back = chosen.select(F.col("seg").alias("other"), F.col("other").alias("back"), F.col("pit_z").alias("other_z"))
-        keep = chosen.join(back, "other").filter(
-            (F.col("back") == F.col("seg")) & ((F.col("pit_z") < F.col("other_z")) | ((F.col("pit_z") == F.col("other_z")) & (F.col("seg") > F.col("other"))))
-        )
-        moves = cut(chosen.join(keep.select("seg"), "seg", "left_anti"), "drain-moves")
-        paths = downstream_paths(state, moves.select("sind"))
-        w = Window.partitionBy("start").orderBy("step")
-        turned = paths.withColumn("up", F.lag("sind").over(w)).select("sind", "up", "start")
-        turned = turned.join(moves.select(F.col("sind").alias("start"), "out_sind"), "start").select("sind", F.coalesce("up", "out_sind").alias("new"))
-        state = cut(state.join(turned, "sind", "left").withColumn("nxt", F.coalesce("new", "nxt")).drop("new"), "drain")
-    return state.select("sind", "iy", "ix", "z", "nxt")
+        best = across.join(inner, "ga").groupBy("ga").agg(F.min(F.struct("o", "a", "b", "cell", "out", "gb")).alias("e"), F.first("pit_z").alias("pit_z"))
+        chosen = ws.keep(best.select("ga", "pit_z", "e.a", "e.b", "e.cell", "e.out", "e.gb"), "chosen")
+        back = chosen.select(F.col("ga").alias("gb"), F.col("gb").alias("back"), F.col("pit_z").alias("other_z"))
+        wait = chosen.join(back, "gb").filter((F.col("back") == F.col("ga")) & ((F.col("pit_z") < F.col("other_z")) | ((F.col("pit_z") == F.col("other_z")) & (F.col("ga") > F.col("gb")))))
+        moves = ws.keep(chosen.join(wait.select("ga"), "ga", "left_anti"), "moves")
+        if not moves.head(1):
+            break
+        next_ways, used = _turn(ws, ways, moves)
+        # Groups that moved take the name of the one they end in.
+        ends = accumulate(roots.join(moves.select(F.col("ga").alias("g"), "gb"), "g", "left").select(F.col("g").alias("sind"), F.col("gb").alias("nxt"))).select(F.col("sind").alias("g"), "outlet")
+        next_groups = ws.keep(groups.join(ends, "g").select("seg", F.col("outlet").alias("g")), "groups")
+        next_roots = ws.keep(roots.join(moves.select(F.col("ga").alias("g")), "g", "left_anti"), "roots")
+        rest = ws.keep(across.select("a", "b", "o", "cell", "out"), "passes")
+        ws.drop(left, ways, groups, roots, across, chosen, moves, *used)
+        left, ways, groups, roots = rest, next_ways, next_groups, next_roots
+    ws.clear(ways)
+    return ways.filter("to is not null").select("seg", "cell", "out")
+
+
+def _turn(ws: Workspace, ways: DataFrame, moves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``ways`` with those of the groups that move turned round, from where they now leave to where they ended; tables used on the way."""
+    path = ws.keep(downstream_paths(ways.select(F.col("seg").alias("sind"), F.col("to").alias("nxt")), moves.select(F.col("a").alias("sind"))), "path")
+    before = path.select("start", (F.col("step") + 1).alias("step"), F.col("sind").alias("prior"))
+    first = moves.select(F.col("a").alias("seg"), F.col("b").alias("to"), "cell", "out")
+    old = ways.select(F.col("seg").alias("prior"), F.col("cell").alias("was_cell"), F.col("out").alias("was_out"))
+    later = path.filter("step > 0").join(before, ["start", "step"]).join(old, "prior").select(F.col("sind").alias("seg"), F.col("prior").alias("to"), F.col("was_out").alias("cell"), F.col("was_cell").alias("out"))
+    turned = ws.keep(first.unionByName(later), "turned")
+    return ws.keep(ways.join(turned.select("seg"), "seg", "left_anti").unionByName(turned), "ways"), [path, turned]
+
+
+def _settled(across: DataFrame, roots: DataFrame) -> DataFrame:
+    """``ga, a, b, cell, out`` of the groups of a small graph that leave."""
+    rows = across.select("ga", "gb", "a", "b", "cell", "out", F.col("o.z").cast("double").alias("z"), F.lit(False).alias("open"), F.lit(False).alias("is_pit")).unionByName(
+        roots.select(F.col("g").alias("ga"), *[F.lit(0).cast("long").alias(c) for c in ("gb", "a", "b", "cell", "out")], F.col("pit_z").cast("double").alias("z"), "open", F.lit(True).alias("is_pit"))
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_pit = pdf["is_pit"]
+        pit = {int(g): (z, bool(o)) for g, z, o in pdf.loc[is_pit, ["ga", "z", "open"]].itertuples(index=False)}
+        edges = [
+            ((z, min(c, o), max(c, o)), int(ga), int(gb), int(a), int(b), int(c), int(o))
+            for ga, gb, a, b, c, o, z in pdf.loc[~is_pit, ["ga", "gb", "a", "b", "cell", "out", "z"]].itertuples(index=False)
+        ]
+        return pd.DataFrame(settle_groups(edges, pit), columns=["ga", "a", "b", "cell", "out"], dtype="int64")
+
+    return rows.groupBy().applyInPandas(run, "ga long, a long, b long, cell long, out long")
+
+
+def drain_depressions(d8: DataFrame, tile: int = 512) -> DataFrame:
+    """``sind, iy, ix, z, nxt``: inner pits drained by reversing the path from the lowest pass to the pit.
+
+    The graph of catchments and passes gives each catchment with an inner pit
+    its way out (:func:`exits_of_catchments`); then the paths from all exits to
+    their pits turn round in one pass over the grid. Pits on the grid's edge or
+    beside cells without data stay, as does a pit without a way to any of these.
+    """
+    cells = cut(d8.filter("z is not null").select("sind", "iy", "ix", "z", "nxt"), "drain")
+    flow = cut(accumulate(cells).select("sind", F.col("outlet").alias("seg")), "drain-flow")
+    wide = stencil(d8.select("sind", "iy", "ix", "z").join(flow, "sind", "left"), ["z", "seg"], tile)
+    near = cut(wide.filter("z is not null").select(
+        "sind", "z", "seg", ((F.size("nb") < 8) | F.exists("nb", lambda x: x["z"].isNull())).alias("open"),
+        F.transform(F.filter("nb", lambda x: x["seg"] != F.col("seg")), lambda x: F.struct(x["sind"].alias("sind"), x["z"].alias("z"), x["seg"].alias("seg"))).alias("n"),
+    ), "drain-near")
+    passes = near.select(F.col("seg").alias("a"), F.col("sind").alias("cell"), "z", F.explode("n").alias("n")).select("a", "cell", F.col("n.seg").alias("b"), F.col("n.sind").alias("out"), F.greatest("z", "n.z").alias("z"))
+    pits = near.filter("sind = seg").select("seg", F.col("z").alias("pit_z"), "open")
+    exits = exits_of_catchments(passes, pits)
+    paths = downstream_paths(cells, exits.select(F.col("cell").alias("sind")))
+    prior = paths.select("start", (F.col("step") + 1).alias("step"), F.col("sind").alias("up"))
+    first = exits.select(F.col("cell").alias("sind"), F.col("out").alias("new"))
+    turned = first.unionByName(paths.filter("step > 0").join(prior, ["start", "step"]).select("sind", F.col("up").alias("new")))
+    return cut(cells.join(turned, "sind", "left").select("sind", "iy", "ix", "z", F.coalesce("new", "nxt").alias("nxt")), "drain")
 
 
 def carve(flow: DataFrame, max_rounds: int = 64) -> DataFrame:
