@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import cut
+from ..storage import Workspace, cut
 from .raster import main_upstream
 
 
@@ -32,7 +32,8 @@ def _follow(edges: DataFrame, key: str, nxt: str, weight: str | None = None) ->
         F.col(key).alias("sind"), F.col(nxt).alias("ptr"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("acc"),
         F.when(F.col(nxt).isNull(), F.col(key)).alias("outlet"), F.when(F.col(nxt).isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),
     )
-    state = cut(start, "flow")
+    ws = Workspace(edges.sparkSession, "flow")
+    state = ws.keep(start, "state")
     for _ in range(state.count().bit_length() + 1):
         live = state.filter("ptr is not null")
         if live.limit(1).count() == 0:
@@ -47,13 +48,16 @@ def _follow(edges: DataFrame, key: str, nxt: str, weight: str | None = None) ->
             (F.col("depth") + F.col("depth2")).alias("depth"),
         )
         ended = state.filter("ptr is null")
-        state = cut(
+        after = ws.keep(
             moved.unionByName(ended).join(got, "sind", "left").select(
                 # Along a loop the sums double each round and may pass 64 bits; such cells get null in the end.
                 "sind", "ptr", F.try_add("acc", F.coalesce("more", F.lit(0))).alias("acc"), "outlet", "depth"
             ),
-            "flow",
+            "state",
         )
+        ws.drop(state)
+        state = after
+    ws.clear(state)
     return state
 
 
@@ -78,20 +82,24 @@ def downstream_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     there are edges, so a start with a longer one runs into a loop, which
     raises before any path is built.
     """
-    jump = cut(edges.select(F.col("sind").alias("a"), F.col("nxt").alias("b")).filter("b is not null"), "jump")
+    ws = Workspace(edges.sparkSession, "paths")
+    jump = ws.keep(edges.select(F.col("sind").alias("a"), F.col("nxt").alias("b")).filter("b is not null"), "jump")
     jumps = []
     for _ in range(jump.count().bit_length() + 1):
         if starts.join(jump, starts["sind"] == jump["a"], "left_semi").limit(1).count() == 0:
             break
         jumps.append(jump)
         nxt = jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        jump = cut(nxt, "jump")
+        jump = ws.keep(nxt, "jump")
     else:
         raise ValueError("a downstream path does not end: it runs into a loop")
-    paths = cut(starts.select(F.col("sind").alias("start"), F.lit(0).cast("long").alias("step"), "sind"), "path")
+    paths = ws.keep(starts.select(F.col("sind").alias("start"), F.lit(0).cast("long").alias("step"), "sind"), "path")
     for k, jump in enumerate(jumps):
         more = paths.join(jump, paths["sind"] == jump["a"]).select("start", (F.col("step") + (1 << k)).alias("step"), F.col("b").alias("sind"))
-        paths = cut(paths.unionByName(more), "path")
+        longer = ws.keep(paths.unionByName(more), "path")
+        ws.drop(paths, jump)
+        paths = longer
+    ws.clear(paths)
     return paths
 
 
