@@ -86,6 +86,24 @@ def s7(spark, sf_dir):
     return rs.raster_boxes(spark, _rasters(spark, sf_dir)).drop("path")
 
 
+def _shapes(spark, sf_dir) -> str:
+    """All lines in four shape files; their folder."""
+    folder = scratch_path(spark, "shapes")
+    lines = vertex(spark, sf_dir).select("line_id", "vid", "x", "y", F.col("pin").cast("double").alias("z"))
+    cut(rs.write_shapes(lines, folder, 4), "written")
+    return folder + "/*.shp"
+
+
+@query("s15_merge_shapes", f"{L} SELECT vid, x, y, CAST(pin AS DOUBLE) AS z FROM vertex")
+def s15(spark, sf_dir):
+    return fs.read_shp(spark, _shapes(spark, sf_dir)).select(F.col("vid").cast("long").alias("vid"), "x", "y", "z")
+
+
+@query("s9_shape_points", f"{L} SELECT x, y, count(*) AS n FROM vertex GROUP BY x, y")
+def s9(spark, sf_dir):
+    return fs.read_shp(spark, _shapes(spark, sf_dir)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s4_variables", f"{C} SELECT sind, z_tilt AS z, is_nodata FROM cell")
 def s4(spark, sf_dir):
     c, path = cell(spark, sf_dir), scratch_path(spark, "variables")

@@ -375,13 +375,14 @@ def read_shp(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def encode_shp(lines: list[np.ndarray], kind: int = 13) -> bytes:
     """Shape file bytes of lines with z (kind 13), for exports of a size that one file holds."""
-    recs = b""
+    parts = []
     for i, v in enumerate(lines):
         n = len(v)
         box = struct.pack("<4d", v[:, 0].min(), v[:, 1].min(), v[:, 0].max(), v[:, 1].max())
         body = struct.pack("<i", kind) + box + struct.pack("<iii", 1, n, 0) + v[:, :2].astype("<f8").tobytes()
         body += struct.pack("<2d", v[:, 2].min(), v[:, 2].max()) + v[:, 2].astype("<f8").tobytes()
-        recs += struct.pack(">II", i + 1, len(body) // 2) + body
+        parts.append(struct.pack(">II", i + 1, len(body) // 2) + body)
+    recs = b"".join(parts)
     every = np.concatenate(lines) if lines else np.zeros((1, 3))
     ext = struct.pack("<8d", every[:, 0].min(), every[:, 1].min(), every[:, 0].max(), every[:, 1].max(), every[:, 2].min(), every[:, 2].max(), 0.0, 0.0)
     return struct.pack(">7I", 9994, 0, 0, 0, 0, 0, (100 + len(recs)) // 2) + struct.pack("<ii", 1000, kind) + ext + recs

@@ -17,7 +17,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import _TAGS, _TYPES, encode_tiff
+from .files import _TAGS, _TYPES, encode_shp, encode_tiff
 
 HEADER = "path string, ny long, nx long, ulx double, uly double, dx double, dy double, nodata double, block_h long, block_w long, blocks long, header_bytes long"
 BLOCK = (
@@ -27,12 +27,18 @@ BLOCK = (
 CELL = "path string, iy long, ix long, x double, y double, z double"
 
 
+def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and place of a path as Spark writes it, where local ones are ``file:/x``."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    return arrow_fs.FileSystem.from_uri(path)
+
+
 class RangedFile:
     """Bytes of a file by place, and how many have been read."""
 
     def __init__(self, path: str) -> None:
-        # Spark gives local paths as file:/x.
-        system, name = arrow_fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        system, name = open_fs(path)
         self._file, self.read_bytes = system.open_input_file(name), 0
 
     def __enter__(self) -> RangedFile:
@@ -237,11 +243,32 @@ def write_rasters(cells: DataFrame, folder: str, tile: int, x0: float, y0: float
         z = np.full((iy.max() + 1, ix.max() + 1), nodata)
         z[iy, ix] = np.where(pdf["z"].isna(), nodata, pdf["z"])
         name = f"r{key[0]}_{key[1]}.tif"
-        target = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-        system, at = arrow_fs.FileSystem.from_uri(target)
+        system, at = open_fs(folder)
         system.create_dir(at, recursive=True)
         with system.open_output_stream(f"{at}/{name}") as out:
             out.write(encode_tiff(z, x0 + (key[1] * tile - 0.5) * dxy, y0 - (key[0] * tile - 0.5) * dxy, dxy, nodata, strip=strip))
         return pd.DataFrame({"name": [name], "ny": [z.shape[0]], "nx": [z.shape[1]]})
 
     return tiled.groupBy("ty", "tx").applyInPandas(run, "name string, ny long, nx long")
+
+
+def write_shapes(lines: DataFrame, folder: str, files: int) -> DataFrame:
+    """Lines ``line_id, vid, x, y, z`` as shape files, each written by a task of its own; ``name, n_lines``.
+
+    A line is whole in the file that its id falls to. With ``files`` in
+    proportion to the lines no task holds more than its share; reading the
+    folder merges them.
+    """
+    dealt = lines.select("line_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]).withColumn("k", F.pmod(F.xxhash64("line_id"), F.lit(files)))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_id", "vid"], kind="stable")
+        shapes = [g[["x", "y", "z"]].to_numpy() for _, g in pdf.groupby("line_id")]
+        name = f"lines{key[0]}.shp"
+        system, at = open_fs(folder)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/{name}") as out:
+            out.write(encode_shp(shapes))
+        return pd.DataFrame({"name": [name], "n_lines": [len(shapes)]})
+
+    return dealt.groupBy("k").applyInPandas(run, "name string, n_lines long")
