@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..adapters import cell, pt, ring, river_arc, vertex, with_tables
 from ..config import RiverConfig
-from ..operators import fill, linework, raster, rivers
+from ..operators import contours, fill, linework, raster, rivers
 from ..operators import spatial as sp
 from ..operators.geodesic import plateau_distance
 from ..storage import cut
+from .raster_queries import OUTLETS, W, d8_sql, stored
 from .registry import query, r6
 from .spatial_queries import PIP, cross_sql
 
@@ -161,14 +162,45 @@ def m19(spark, sf_dir):
     return rivers.prepare_flowlines(lines, ring(spark, sf_dir), split=2_000_000.0, densify=300_000.0)
 
 
-@query("h15_segment_outline")
-def h15o(spark, sf_dir):
-    from ..operators.contours import segment_outlines
+#: Cells of a numbered grid with their watershed, border states of clockwise walks and the state each goes to.
+WALK = f"""{W}, {d8_sql()}, {OUTLETS}, g AS MATERIALIZED (SELECT c.sind, c.iy, c.ix, f.outlet AS seg FROM cell c JOIN flow f USING (sind)),
+clk(k, dy, dx) AS (VALUES (0, 0, -1), (1, -1, -1), (2, -1, 0), (3, -1, 1), (4, 0, 1), (5, 1, 1), (6, 1, 0), (7, 1, -1)),
+m AS MATERIALIZED (SELECT a.sind, a.seg, a.iy, a.ix, CAST(sum(CASE WHEN b.seg = a.seg THEN 1 << k ELSE 0 END) AS BIGINT) AS m
+ FROM g a CROSS JOIN clk LEFT JOIN g b ON b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY ALL),
+st AS (SELECT m.*, k AS d FROM m CROSS JOIN clk WHERE (m >> k) & 1 = 0 AND (m >> ((k + 1) % 8)) & 1 = 1 AND (k % 2 = 0 OR (m >> (k - 1)) & 1 = 0)),
+nx AS MATERIALIZED (SELECT st.sind, st.d, t.sind AS ns, (b.k + min(j.k)) % 8 AS nd
+ FROM st JOIN clk e ON e.k = st.d JOIN clk s ON s.k = (st.d + 1) % 8 JOIN clk b ON b.dy = e.dy - s.dy AND b.dx = e.dx - s.dx JOIN m t ON t.iy = st.iy + s.dy AND t.ix = st.ix + s.dx
+ JOIN clk j ON (t.m >> ((b.k + j.k + 1) % 8)) & 1 = 1 GROUP BY st.sind, st.d, t.sind, b.k)"""
+#: Outlines of the walks that begin in the states of ``b``, isolated cells of ``c0`` as they are.
+RINGS = """w AS (SELECT seg, CAST(0 AS BIGINT) AS pos, sind, d, sind AS s0, d AS d0 FROM b
+ UNION ALL SELECT w.seg, w.pos + 1, n.ns, n.nd, w.s0, w.d0 FROM w JOIN nx n ON n.sind = w.sind AND n.d = w.d WHERE NOT (n.ns = w.s0 AND n.nd = w.d0))
+SELECT w.seg, w.pos, c.iy, c.ix FROM w JOIN cell c USING (sind) UNION ALL SELECT m.seg, 0, m.iy, m.ix FROM m JOIN c0 USING (sind) WHERE m.m = 0"""
+
+
+def _segments(spark, sf_dir):
     from ..operators.flow import accumulate
 
     d8 = cut(raster.d8_directions(cell(spark, sf_dir), "z_tilt"), "d8")
-    flow = accumulate(d8).select("sind", F.col("outlet").alias("seg"))
-    return segment_outlines(d8.join(flow, "sind"))
+    return cut(d8.join(accumulate(d8).select("sind", F.col("outlet").alias("seg")), "sind").select("sind", "iy", "ix", "seg"), "segments")
+
+
+@query("h15_segment_outline", stored(f"""{WALK}, c0 AS (SELECT min(sind) AS sind FROM g GROUP BY seg),
+b AS (SELECT st.seg, st.sind, min(st.d) AS d FROM st JOIN c0 USING (sind) GROUP BY ALL), {RINGS}"""))
+def h15o(spark, sf_dir):
+    return contours.segment_outlines(_segments(spark, sf_dir))
+
+
+@query("h13_climbed_outline", stored(f"""{WALK}, h AS (SELECT max(iy) AS my FROM cell),
+up AS MATERIALIZED (SELECT a.sind, min(u.sind) AS nxt FROM g a CROSS JOIN h JOIN g u ON u.iy BETWEEN a.iy - 1 AND a.iy AND u.ix BETWEEN a.ix - 1 AND a.ix AND u.sind <> a.sind AND u.seg = a.seg
+ WHERE a.iy NOT IN (0, h.my) AND a.ix NOT IN (0, 99) GROUP BY a.sind),
+cl AS (SELECT seg, seg AS sind FROM g WHERE sind = seg UNION ALL SELECT cl.seg, up.nxt FROM cl JOIN up USING (sind)),
+c0 AS (SELECT cl.sind FROM cl LEFT JOIN up USING (sind) WHERE up.nxt IS NULL),
+o AS (SELECT m.sind, CASE WHEN m & 1 = 0 THEN 0 WHEN m & 4 = 0 THEN 2 WHEN m & 16 = 0 THEN 4 ELSE 6 END AS k FROM m JOIN c0 USING (sind)),
+b AS (SELECT m.seg, m.sind, (o.k + min(j.k)) % 8 AS d FROM o JOIN m USING (sind) JOIN clk j ON (m.m >> ((o.k + j.k + 1) % 8)) & 1 = 1 GROUP BY m.seg, m.sind, o.k), {RINGS}"""))
+def h13(spark, sf_dir):
+    cells = _segments(spark, sf_dir)
+    starts = contours.climbed_cells(cells, cells.filter("sind = seg"))
+    return contours.segment_outlines(cells, starts=starts)
 
 
 @query("h22_external_inflow", f"""{with_tables('cell', 'pt')}, b AS (SELECT sind, ix * 1.0E0 AS x, 0.0E0 AS y, z_tilt AS z FROM cell WHERE iy = 0),
