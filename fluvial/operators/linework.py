@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.exprs import segment_distance
 from ..storage import cut
 from .components import components
-from .spatial import _bin, nearest, node_lines, to_grid
+from .flow import accumulate
+from .spatial import _bin, nearest, node_lines, points_in_polygons, to_grid
 
 
 def merge_lines(segs: DataFrame, within: str | None = None) -> DataFrame:
@@ -196,41 +197,67 @@ def clean_arcs(lines: DataFrame, point_ratio: float, arc_ratio: float, rounds: i
     return segs
 
 
-def polygonize(segs: DataFrame) -> DataFrame:
-    """``poly_id, vid, x, y``: faces of noded segments, counter-clockwise, without the outside.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``id``, their place from 0 in an order that tells all rows apart; sorted by ranges, so in many tasks."""
+    ranged = cut(df.orderBy(*order).withColumn("part", F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # One row a task of the sort.
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(base), "part").select(*df.columns, (place + F.col("base")).cast("long").alias("id"))
+
+
+def half_edges(segs: DataFrame) -> DataFrame:
+    """``id, ax, ay, bx, by, face, pos``: both directions of noded segments, each in the face to its left.
 
-    Each connected part of the network is walked in a task of its own: at
-    every node the next side is the first one clockwise.
+    At every node the next side of a face is the first one clockwise, which
+    makes the half-edges a permutation. A face is one of its cycles, named by
+    its least half-edge (by coordinates), where its order begins; the order
+    comes from list ranking over pointers to the previous half-edge. Nothing
+    gathers a network or a face in one task, only the sides that meet in a node.
+    Segments without length and rows with nulls are left out, repeated ones and reversed ones count once.
     """
-    ends = segs.select(F.xxhash64("ax", "ay").alias("u"), F.xxhash64("bx", "by").alias("v"), "ax", "ay", "bx", "by")
-    names = components(ends, "u", "v").select(F.col("id").alias("u"), "component")
+    ends = ["ax", "ay", "bx", "by"]
+    given = segs.select(*ends).dropna().filter("ax != bx or ay != by")
+    both = given.union(given.select("bx", "by", "ax", "ay")).distinct()
+    edges = cut(numbered(both, *ends), "half-edges")
+    angle = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
+    node = Window.partitionBy("ax", "ay").orderBy(angle, "bx", "by")
+    last = F.last("id").over(node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    turned = edges.select(*ends, F.coalesce(F.lag("id").over(node), last).alias("to"))
+    twin = edges.select(F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("id").alias("from"))
+    links = cut(turned.join(twin, ends).select("to", "from"), "half-edge-links")
+    face = cut(components(links, "from", "to").select(F.col("id").alias("to"), F.col("component").alias("face")), "faces")
+    ranked = accumulate(links.join(face, "to").select(F.col("to").alias("sind"), F.when(F.col("face") != F.col("to"), F.col("from")).alias("nxt")))
+    return edges.join(ranked.select(F.col("sind").alias("id"), F.col("outlet").alias("face"), F.col("depth").alias("pos")), "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple, list[tuple]] = {}
-        for r in pdf.itertuples():
-            out.setdefault((r.ax, r.ay), []).append((r.bx, r.by))
-            out.setdefault((r.bx, r.by), []).append((r.ax, r.ay))
-        for p, o in out.items():
-            o.sort(key=lambda q, p=p: np.arctan2(q[1] - p[1], q[0] - p[0]))
-        used, rows, count = set(), [], 0
-        for p in sorted(out):
-            for q in out[p]:
-                if (p, q) in used:
-                    continue
-                face, a, b = [], p, q
-                while (a, b) not in used:
-                    used.add((a, b))
-                    face.append(a)
-                    around = out[b]
-                    a, b = b, around[around.index(a) - 1]
-                x, y = np.array(face).T
-                if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() > 1e-15:
-                    name = int(pdf["component"].iloc[0]) ^ count
-                    rows += [(name, i, *v) for i, v in enumerate(face)]
-                    count += 1
-        return pd.DataFrame(rows, columns=["poly_id", "vid", "x", "y"])
-
-    return ends.join(names, "u").groupBy("component").applyInPandas(run, "poly_id long, vid long, x double, y double")
+
+def polygonize(segs: DataFrame) -> DataFrame:
+    """``poly_id, vid, x, y``: faces of noded segments, counter-clockwise, without the outside of a connected part."""
+    edges = cut(half_edges(segs), "polygons")
+    area = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))
+    inner = edges.groupBy("face").agg(area.alias("a")).filter("a > 1e-15").select("face")
+    return edges.join(inner, "face").select(F.col("face").alias("poly_id"), F.col("pos").alias("vid"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+
+
+def face_holes(segs: DataFrame) -> DataFrame:
+    """``poly_id, hole_id, vid, x, y``: rings of islands within faces, clockwise, each in the smallest face around it.
+
+    An island is a part of the network that no side joins to the face; its
+    outside is a hole of the face that holds its first node.
+    """
+    edges = cut(half_edges(segs), "polygons")
+    area = edges.groupBy("face").agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("a"))
+    sized = cut(edges.join(area, "face"), "polygons")
+    rings = sized.filter("a > 1e-15").select(F.col("face").alias("poly_id"), F.col("pos").alias("vid"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    outer = sized.filter("a < -1e-15")
+    # A ring's first half-edge is its least, so its first node has no node of the ring to its left.
+    first = outer.filter("pos = 0").select(F.col("face").alias("hole_id"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    own = rings.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("poly_id").alias("touched")).distinct()
+    around = points_in_polygons(first, rings)
+    apart = around.join(own, (F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy")) & (F.col("poly_id") == F.col("touched")), "left_anti")
+    best = apart.join(area, F.col("poly_id") == F.col("face")).groupBy("hole_id").agg(F.min_by("poly_id", F.struct("a", "poly_id")).alias("poly_id"))
+    return outer.withColumnRenamed("face", "hole_id").join(best, "hole_id").select("poly_id", "hole_id", F.col("pos").alias("vid"), F.col("ax").alias("x"), F.col("ay").alias("y"))
 
 
 def clip_ring(ring: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
