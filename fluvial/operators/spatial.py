@@ -169,31 +169,40 @@ def segments(lines: DataFrame, closed: bool = False, line: str = "line_id") -> D
 
 
 def _seg_bins(segs: DataFrame, side: float, name: str, grow: float = 0.0) -> DataFrame:
-    lo = lambda a, b: _bin(F.least(a, b) - grow, side)
-    hi = lambda a, b: _bin(F.greatest(a, b) + grow, side)
-    cols = [F.col(c).alias(f"{name}_{c}") for c in segs.columns]
-    return (
-        segs.select(*cols, F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx"))).alias("gx"), F.col("ay").alias("_a"), F.col("by").alias("_b"))
-        .withColumn("gy", F.explode(F.sequence(_bin(F.least("_a", "_b") - grow, side), _bin(F.greatest("_a", "_b") + grow, side))))
-        .drop("_a", "_b")
+    """Segments with every bin (``gx, gy``) that they pass within ``grow``, columns renamed ``name_*``.
+
+    In each column of bins only the rows that the segment passes there count,
+    so bins grow with a segment's length and not with its bounding box. A
+    slack far above rounding keeps a point of the segment from missing its bin.
+    """
+    ax, ay, bx, by = (F.col(f"{name}_{c}") for c in ("ax", "ay", "bx", "by"))
+    slack = F.lit(grow + 1e-6 * side) + F.greatest(F.abs(ax), F.abs(ay), F.abs(bx), F.abs(by)) * 1e-14
+    x0, x1, y0, y1 = F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by)
+    within = lambda x: F.least(F.greatest(ay + (x - ax) * ((by - ay) / (bx - ax)), y0), y1)
+    ya = within(F.greatest(x0, F.col("gx") * side - slack))
+    yb = within(F.least(x1, (F.col("gx") + 1) * side + slack))
+    steep = x1 - x0 <= slack
+    low, high = F.when(steep, y0).otherwise(F.least(ya, yb)), F.when(steep, y1).otherwise(F.greatest(ya, yb))
+    rows = segs.select(*[F.col(c).alias(f"{name}_{c}") for c in segs.columns])
+    return rows.withColumn("gx", F.explode(F.sequence(_bin(x0 - slack, side), _bin(x1 + slack, side)))).withColumn(
+        "gy", F.explode(F.sequence(_bin(low - slack, side), _bin(high + slack, side)))
     )
 
 
 def crossing_segments(left: DataFrame, right: DataFrame, lkey: str = "line_id", rkey: str = "line_id", size: float | None = None) -> DataFrame:
-    """Pairs of segments that cross strictly, with the crossing's place on the left one (``t``)."""
+    """Pairs of segments (line and ``seg`` name one) that cross strictly, each once, with the crossing's place on the left one (``t``)."""
     side = size or max(float(left.select("ax", "ay", "bx", "by").union(right.select("ax", "ay", "bx", "by")).agg(
         F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 1.0) * 2, 1e-9)
     a = _seg_bins(left.withColumnRenamed(lkey, "line"), side, "l")
     b = _seg_bins(right.withColumnRenamed(rkey, "line"), side, "r")
     c = {k: F.col(k) for k in ("l_ax", "l_ay", "l_bx", "l_by", "r_ax", "r_ay", "r_bx", "r_by")}
     hit = segments_cross(*c.values())
-    x = F.greatest(F.least("l_ax", "l_bx"), F.least("r_ax", "r_bx"))
-    y = F.greatest(F.least("l_ay", "l_by"), F.least("r_ay", "r_by"))
-    once = (_bin(x, side) == F.col("gx")) & (_bin(y, side) == F.col("gy"))
     ux, uy = c["l_bx"] - c["l_ax"], c["l_by"] - c["l_ay"]
     vx, vy = c["r_bx"] - c["r_ax"], c["r_by"] - c["r_ay"]
     t = ((c["r_ax"] - c["l_ax"]) * vy - (c["r_ay"] - c["l_ay"]) * vx) / (ux * vy - uy * vx)
-    return a.join(b, ["gx", "gy"]).filter(hit & once).select("l_line", "l_seg", "r_line", "r_seg", t.alias("t"))
+    found = a.join(b, ["gx", "gy"]).filter(hit).select("l_line", "l_seg", "r_line", "r_seg", t.alias("t"))
+    # The crossing's bin is common to both, and perhaps some beside it.
+    return found.dropDuplicates(["l_line", "l_seg", "r_line", "r_seg"])
 
 
 def lines_meeting_polygons(lines: DataFrame, rings: DataFrame) -> DataFrame:
