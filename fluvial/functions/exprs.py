@@ -34,6 +34,62 @@ def degrees_to_length(d: Column, lat: Column) -> Column:
     return F.radians(d) * F.lit(EARTH_RADIUS) * F.cos(F.radians(lat))
 
 
+#: Semi-major axis in metres and flattening of the WGS 84 ellipsoid (fixed values).
+WGS84 = (6378137.0, 1 / 298.257223563)
+
+
+def _series(ellipsoid: tuple[float, float]) -> tuple[float, float, tuple, tuple, tuple]:
+    """Third flattening, rectifying radius and the coefficients of Krueger's series to its third power: forward, inverse, latitude."""
+    a, f = ellipsoid
+    n = f / (2 - f)
+    return (
+        n, a / (1 + n) * (1 + n**2 / 4 + n**4 / 64),
+        (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240),
+        (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480),
+        (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15),
+    )
+
+
+def lonlat_to_tm(
+    lon: Column, lat: Column, lon0: float, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0, ellipsoid: tuple[float, float] = WGS84,
+) -> tuple[Column, Column]:
+    """Transverse Mercator coordinates in metres around the meridian ``lon0``; the defaults are those of a UTM zone.
+
+    True to millimetres within a zone. A null in either gives nulls.
+    """
+    n, radius, alpha, _, _ = _series(ellipsoid)
+    e = 2 * n**0.5 / (1 + n)
+    sin = F.sin(F.radians(lat))
+    dl = F.radians(lon - F.lit(lon0))
+    t = F.sinh(F.atanh(sin) - F.lit(e) * F.atanh(F.lit(e) * sin))
+    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, c in enumerate(alpha, 1):
+        x, y = x + F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.lit(east) + F.lit(k0 * radius) * x, F.lit(north) + F.lit(k0 * radius) * y
+
+
+def tm_to_lonlat(
+    x: Column, y: Column, lon0: float, k0: float = 0.9996, east: float = 500000.0, north: float = 0.0, ellipsoid: tuple[float, float] = WGS84,
+) -> tuple[Column, Column]:
+    """Longitude and latitude of transverse Mercator coordinates, the inverse of :func:`lonlat_to_tm`."""
+    _, radius, _, beta, delta = _series(ellipsoid)
+    xi, eta = (y - F.lit(north)) / F.lit(k0 * radius), (x - F.lit(east)) / F.lit(k0 * radius)
+    u, v = xi, eta
+    for j, c in enumerate(beta, 1):
+        u, v = u - F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta), v - F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + F.lit(c) * F.sin(2 * j * chi)
+    return F.lit(lon0) + F.degrees(F.atan2(F.sinh(v), F.cos(u))), F.degrees(lat)
+
+
+def utm_zone(lon: Column) -> Column:
+    """Zone from 1 to 60 of a longitude; its meridian is ``6 * zone - 183``."""
+    return F.pmod(F.floor((lon + 180) / 6), F.lit(60)).cast("int") + 1
+
+
 def unit_vector(x: Column, y: Column) -> tuple[Column, Column]:
     n = F.sqrt(x * x + y * y)
     return x / n, y / n

@@ -27,6 +27,38 @@ def p2(spark, sf_dir):
     return pt(spark, sf_dir).select("pt_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
+#: Longitude and latitude around the meridian 9, and places in that zone, of every point.
+ZONE = """z AS (SELECT pt_id, x - floor(x / 6) * 6 + 6 AS lon, y - floor(y / 80) * 80 AS lat, 200000 + (x - floor(x / 6) * 6) * 1E5 AS px, (y - floor(y / 80) * 80) * 1E5 AS py FROM pt)"""
+
+
+def _zone(spark, sf_dir):
+    x, y = F.col("x") - F.floor(F.col("x") / 6) * 6, F.col("y") - F.floor(F.col("y") / 80) * 80
+    return pt(spark, sf_dir).select("pt_id", (x + 6).alias("lon"), y.alias("lat"), (F.lit(200000.0) + x * 1e5).alias("px"), (y * 1e5).alias("py"))
+
+
+_N, _A, _ALPHA, _BETA, _DELTA = ex._series(ex.WGS84)
+_E = 2 * _N**0.5 / (1 + _N)
+
+
+@query("s19_to_transverse_mercator", f"""{P}, {ZONE}, t AS (SELECT pt_id, radians(lon - 9) AS dl, sinh(atanh(sin(radians(lat))) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * sin(radians(lat)))) AS t FROM z),
+s AS (SELECT pt_id, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT pt_id, round(500000 + {0.9996 * _A!r}::DOUBLE * (eta + {' + '.join(f'{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, c in enumerate(_ALPHA, 1))}), 3) + 0.0E0 AS px,
+ round({0.9996 * _A!r}::DOUBLE * (xi + {' + '.join(f'{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, c in enumerate(_ALPHA, 1))}), 3) + 0.0E0 AS py FROM s""")
+def s19_forward(spark, sf_dir):
+    x, y = ex.lonlat_to_tm(F.col("lon"), F.col("lat"), 9.0)
+    return _zone(spark, sf_dir).select("pt_id", (F.round(x, 3) + 0.0).alias("px"), (F.round(y, 3) + 0.0).alias("py"))
+
+
+@query("s19_from_transverse_mercator", f"""{P}, {ZONE}, s AS (SELECT pt_id, py / {0.9996 * _A!r}::DOUBLE AS xi, (px - 500000) / {0.9996 * _A!r}::DOUBLE AS eta FROM z),
+u AS (SELECT pt_id, xi - ({' + '.join(f'{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)' for j, c in enumerate(_BETA, 1))}) AS u,
+ eta - ({' + '.join(f'{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)' for j, c in enumerate(_BETA, 1))}) AS v FROM s),
+c AS (SELECT pt_id, u, v, asin(sin(u) / cosh(v)) AS chi FROM u)
+SELECT pt_id, round(9 + degrees(atan2(sinh(v), cos(u))), 6) + 0.0E0 AS lon, round(degrees(chi + {' + '.join(f'{c!r}::DOUBLE * sin({2 * j} * chi)' for j, c in enumerate(_DELTA, 1))}), 6) + 0.0E0 AS lat FROM c""")
+def s19_inverse(spark, sf_dir):
+    lon, lat = ex.tm_to_lonlat(F.col("px"), F.col("py"), 9.0)
+    return _zone(spark, sf_dir).select("pt_id", r6(lon).alias("lon"), r6(lat).alias("lat"))
+
+
 @query("p3_length_to_degrees", f"{P} SELECT pt_id, round(x * 100 / {R} / cos(radians(30)) * degrees(1), 6) + 0.0E0 AS d FROM pt")
 def p3(spark, sf_dir):
     return pt(spark, sf_dir).select("pt_id", r6(ex.length_to_degrees(F.col("x") * 100, F.lit(30.0))).alias("d"))
