@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
+from fluvial.operators import spatial
+from fluvial.operators.spatial import nearest
 from fluvial.plans import ORACLE_SQL, QUERIES
 
 
@@ -25,3 +26,20 @@ def differences(spark, folder, name, **tables):
 def test_points_on_the_line_of_the_other_segment(spark, tmp_path):
     keys = spark.createDataFrame([(k,) for k in (0, 1, 74946, 134953, 288108, 408122, 561277, 774439, 834446)], "c_custkey long")
     assert differences(spark, tmp_path, "p7_segments_cross", customer=keys) == []
+
+
+@pytest.mark.parametrize("k, nonzero", [(1, False), (5, False), (3, True)])
+def test_nearest_of_far_queries_and_crowded_places(spark, k, nonzero):
+    """Two crowds far apart in small bins: a ring of bins around a query between them would have billions."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    spots = np.concatenate([rng.integers(0, 9, (60, 2)) / 300 - 900.0, rng.integers(0, 9, (60, 2)) / 300 + 700.0])
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)]
+    asked = [(i, float(x), float(y)) for i, (x, y) in enumerate([*rng.uniform(-1500, 1500, (20, 2)), *spots[::30], (-100.0, -100.0)])] + [(99, None, 1.0)]
+    found = nearest(spark.createDataFrame(asked, "qid long, x double, y double"), spark.createDataFrame(pts, "pt_id long, x double, y double"), k, 0.01, pid="pt_id", nonzero=nonzero)
+    want = []
+    for q, x, y in asked[:-1]:
+        d2 = sorted(((px - x) * (px - x) + (py - y) * (py - y), i) for i, px, py in pts)
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate([v for v in d2 if v[0] > 0 or not nonzero][:k])]
+    assert sorted((r.qid, r["rank"], r.pid, r.d2) for r in found.collect()) == want
