@@ -43,3 +43,14 @@ def test_nearest_of_far_queries_and_crowded_places(spark, k, nonzero):
         d2 = sorted(((px - x) * (px - x) + (py - y) * (py - y), i) for i, px, py in pts)
         want += [(q, r + 1, i, d) for r, (d, i) in enumerate([v for v in d2 if v[0] > 0 or not nonzero][:k])]
     assert sorted((r.qid, r["rank"], r.pid, r.d2) for r in found.collect()) == want
+
+
+def test_wide_boxes_in_few_places(spark, tmp_path, monkeypatch):
+    """Boxes that repeat places, in chunks of few keys: joined once a place, written out for every box."""
+    monkeypatch.setattr(spatial.box_shapes, "__defaults__", (16,))
+    tables = {"customer": spark.range(40).selectExpr("id * 37 AS c_custkey"), "supplier": spark.range(330).selectExpr("id AS s_suppkey")}
+    assert differences(spark, tmp_path, "j8_point_in_box", **tables) == []
+    boxes = [(k, 0, 0, 4, 4) for k in range(300)]
+    made = spark.createDataFrame(boxes, "tile_ord long, x0 long, y0 long, x1 long, y1 long")
+    assert max(len(r["_ids"]) for r in spatial.box_shapes(made, "tile_ord").collect()) < 100
+    assert spatial.overlapping_boxes(made, made, "tile_ord", "tile_ord").distinct().count() == 300 * 300
