@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from fluvial.operators import spatial
+from fluvial.operators import spatial, tiles
 from fluvial.operators.spatial import nearest
 from fluvial.plans import ORACLE_SQL, QUERIES
 
@@ -54,3 +54,21 @@ def test_wide_boxes_in_few_places(spark, tmp_path, monkeypatch):
     made = spark.createDataFrame(boxes, "tile_ord long, x0 long, y0 long, x1 long, y1 long")
     assert max(len(r["_ids"]) for r in spatial.box_shapes(made, "tile_ord").collect()) < 100
     assert spatial.overlapping_boxes(made, made, "tile_ord", "tile_ord").distinct().count() == 300 * 300
+
+
+def test_exploded_points_are_not_broadcast(spark, data):
+    """The estimated size of a table leaves out what explodes."""
+    plan = QUERIES["m16_feeder_extensions"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 2
+
+
+def test_first_valid_cell_of_equal_grids(spark, monkeypatch):
+    """Of many tiles of one grid, the first with a valid value at the point's own cell counts; points meet the grid once."""
+    met = []
+    monkeypatch.setattr(tiles, "points_in_boxes", lambda p, b: met.append(b.count()) or spatial.points_in_boxes(p, b))
+    tile = spark.range(50).selectExpr("id AS tile_ord", "0.0D AS x0", "0.0D AS y0", "1.0D AS dx", "1.0D AS dy", "2 AS nx", "1 AS ny")
+    cells = spark.range(50).selectExpr("id AS tile_ord", "0L AS iy", "explode(array(0L, 1L)) AS ix", "id * 1.0D AS z")
+    points = spark.createDataFrame([(1, 0.2, 0.1), (2, 0.9, 0.0), (3, 9.0, 0.0)], "pt_id long, x double, y double")
+    got = {r.pt_id: r.z for r in tiles.elevations_by_priority(points, tile, cells, (7, 90)).collect()}
+    assert got == {1: 7.0, 2: 7.0, 3: None}
+    assert met == [1]
