@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TextWorkspace, calm_collector, join_hot, table
+from .common import TextWorkspace, calm_collector, join_hot, small_batches, table
 from .shingles import mix64
 
 
@@ -155,8 +155,11 @@ def _count(p: PhraseParameters, size: int, shared, final: bool):
         waiting = 0
 
         def flush():
-            for lang, (ids, parts) in held.items():
+            while held:
+                # What is counted is let go at once, a language after the other.
+                lang, (ids, parts) = held.popitem()
                 seq, hashes = np.concatenate(parts), word_hash(lang, ids.words)
+                parts.clear()
                 starts = _starts(seq, size)
                 if maps:
                     by_word = [hashes[c] for c in _columns(seq, starts, size)]
@@ -164,10 +167,12 @@ def _count(p: PhraseParameters, size: int, shared, final: bool):
                     keep = maps[1](gram_hashes(by_word[:-1])) & maps[1](gram_hashes(by_word[1:]))
                     keep[keep] = maps[0](gram_hashes([c[keep] for c in by_word]))
                     starts = starts[keep]
+                    del by_word, keep
                 grams, counts = _distinct(_columns(seq, starts, size))
                 for at in range(0, len(grams), 10_000):
                     names = [b" ".join([ids.words[w] for w in row]) for row in grams[at : at + 10_000].tolist()]
                     yield _emit([lang] * len(names), names, counts[at : at + 10_000])
+                del grams, counts
                 if not final:
                     # Only where both n-grams of this size are counted can the longer one be frequent.
                     counted = np.zeros(len(seq) + 1, bool)
@@ -177,7 +182,6 @@ def _count(p: PhraseParameters, size: int, shared, final: bool):
                     # A count at the support is enough, so a byte holds it.
                     slot, more = np.unique(at, return_counts=True)
                     buckets[slot] = np.minimum(buckets[slot].astype(np.int64) + more, p.support)
-            held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
@@ -251,7 +255,10 @@ def _bitmap(counts: DataFrame, bits: int, support: int) -> BitMap:
     size = min(_BLOCK, 1 << bits) // 8
     packed = np.zeros((1 << bits) // 8, np.uint8)
     rows = counts.repartition("block").sortWithinPartitions("block").mapInArrow(_full_blocks(support), "block int, bits binary")
-    for block, raw in rows.collect():
+    # A row is a block of _BLOCK bytes, so a batch of the usual number of rows would be 160 MB.
+    with small_batches(counts.sparkSession):
+        found = rows.collect()
+    for block, raw in found:
         packed[block * size : (block + 1) * size] = np.frombuffer(raw, np.uint8)
     return BitMap(packed, bits)
 

@@ -103,3 +103,27 @@ def test_sql_gives_the_same_rows(spark, data):
     want = sorted(tuple(r) for r in con.execute(OP13_SQL).fetchall())
     have = sorted(tuple(r) for r in collocations(spark.read.parquet(f"{data}/documents.parquet")).collect())
     assert have == want and want
+
+
+def test_blocks_reach_python_in_small_batches(spark, monkeypatch):
+    """A row of bucket counts is a whole block, so batches are bounded by bytes."""
+    import fluvial.llm.phrases as m
+
+    real, bits, blocks = m._full_blocks, 25, 1200
+
+    def watched(support):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    if batch.nbytes > 8 << 20:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return real(support)(seen())
+
+        return run
+
+    monkeypatch.setattr(m, "_full_blocks", watched)
+    rows = spark.range(blocks, numPartitions=1).selectExpr("CAST(id AS INT) AS block", f"CAST(repeat(chr(10), {1 << 14}) AS BINARY) AS counts")
+    found = m._bitmap(rows, bits, 10)
+    assert np.unpackbits(found._packed).sum() == blocks << 14
