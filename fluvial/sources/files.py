@@ -1,8 +1,8 @@
 """File formats as DataFrames.
 
 Readers take whole files as bytes through Spark's ``binaryFile`` source, so any
-file system and glob works and every file is one task's work; writers use the
-text source. Row numbers come from a row's place in its file.
+file system and glob works and every file is one task's work, but for meshes,
+whose lines are read by blocks; writers use the text source. Row numbers come from a row's place in its file.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.raster import mask_nodata
 from ..storage import cut
@@ -293,26 +294,32 @@ def write_map(lines: DataFrame, path: str) -> None:
     head.unionByName(nodes).unionByName(body).orderBy("part", "seg").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, n, value``: lines of text files with their place from 0; a file is read by blocks in many tasks.
+
+    Lines are counted a block, so only one row a block is put in order.
+    """
+    lines = cut(spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    ), "lines")
+    blocks = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("path", "start", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return lines.join(F.broadcast(base), ["path", "start"]).select("path", (F.col("at") + F.col("base")).alias("n"), "value")
+
+
 def read_gr3(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes ``node_id, x, y, dp`` and elements ``elem_id, i34, n1..n4`` of a mesh file (ids from 1; -2 for no corner)."""
-
-    def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
-        lines = content.decode().split("\n")
-        ne, np_ = (int(v) for v in lines[1].split()[:2])
-        rows = []
-        for k, line in enumerate(lines[2 : 2 + np_ + ne]):
-            w = line.split()
-            if k < np_:
-                rows.append((0, int(w[0]), float(w[1]), float(w[2]), float(w[3]), 0, -2, -2, -2, -2))
-            else:
-                n = [int(v) for v in w[2 : 2 + int(w[1])]]
-                rows.append((1, int(w[0]), 0.0, 0.0, 0.0, int(w[1]), *(n + [-2])[:4]))
-        yield pd.DataFrame(rows, columns=["kind", "id", "x", "y", "dp", "i34", "n1", "n2", "n3", "n4"])
-
-    rows = cut(_parse(spark, path, "kind int, id long, x double, y double, dp double, i34 int, n1 long, n2 long, n3 long, n4 long", parse), "gr3")
+    rows = numbered_lines(spark, path).withColumn("w", F.split(F.btrim("value", F.lit(" \t\r\x0b\x0c")), r"\s+"))
+    num = lambda i, t: F.get("w", F.lit(i)).cast(t)
+    # One row a file; written, since null checks of the sizes would else be made on every line.
+    sizes = cut(rows.filter("n = 1").select("path", num(0, "long").alias("ne"), num(1, "long").alias("np")), "mesh-sizes")
+    rows = rows.filter("n > 1").join(F.broadcast(sizes), "path")
+    elems = rows.filter((F.col("n") >= F.col("np") + 2) & (F.col("n") < F.col("np") + F.col("ne") + 2))
+    corner = lambda k: F.when(num(1, "int") >= k, F.coalesce(num(k + 1, "long"), F.lit(-2))).otherwise(-2).cast("long")
     return (
-        rows.filter("kind = 0").select(F.col("id").alias("node_id"), "x", "y", "dp"),
-        rows.filter("kind = 1").select(F.col("id").alias("elem_id"), "i34", "n1", "n2", "n3", "n4"),
+        rows.filter(F.col("n") < F.col("np") + 2).select(num(0, "long").alias("node_id"), num(1, "double").alias("x"), num(2, "double").alias("y"), num(3, "double").alias("dp")),
+        elems.select(num(0, "long").alias("elem_id"), num(1, "int").alias("i34"), *[corner(k).alias(f"n{k}") for k in (1, 2, 3, 4)]),
     )
 
 

@@ -77,3 +77,22 @@ def test_quad_polygons_catalog_and_variables(spark, tmp_path):
 def test_merge_maps(spark):
     a = spark.range(2).select(F.col("id").alias("line_id"))
     assert fs.merge_maps(a, a).groupBy("map_id").count().count() == 2
+
+
+def test_mesh_file_is_read_by_blocks(spark, tmp_path):
+    """Many blocks of one file give the same rows, and no task reads the whole file."""
+    n = 3000
+    nodes = [f"{i} {i * 0.5} {-i} 1e-3" for i in range(1, n + 1)]
+    elems = [f" {i}\t3 {i} {i + 1} {i + 2}" if i % 2 else f"{i} 4 {i} {i + 1} {i + 2} {i + 3}" for i in range(1, 1001)]
+    path = str(tmp_path / "big.gr3")
+    with open(path, "w") as f:
+        f.write("\n".join(["title", f"1000 {n}", *nodes, *elems, "0 = Number of open boundaries", "0 = Total"]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = fs.numbered_lines(spark, path)
+        assert [r[0] for r in lines.orderBy("n").select("value").collect()][2:5] == nodes[:3]
+        found, e = fs.read_gr3(spark, path)
+        assert [tuple(r) for r in found.orderBy("node_id").collect()] == [(i, i * 0.5, float(-i), 1e-3) for i in range(1, n + 1)]
+        assert [tuple(r) for r in e.orderBy("elem_id").collect()] == [(i, 3, i, i + 1, i + 2, -2) if i % 2 else (i, 4, i, i + 1, i + 2, i + 3) for i in range(1, 1001)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
