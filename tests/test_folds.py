@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fluvial.operators import arcs as ar
 from fluvial.operators.folds import fold_groups
+from fluvial.operators.linework import merge_lines
 
 
 def test_groups_are_whole_in_order_and_share_batches(spark):
@@ -31,3 +32,11 @@ def test_small_groups_do_not_go_to_python_one_by_one(spark):
     rows = spark.range(40).select("id", (F.col("id") % 9).alias("line_id"), F.col("id").alias("vid"), *[(F.col("id") * m % 11).cast("double").alias(c) for m, c in ((1, "x"), (2, "y"), (3, "bx"), (5, "by"))])
     plan = ar.smooth_bank(rows.select("line_id", "vid", "x", "y", "bx", "by"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_chains_do_not_go_to_python_one_by_one(spark):
+    segs = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 2.0, 0.0), (5.0, 5.0, 6.0, 5.0)], "ax double, ay double, bx double, by double")
+    merged = merge_lines(segs)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    assert sorted((r.vid, r.x, r.y) for r in merged.collect()) == [(0, 0.0, 0.0), (0, 5.0, 5.0), (1, 1.0, 0.0), (1, 6.0, 5.0), (2, 2.0, 0.0)]
