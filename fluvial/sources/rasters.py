@@ -252,13 +252,14 @@ def write_rasters(cells: DataFrame, folder: str, tile: int, x0: float, y0: float
     return tiled.groupBy("ty", "tx").applyInPandas(run, "name string, ny long, nx long")
 
 
-def write_shapes(lines: DataFrame, folder: str, files: int) -> DataFrame:
+def write_shapes(lines: DataFrame, folder: str, files: int, most: int = 500_000) -> DataFrame:
     """Lines ``line_id, vid, x, y, z`` as shape files, each written by a task of its own; ``name, n_lines``.
 
-    A line is whole in the file that its id falls to. With ``files`` in
-    proportion to the lines no task holds more than its share; reading the
-    folder merges them.
+    A line is whole in the file that its id falls to. Each of ``files`` is cut
+    into as many as keep about ``most`` vertices in one, so that no task holds
+    more; reading the folder merges them.
     """
+    files *= max(1, -(-lines.count() // (files * most)))
     dealt = lines.select("line_id", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"]).withColumn("k", F.pmod(F.xxhash64("line_id"), F.lit(files)))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
