@@ -1,8 +1,8 @@
 """File formats as DataFrames.
 
 Readers take whole files as bytes through Spark's ``binaryFile`` source, so any
-file system and glob works and every file is one task's work, but for meshes,
-whose lines are read by blocks; writers use the text source. Row numbers come from a row's place in its file.
+file system and glob works and every file is one task's work, but for meshes
+and maps, whose lines are read by blocks; writers use the text source. Row numbers come from a row's place in its file.
 """
 
 from __future__ import annotations
@@ -212,55 +212,68 @@ def read_tiff_boxes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _parse(spark, path, "path string, x0 double, y0 double, x1 double, y1 double", parse)
 
 
+#: Lines of a file that are put in order together.
+LINE_CHUNK = 8192
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``line_id``: place from 0 of every row among those of its file by line ``n``; only counts a chunk of lines are put in order."""
+    before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("path", "chunk").agg(F.count(F.lit(1)).alias("size"))
+    base = cut(sizes.select("path", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "map-base")
+    here = F.row_number().over(Window.partitionBy("path", "chunk").orderBy("n")) - 1
+    return rows.withColumn("line_id", here).join(F.broadcast(base), ["path", "chunk"]).withColumn("line_id", F.col("line_id") + F.col("base")).drop("base")
+
+
 def read_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Vertices ``path, kind, line_id, vid, x, y, z`` of map files: arcs (end nodes included) and detached points.
 
-    A file that states a coordinate system other than WGS 84 is refused.
+    A file that states a coordinate system other than WGS 84 is refused. Lines
+    are dealt by chunks, each knowing the last block that opened before it; an arc is one row.
     """
-
-    def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
-        nodes, arcs, points, arc, mode = {}, [], [], None, ""
-        pending = None
-        for line in content.decode().splitlines():
-            w = line.split()
-            if not w:
-                continue
-            key = w[0]
-            if key == "COORD_SYS" or key.startswith("COV_WKT"):
-                if "WGS" not in line and key.startswith("COV_WKT"):
-                    raise ValueError("only WGS 84 maps are read")
-            elif key in ("NODE", "POINT"):
-                mode = key
-            elif key == "ARC":
-                arc, mode = {"nodes": None, "verts": []}, "ARC"
-            elif key == "NODES" and arc is not None:
-                arc["nodes"] = (int(w[1]), int(w[2]))
-            elif key == "ARCVERTICES" and arc is not None:
-                pending = int(w[1])
-            elif key == "XY":
-                spot = tuple(float(v) for v in w[1:4])
-                if mode == "POINT":
-                    points.append(spot)
-                else:
-                    pending_node = spot
-            elif key == "ID" and mode == "NODE":
-                nodes[int(w[1])] = pending_node
-            elif key == "END":
-                if mode == "ARC" and arc is not None:
-                    arcs.append(arc)
-                    arc = None
-                mode = ""
-            elif pending and arc is not None:
-                arc["verts"].append(tuple(float(v) for v in w[:3]))
-                pending -= 1
-        rows = []
-        for i, a in enumerate(arcs):
-            chain = [nodes[a["nodes"][0]], *a["verts"], nodes[a["nodes"][1]]]
-            rows += [(name, "arc", i, k, *p) for k, p in enumerate(chain)]
-        rows += [(name, "point", i, 0, *p) for i, p in enumerate(points)]
-        yield pd.DataFrame(rows, columns=["path", "kind", "line_id", "vid", "x", "y", "z"])
-
-    return _parse(spark, path, "path string, kind string, line_id long, vid long, x double, y double, z double", parse)
+    w = F.split(F.btrim("value", F.lit(" \t\r\x0b\x0c")), r"\s+")
+    key = F.when(w[0].startswith("COV_WKT") & ~F.contains("value", F.lit("WGS")), F.raise_error(F.lit("only WGS 84 maps are read"))).otherwise(w[0])
+    lines = numbered_lines(spark, path).select("path", "n", F.floor(F.col("n") / LINE_CHUNK).alias("chunk"), w.alias("w"), key.alias("key")).filter("key != ''")
+    mark = F.when(F.col("key").isin("NODE", "POINT", "ARC", "END"), F.struct("n", "key"))
+    before = Window.partitionBy("path").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = lines.groupBy("path", "chunk").agg(F.max(mark).alias("mark"))
+    carried = cut(last.select("path", "chunk", F.max("mark").over(before).alias("carried")), "map-marks")
+    earlier = Window.partitionBy("path", "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    within = lines.withColumn("prev", F.last(mark, ignorenulls=True).over(earlier)).join(F.broadcast(carried), ["path", "chunk"])
+    # An END line belongs to the block that it closes; lines behind it belong to none.
+    opened = F.when(F.col("key") != "END", mark)
+    block = F.coalesce(opened, "prev", "carried")
+    # Other words than numbers lie between an arc's first line and its vertices.
+    num = lambda i: F.get("w", F.lit(i)).try_cast("double")
+    known = F.col("key").isin("NODE", "POINT", "ARC", "END", "COORD_SYS", "NODES", "ARCVERTICES", "XY", "ID") | F.col("key").startswith("COV_WKT")
+    count = lambda i: F.get("w", F.lit(i)).cast("long")
+    spot = lambda at: F.struct("n", *[num(at + i).alias(c) for i, c in enumerate("xyz")])
+    rows = within.select("path", "n", "chunk", "w", "key", block.alias("block")).filter("block.key != 'END'").select(
+        "path", "n", "chunk", "key", F.col("block.n").alias("open"), F.col("block.key").alias("kind"),
+        F.when(F.col("key").isin("NODES", "ARCVERTICES", "ID"), count(1)).alias("one"), F.when(F.col("key") == "NODES", count(2)).alias("two"),
+        F.when(F.col("key") == "XY", spot(1)).when((F.col("block.key") == "ARC") & ~known, spot(0)).alias("spot"),
+    )
+    rows = cut(rows, "map-lines")
+    only = lambda key, c: F.max(F.when(F.col("key") == key, F.col(c)))
+    nodes = rows.filter("kind = 'NODE'").groupBy("path", "open").agg(only("ID", "one").alias("id"), only("XY", "spot").alias("p"))
+    nodes = nodes.filter("id is not null").groupBy("path", "id").agg(F.max_by("p", "open").alias("p"))
+    arcs = rows.filter("kind = 'ARC'").groupBy("path", F.col("open").alias("n")).agg(
+        only("NODES", "one").alias("from"), only("NODES", "two").alias("to"), only("ARCVERTICES", "n").alias("start"), only("ARCVERTICES", "one").alias("size"),
+        F.collect_list(F.when(F.col("key") != "XY", F.col("spot"))).alias("v"), F.max(F.col("key") == "END").alias("closed"),
+    ).filter("closed").withColumn("chunk", F.floor(F.col("n") / LINE_CHUNK))
+    arcs = _ranked(cut(arcs, "map-arcs"))
+    for end in ("from", "to"):
+        at = nodes.select("path", F.col("id").alias(end), F.col("p").alias(f"{end}_p"))
+        arcs = arcs.join(at, ["path", end], "left")
+    given = lambda v: F.coalesce(v, F.raise_error(F.lit("a coordinate is missing or no number")))
+    place = lambda v: F.struct(*[given(v[c]).alias(c) for c in "xyz"])
+    tip = lambda c: place(F.coalesce(F.col(c), F.raise_error(F.lit("an arc names a node that the map lacks"))))
+    inner = F.slice(F.array_sort(F.filter("v", lambda v: v["n"] > F.col("start"))), 1, F.col("size").cast("int"))
+    inner = F.coalesce(F.transform(inner, place), F.expr("cast(array() as array<struct<x:double,y:double,z:double>>)"))
+    chain = arcs.select("path", "line_id", F.posexplode(F.concat(F.array(tip("from_p")), inner, F.array(tip("to_p")))).alias("vid", "p"))
+    points = _ranked(rows.filter("kind = 'POINT' and key = 'XY'").select("path", "n", "chunk", F.col("spot").alias("p"))).withColumn("vid", F.lit(0))
+    vertex = lambda df, kind: df.select("path", F.lit(kind).alias("kind"), "line_id", F.col("vid").cast("long").alias("vid"), *[given(F.col(f"p.{c}")).alias(c) for c in "xyz"])
+    return vertex(chain, "arc").unionByName(vertex(points, "point"))
 
 
 #: First lines of a map file (fixed format).
@@ -348,6 +361,8 @@ def read_2dm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 #: Shape kinds whose vertices are read, with whether z values follow (fixed values).
 _SHAPES = {3: False, 5: False, 13: True, 15: True}
+#: Vertices of shape files after which a batch of rows goes on to Spark.
+SHAPE_BATCH = 1 << 16
 
 
 def read_shp(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -357,7 +372,12 @@ def read_shp(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
 
     def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
-        at, i, rows = 100, 0, []
+        at, i, held, found = 100, 0, 0, []
+
+        def frame() -> pd.DataFrame:
+            cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 6
+            return pd.DataFrame({"path": name, **dict(zip(("line_id", "part", "vid", "x", "y", "z"), cols, strict=True))})
+
         while at < len(content):
             size = struct.unpack(">I", content[at + 4 : at + 8])[0] * 2
             rec = content[at + 8 : at + 8 + size]
@@ -367,15 +387,19 @@ def read_shp(spark: SparkSession, path: str | list[str]) -> DataFrame:
             parts, n = struct.unpack("<ii", rec[36:44])
             if parts > 1 and kind in (3, 13):
                 raise ValueError(f"record {i} has several parts")
-            starts = [*struct.unpack(f"<{parts}i", rec[44 : 44 + 4 * parts]), n]
+            starts = np.array([*struct.unpack(f"<{parts}i", rec[44 : 44 + 4 * parts]), n])
             p0 = 44 + 4 * parts
             xy = np.frombuffer(rec[p0 : p0 + 16 * n], "<f8").reshape(n, 2)
             z = np.frombuffer(rec[p0 + 16 * n + 16 : p0 + 24 * n + 16], "<f8") if _SHAPES[kind] else np.zeros(n)
-            for part in range(parts):
-                for v in range(starts[part], starts[part + 1]):
-                    rows.append((name, i, part, v - starts[part], xy[v, 0], xy[v, 1], z[v]))
-            at, i = at + 8 + size, i + 1
-        yield pd.DataFrame(rows, columns=["path", "line_id", "part", "vid", "x", "y", "z"])
+            sizes = np.diff(starts)
+            part, first = np.repeat(np.arange(parts), sizes), np.repeat(starts[:-1], sizes)
+            mine = np.arange(starts[0], n)
+            found.append((np.full(len(mine), i), part, mine - first, xy[mine, 0], xy[mine, 1], z[mine]))
+            at, i, held = at + 8 + size, i + 1, held + len(mine)
+            if held >= SHAPE_BATCH:
+                yield frame()
+                held, found = 0, []
+        yield frame()
 
     return _parse(spark, path, "path string, line_id long, part int, vid long, x double, y double, z double", parse)
 

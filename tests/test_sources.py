@@ -96,3 +96,73 @@ def test_mesh_file_is_read_by_blocks(spark, tmp_path):
         assert [tuple(r) for r in e.orderBy("elem_id").collect()] == [(i, 3, i, i + 1, i + 2, -2) if i % 2 else (i, 4, i, i + 1, i + 2, i + 3) for i in range(1, 1001)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def old_map(content):
+    """Vertices of one map, line after line."""
+    nodes, arcs, points, arc, mode, pending, spot = {}, [], [], None, "", 0, None
+    for w in (line.split() for line in content.splitlines()):
+        if not w:
+            continue
+        if w[0] in ("NODE", "POINT"):
+            mode = w[0]
+        elif w[0] == "ARC":
+            arc, mode = {"nodes": None, "v": []}, "ARC"
+        elif w[0] == "NODES" and arc is not None:
+            arc["nodes"] = (int(w[1]), int(w[2]))
+        elif w[0] == "ARCVERTICES" and arc is not None:
+            pending = int(w[1])
+        elif w[0] == "XY":
+            spot = tuple(map(float, w[1:4]))
+            if mode == "POINT":
+                points.append(spot)
+        elif w[0] == "ID" and mode == "NODE":
+            nodes[int(w[1])] = spot
+        elif w[0] == "END":
+            if mode == "ARC" and arc is not None:
+                arcs.append(arc)
+                arc = None
+            mode = ""
+        elif pending and arc is not None:
+            arc["v"].append(tuple(map(float, w[:3])))
+            pending -= 1
+    rows = [("arc", i, k, *p) for i, a in enumerate(arcs) for k, p in enumerate([nodes[a["nodes"][0]], *a["v"], nodes[a["nodes"][1]]])]
+    return sorted(rows + [("point", i, 0, *p) for i, p in enumerate(points)])
+
+
+def test_map_file_is_read_by_blocks(spark, tmp_path, monkeypatch):
+    """Blocks across chunks of lines and of the file give the rows of a plain reader; no task reads the whole file."""
+    text = ["MAP VERSION 8", "BEGCOV", "COVELEV 0.0", 'COV_WKT GEOGCS["GCS_WGS_1984"]END_COV_WKT']
+    for i in range(1, 301):
+        text += ["NODE", f"XY {i * 0.5} {-i} 1e-3", f"ID {i}", "END", ""]
+    for i in range(1, 200):
+        text += ["POINT", f"XY {i} {i} 0.0", f"ID {i}", "END"] if i % 9 == 0 else []
+        text += ["ARC", f"ID {i}", "ARCELEVATION 0.0", f"NODES {i} {i + 100}", *([f"ARCVERTICES {i % 40}", *[f" {k}.5 {i}.0 2.0\t" for k in range(i % 40)]] if i % 40 else []), "DISTNODE 0", "NODETYPE 0", "ARCBIAS 1", "MERGED 0 0 0 0", "END"]
+    content = "\r\n".join([*text, "ENDCOV", "BEGTS", "LEND", ""])
+    (tmp_path / "a.map").write_bytes(content.encode())
+    assert (tmp_path / "b").mkdir() is None
+    (tmp_path / "b" / "bad.map").write_text(content.replace("WGS", "NAD"))
+    monkeypatch.setattr(fs, "LINE_CHUNK", 16)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = fs.read_map(spark, str(tmp_path / "a.map"))
+        assert sorted((r.kind, r.line_id, r.vid, r.x, r.y, r.z) for r in found.collect()) == old_map(content)
+        assert "MapInPandas" not in found._jdf.queryExecution().toString() and "binaryFile" not in found._jdf.queryExecution().toString()
+        with pytest.raises(Exception, match="only WGS 84"):
+            fs.read_map(spark, str(tmp_path / "b" / "bad.map")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_shape_files_are_bounded(spark, tmp_path, monkeypatch):
+    """More lines make more files, and a file's vertices leave the reader in batches."""
+    from fluvial.sources import rasters as rs
+
+    lines = spark.range(300).selectExpr("id AS line_id", "explode(sequence(0L, 4L)) AS vid").selectExpr("*", "line_id * 1.5D AS x", "vid * 1.0D AS y", "0.0D AS z").cache()
+    made = rs.write_shapes(lines, str(tmp_path / "s"), 4, 100).collect()
+    assert len(made) > 12 and sum(r.n_lines for r in made) == 300 and max(r.n_lines for r in made) < 60
+    monkeypatch.setattr(fs, "SHAPE_BATCH", 7)
+    found = fs.read_shp(spark, str(tmp_path / "s" / "*.shp"))
+    assert sorted(tuple(r) for r in found.select("x", "vid", "y", "z").collect()) == sorted(tuple(r) for r in lines.select("x", "vid", "y", "z").collect())
+    ids = found.select("path", "line_id").distinct().groupBy("path").count().collect()
+    assert sum(r["count"] for r in ids) == 300
