@@ -14,7 +14,8 @@ def accumulate(edges: DataFrame, key: str = "sind", nxt: str = "nxt", weight: st
     """``sind, acc, outlet, depth``: cells upstream with itself, terminal cell and steps to it.
 
     Round k lets every cell know 2**k steps: values go to the pointed-to cell,
-    then pointers double. Each round costs two shuffles of active rows; the
+    then pointers double. Each round costs two shuffles of active rows, those that
+    have not ended or that a pointer shows; the
     rounds are about log2 of the longest path, not of the table. A path has no
     more steps than there are cells, so a pointer that is left after log2 of
     their number lies on or leads to a loop: outlet, acc and depth are null.
@@ -33,12 +34,15 @@ def _follow(edges: DataFrame, key: str, nxt: str, weight: str | None = None) ->
         F.when(F.col(nxt).isNull(), F.col(key)).alias("outlet"), F.when(F.col(nxt).isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),
     )
     ws = Workspace(edges.sparkSession, "flow")
-    state = ws.keep(start, "state")
-    for _ in range(state.count().bit_length() + 1):
+    table = ws.keep(start.withColumn("asked", F.lit(True)), "state")
+    kept = []
+    for _ in range(table.count().bit_length() + 1):
+        # New pointers show only where pointers have shown, so an ended row that none shows is done and stays in its table.
+        state = table.filter("ptr is not null or asked")
         live = state.filter("ptr is not null")
         if live.limit(1).count() == 0:
             break
-        got = live.groupBy(F.col("ptr").alias("sind")).agg(F.try_sum("acc").alias("more"))
+        got = live.groupBy(F.col("ptr").alias("sind")).agg(F.try_sum("acc").alias("more"), F.lit(True).alias("asked"))
         far = state.select(
             F.col("sind").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("outlet").alias("outlet2"), F.col("depth").alias("depth2")
         )
@@ -47,18 +51,23 @@ def _follow(edges: DataFrame, key: str, nxt: str, weight: str | None = None) ->
             F.coalesce("outlet2", F.when(F.col("ptr2").isNull(), F.col("ptr"))).alias("outlet"),
             (F.col("depth") + F.col("depth2")).alias("depth"),
         )
-        ended = state.filter("ptr is null")
+        ended = state.filter("ptr is null").drop("asked")
         after = ws.keep(
             moved.unionByName(ended).join(got, "sind", "left").select(
                 # Along a loop the sums double each round and may pass 64 bits; such cells get null in the end.
-                "sind", "ptr", F.try_add("acc", F.coalesce("more", F.lit(0))).alias("acc"), "outlet", "depth"
+                "sind", "ptr", F.try_add("acc", F.coalesce("more", F.lit(0))).alias("acc"), "outlet", "depth", F.coalesce("asked", F.lit(False)).alias("asked")
             ),
             "state",
         )
-        ws.drop(state)
-        state = after
-    ws.clear(state)
-    return state
+        if table.filter("ptr is null and not asked").limit(1).count():
+            kept.append(table)
+        else:
+            ws.drop(table)
+        table = after
+    ws.clear(table, *kept)
+    for done in kept:
+        table = table.unionByName(done.filter("ptr is null and not asked"))
+    return table.drop("asked")
 
 
 def loop_flags(edges: DataFrame, key: str = "sind", nxt: str = "nxt") -> DataFrame:

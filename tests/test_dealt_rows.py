@@ -29,3 +29,22 @@ def test_nearest_deals_a_query_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "POINT_CHUNK", 2)
     few = spatial.nearest(qs.filter("qid < 50"), pts, 3, 1.0, pid="nid").collect()
     assert sorted((r.qid, r["rank"], r.pid) for r in few) == [(i, k + 1, v[1]) for i, p in enumerate(asked[:50]) for k, v in enumerate(best(p, 3))]
+
+
+def test_ended_paths_are_done(spark, monkeypatch):
+    """Rows whose path has ended and that no pointer shows take no part in further rounds; a long path asks for ten."""
+    from fluvial.operators import flow
+
+    edges = [(i, i + 1 if i < 600 else None) for i in range(601)] + [(i, i - 1 if i % 2 else None) for i in range(1000, 21000)]
+    keep, written = flow.Workspace.keep, []
+
+    def counted(self, df, label):
+        back = keep(self, df, label)
+        written.append(back.count())
+        return back
+
+    monkeypatch.setattr(flow.Workspace, "keep", counted)
+    found = flow.accumulate(spark.createDataFrame(edges, "sind long, nxt long")).collect()
+    assert sum(written) < 4 * len(edges)
+    want = [(i, i + 1, 600, 600 - i) for i in range(601)] + [(i, 1, i - 1, 1) if i % 2 else (i, 2, i, 0) for i in range(1000, 21000)]
+    assert sorted((r.sind, r.acc, r.outlet, r.depth) for r in found) == want
