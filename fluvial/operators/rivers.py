@@ -32,15 +32,17 @@ def with_levels(lines: DataFrame, sample: Sampler, cfg: RiverConfig) -> DataFram
 
 
 def find_banks(lines: DataFrame, sample: Sampler, cfg: RiverConfig, spacing: float) -> DataFrame:
-    """:func:`arcs.two_banks` of lines with ``eta``: first step on both sides that is not under water."""
+    """:func:`arcs.two_banks` of lines with ``eta``: first step on both sides that is not under water.
+
+    Samples are not written down: a vertex's are one row again where they were
+    made, and the place of a bank follows from its step.
+    """
     length, steps = cfg.river_threshold[1] * 1.1, max(2, int(cfg.river_threshold[1] / spacing) * 2)
     rows, sides = se.normals(lines), {}
     for side in ("left", "right"):
-        t = sample(ar.transects(rows, steps, length, side)).withColumn("z", F.col("z") * cfg.elev_scale)
-        t = cut(t, "transects")
-        whole = all_or_nothing(t, "line_id", "z")
-        at = ar.bank_steps(whole.select("line_id", "vid", "step", "z"), rows)
-        sides[side] = t.join(at, ["line_id", "vid", "step"]).select("line_id", "vid", "x", "y")
+        t = sample(ar.transects(rows, steps, length, side, ("eta",))).withColumn("z", F.col("z") * cfg.elev_scale)
+        at = all_or_nothing(ar.sampled_bank_steps(t), "line_id", "whole").drop("whole")
+        sides[side] = ar.at_steps(rows.join(at, ["line_id", "vid"]), steps, length, side).select("line_id", "vid", "x", "y")
     return cut(ar.two_banks(rows, sides["left"], sides["right"], cfg.river_threshold[0]), "banks")
 
 
