@@ -90,9 +90,11 @@ def _correct(lines: DataFrame, sample: Sampler, cfg: RiverConfig, spacing: float
     far = rows.agg(F.max("reach")).first()[0] or 0.0
     steps, both = max(5, int(far / spacing) * 2), []
     for side in ("left", "right"):
-        t = cut(sample(ar.transects(rows, steps, F.col("reach"), side)).withColumn("z", F.col("z") * cfg.elev_scale), "transects")
-        both.append(all_or_nothing(t, "line_id", "z"))
-    moved = ar.corrected_thalweg(*both).select("line_id", "vid", F.col("x").alias("_x"), F.col("y").alias("_y"))
+        t = sample(ar.transects(rows, steps, F.col("reach"), side)).withColumn("z", F.col("z") * cfg.elev_scale)
+        low = all_or_nothing(ar.sampled_lowest_steps(t), "line_id", "whole").drop("whole")
+        low = rows.select("line_id", "vid", "x", "y", "perp", "reach").join(low, ["line_id", "vid"])
+        both.append(ar.at_steps(low, steps, F.col("reach"), side))
+    moved = ar.lower_side(*both).select("line_id", "vid", F.col("x").alias("_x"), F.col("y").alias("_y"))
     return cut(
         lines.join(moved, ["line_id", "vid"], "left").withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")}).drop("_x", "_y"), "corrected"
     )

@@ -28,6 +28,12 @@ def test_bank_search_writes_no_samples(spark, monkeypatch):
     assert out["valid"].all() and max(rows) <= 20
 
 
+def test_correction_writes_no_samples(spark, monkeypatch):
+    rows = counted(monkeypatch)
+    out = rivers._correct(thalweg(spark, 20).withColumn("width", F.lit(40.0)), valley(spark), CFG, 1.0).toPandas()
+    assert len(out) == 20 and max(rows) <= 20
+
+
 def test_steps_of_samples_equal_the_former_form(spark):
     rng = np.random.default_rng(2)
     rows = [(1, v, s, float(z), 1.0) for v in range(30) for s, z in enumerate(rng.integers(0, 4, 6 + v))]
